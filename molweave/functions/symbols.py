@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: a SELFIES symbol is a bracketed group; a dot separates fragments.
 SYMBOL_PATTERN = r"\[[^\]]*\]|\."
-# Fixed value: the characters with the Unicode White_Space property.
-WHITESPACE_CLASS = (
-    r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-)
+# Fixed value: one character with the Unicode White_Space property.
+WHITESPACE = r"\p{IsWhite_Space}"
 
 
 def split_symbols(selfies: Column) -> Column:
@@ -25,7 +23,7 @@ def join_symbols(symbols: Column) -> Column:
 
 def whitespace_tokens(text: Column) -> Column:
     """Non-empty runs between whitespace."""
-    return F.array_remove(F.split(text, WHITESPACE_CLASS + "+"), "")
+    return F.array_remove(F.split(text, WHITESPACE + "+"), "")
 
 
 def molecule_tokens(selfies: Column) -> Column:
@@ -35,4 +33,4 @@ def molecule_tokens(selfies: Column) -> Column:
     whitespace in it.
     """
     symbols = split_symbols(selfies)
-    return F.when(selfies.rlike(WHITESPACE_CLASS), whitespace_tokens(join_symbols(symbols))).otherwise(symbols)
+    return F.when(selfies.rlike(WHITESPACE), whitespace_tokens(join_symbols(symbols))).otherwise(symbols)

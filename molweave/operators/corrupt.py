@@ -51,7 +51,8 @@ def mask_positions(df: DataFrame, key: str, seed, ids: str = "input_ids", p: flo
 
     The row hash is taken before the explode, once per sequence.
     """
-    long = df.select(key, mask_state(seed, key).alias("_state"), F.posexplode(ids).alias("pos", "token_id"))
+    long = df.select(key, mask_state(seed, key).alias("_state"), F.posexplode_outer(ids).alias("pos", "token_id"))
+    long = long.filter(F.col("pos").isNotNull())
     masked = long.withColumn("masked", bernoulli_mask(F.col("token_id"), F.col("_state"), F.col("pos"), p, ignore))
     return masked.select(
         key,
@@ -149,11 +150,12 @@ def ngram_candidates(df: DataFrame, ids: str = "ids", top_k: int = TOP_K) -> Dat
     followers, and under ANY_LEFT the most frequent tokens overall; log_p is over the kept tokens. Counting combines
     on the map side, and the ranking sees counted rows only: at most one per vocabulary entry for a neighbour.
     """
-    n = F.size(ids)
+    # No filter on the length: Spark would move it, and the lookup that made the ids with it, below other steps.
+    n = F.greatest(F.size(ids) - 1, F.lit(0))
     pairs = (
-        df.filter(n > 1)
-        .select(F.slice(ids, F.lit(1), n - 1).alias("prev"), F.slice(ids, F.lit(2), n - 1).alias("token"))
-        .select(F.explode(F.arrays_zip("prev", "token")).alias("p"))
+        df.select(F.slice(ids, F.lit(1), n).alias("prev"), F.slice(ids, F.lit(2), n).alias("token"))
+        .select(F.explode_outer(F.arrays_zip("prev", "token")).alias("p"))
+        .filter(F.col("p").isNotNull())
     )
     counts = pairs.groupBy(F.col("p.prev").alias("prev"), F.col("p.token").alias("token")).agg(
         F.count(F.lit(1)).alias("n")
@@ -231,6 +233,5 @@ def corrupt_sequences(
 def positions_of(df: DataFrame, keys: list[str], arrays: dict[str, str]) -> DataFrame:
     """Long form of parallel arrays: keys, pos and one column per array (``arrays`` maps array to column)."""
     zipped = F.arrays_zip(*[F.col(a).alias(c) for a, c in arrays.items()])
-    return df.select(*keys, F.posexplode(zipped).alias("pos", "_z")).select(
-        *keys, "pos", *[F.col(f"_z.{c}").alias(c) for c in arrays.values()]
-    )
+    long = df.select(*keys, F.posexplode_outer(zipped).alias("pos", "_z")).filter(F.col("pos").isNotNull())
+    return long.select(*keys, "pos", *[F.col(f"_z.{c}").alias(c) for c in arrays.values()])

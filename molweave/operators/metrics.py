@@ -64,14 +64,15 @@ def auroc(df: DataFrame, score="pred", target="target", by=()) -> DataFrame:
     parts = counts.repartitionByRange(*by, "_s").withColumn("_part", F.spark_partition_id())
     before = Window.partitionBy("_part", *by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("_n").over(before), F.lit(0))
-    # Doubled so that half a tie stays an integer.
-    pairs = parts.withColumn("_w", (F.col("_p") * (2 * below + F.col("_n"))).cast("decimal(38,0)"))
+    # Doubled so that half a tie stays an integer; decimals, since pairs outgrow 64 bits.
+    pairs = parts.withColumn("_w", F.col("_p").cast("decimal(18,0)") * (2 * below + F.col("_n")).cast("decimal(19,0)"))
     totals = pairs.groupBy(*by, "_part").agg(
         F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), F.sum("_w").alias("_w")
     )
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-    area = totals.withColumn("_w", F.col("_w") + 2 * F.col("_p").cast("decimal(38,0)") * ahead)
+    across = F.col("_p").cast("decimal(18,0)") * (2 * ahead).cast("decimal(19,0)")
+    area = totals.withColumn("_w", F.col("_w") + across)
     p, n = F.sum("_p").cast("double"), F.sum("_n").cast("double")
     return area.groupBy(*by).agg(F.try_divide(F.sum("_w").cast("double"), 2 * p * n).alias("roc"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from molweave.functions.hashing import uniform
 from molweave.functions.ids import PAD
 from molweave.operators.corrupt import positions_of
-from molweave.operators.vocab import _with_ids, BROADCAST_LIMIT
+from molweave.operators.vocab import BROADCAST_LIMIT, join_vocab
 
 REVIEW_BATCHES = 5
 
@@ -31,7 +31,7 @@ def _until_padding(df: DataFrame, ids: str, arrays: list[str]) -> DataFrame:
 def token_diff(df: DataFrame, vocab: DataFrame, key: str, ids="disc_input", labels="input_ids") -> DataFrame:
     """(key, pos, token, changed): tokens shown and whether they differ from the original."""
     long = positions_of(_until_padding(df.select(key, ids, labels), ids, [ids, labels]), [key], {ids: "id", labels: "_y"})
-    coded = _with_ids(long, vocab.select("id", "token"), "id", "token", BROADCAST_LIMIT)
+    coded = join_vocab(long, vocab.select("id", "token"), "id", "token", BROADCAST_LIMIT)
     return coded.select(key, "pos", "token", (F.col("id") != F.col("_y")).alias("changed"))
 
 

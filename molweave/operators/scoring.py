@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from molweave.operators.labels import apply_train_stats, class_weights, standardize, weight_of
+from molweave.operators.labels import class_weights, standardize, weight_of
 
 
 def _erf(x: np.ndarray) -> np.ndarray:
@@ -35,10 +35,12 @@ BATCH_SIZE = 1024
 def score_head(spark: SparkSession, weights: dict[str, np.ndarray], activation: str):
     """Batch function features -> logits: dense, activation, projection. No dropout at inference.
 
-    ``weights`` has dense_w, dense_b, out_w and out_b; the arrays are shipped once per executor.
+    ``weights`` has dense_w, dense_b, out_w and out_b; the arrays are shipped once per executor, and their type is the
+    type of the logits.
     """
     act = ACTIVATIONS[activation]
-    width, labels = weights["dense_w"].shape[1], weights["out_w"].shape[0]
+    width = weights["dense_w"].shape[1]
+    out_type = T.DoubleType() if weights["out_w"].dtype == np.float64 else T.FloatType()
     shipped = spark.sparkContext.broadcast(weights)
 
     def make():
@@ -50,13 +52,12 @@ def score_head(spark: SparkSession, weights: dict[str, np.ndarray], activation:
         return predict
 
     return predict_batch_udf(
-        make, return_type=T.ArrayType(T.FloatType()), batch_size=BATCH_SIZE, input_tensor_shapes=[[width]]
-    ), labels
+        make, return_type=T.ArrayType(out_type), batch_size=BATCH_SIZE, input_tensor_shapes=[[width]]
+    )
 
 
 def score_batch(df: DataFrame, weights: dict[str, np.ndarray], activation: str, features="features", out="logits") -> DataFrame:
-    fn, _ = score_head(df.sparkSession, weights, activation)
-    return df.withColumn(out, fn(F.col(features)))
+    return df.withColumn(out, score_head(df.sparkSession, weights, activation)(F.col(features)))
 
 
 def _vector(features: str) -> Column:
@@ -88,14 +89,3 @@ def fit_regressor(train: DataFrame, features="features", target="target", max_it
 def regressor_predictions(model: LinearRegressionModel, df: DataFrame, features="features") -> DataFrame:
     return model.transform(df.withColumn("x", _vector(features))).withColumnRenamed("prediction", "pred").drop("x")
 
-
-__all__ = [
-    "ACTIVATIONS",
-    "HEAD_ACTIVATION",
-    "apply_train_stats",
-    "classifier_predictions",
-    "fit_classifier",
-    "fit_regressor",
-    "regressor_predictions",
-    "score_batch",
-]

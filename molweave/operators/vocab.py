@@ -20,12 +20,15 @@ def train_vocab(df: DataFrame, tokens: str = "tokens", max_size: int = MAX_VOCAB
 
     Counting is a hash aggregate with map-side partial sums, so a very frequent symbol costs one row per task in the
     shuffle. The ranking window has no partition but runs over at most ``max_size`` rows.
+
+    The outer form of explode is deliberate, here and below: for the plain one Spark infers a filter on the array's size
+    and moves it under the projection, which would compute the tokens again.
     """
     room = max_size - len(SPECIAL_TOKENS)
     if room < 0:
         raise ValueError("max_size is below the number of special tokens")
     counts = (
-        df.select(F.explode(tokens).alias("token"))
+        df.select(F.explode_outer(tokens).alias("token"))
         .filter(~F.col("token").isin(SPECIAL_TOKENS))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -84,7 +87,7 @@ def encode(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "
     return df.withColumn(out, token_lookup(vocab)(F.col(tokens)))
 
 
-def _with_ids(rows: DataFrame, vocab: DataFrame, column: str, found: str, limit: int) -> DataFrame:
+def join_vocab(rows: DataFrame, vocab: DataFrame, column: str, found: str, limit: int) -> DataFrame:
     """Left join of long-form rows on a vocabulary column.
 
     Ids are dense, so ``id < limit`` bounds the broadcast part. A larger vocabulary leaves its rarer tail for a shuffled
@@ -107,7 +110,7 @@ def encode_by_join(
     partial aggregation sends each sequence as one array.
     """
     long = df.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
-    coded = _with_ids(long, vocab.select("token", "id"), "token", "id", limit)
+    coded = join_vocab(long, vocab.select("token", "id"), "token", "id", limit)
     cell = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))
     return coded.groupBy(key).agg(F.array_sort(F.collect_list(cell)).alias("cells")).select(
         key, F.col("cells.id").alias(out)
@@ -116,7 +119,7 @@ def encode_by_join(
 
 def explode_ids(df: DataFrame, key: str, ids: str) -> DataFrame:
     """(key, pos, id)."""
-    return df.select(key, F.posexplode(ids).alias("pos", "id"))
+    return df.select(key, F.posexplode_outer(ids).alias("pos", "id")).filter(F.col("pos").isNotNull())
 
 
 def decode_long(df: DataFrame, vocab: DataFrame, key: str, ids: str = "input_ids") -> DataFrame:
@@ -125,7 +128,7 @@ def decode_long(df: DataFrame, vocab: DataFrame, key: str, ids: str = "input_ids
     The cut needs no join: the first [PAD] is a property of the array the row still has.
     """
     cut = df.select(key, before_padding(F.col(ids)).alias(ids))
-    coded = _with_ids(explode_ids(cut, key, ids), vocab.select("id", "token"), "id", "token", BROADCAST_LIMIT)
+    coded = join_vocab(explode_ids(cut, key, ids), vocab.select("id", "token"), "id", "token", BROADCAST_LIMIT)
     return coded.select(key, "pos", F.coalesce("token", F.lit(SPECIAL_TOKENS[UNK])).alias("token"))
 
 

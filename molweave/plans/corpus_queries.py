@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from molweave.functions import ids as I
 from molweave.functions.symbols import join_symbols, split_symbols, whitespace_tokens
 from molweave.operators import ordering, vocab as V
+from molweave.operators.encoding import encode_text
 from molweave.plans import inputs as T
 from molweave.plans import sql as S
 from molweave.plans.registry import query
 from molweave.sources import corpus as C
 from molweave.sources.scratch import fresh_path
+from molweave.streaming import jobs
 
-MOL = T.SEED
+SEED = T.SEED
 BATCH = T.BATCH_SIZE
 STEPS = 5
 
@@ -37,11 +39,9 @@ def load_split(spark, sf):
 
 @query("stream_corpus", "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents")
 def stream_corpus(spark, sf):
-    from molweave.streaming.jobs import drain
-
     schema = T.table(spark, sf, "documents").schema
     rows = C.stream_corpus(spark, f"{sf}/documents*.parquet", schema)
-    return drain(rows, "corpus").select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+    return jobs.drain(rows, "corpus").select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 
 
 @query("project_columns", f"WITH {S.MOLS} SELECT mol_id, selfies AS text, split FROM mols")
@@ -199,12 +199,12 @@ def length_profile(spark, sf):
 
 # ---- order and batches ----------------------------------------------------------------------------------------------
 
-_SHUFFLED = f"shuffled AS (SELECT doc_id, row_number() OVER (ORDER BY {S.u(MOL, 'doc_id')}, doc_id) - 1 AS idx FROM documents)"
+_SHUFFLED = f"shuffled AS (SELECT doc_id, row_number() OVER (ORDER BY {S.u(SEED, 'doc_id')}, doc_id) - 1 AS idx FROM documents)"
 _BATCHED = f"{_SHUFFLED}, batched AS (SELECT *, idx // {BATCH} AS batch_id FROM shuffled)"
 
 
 def _shuffled(spark, sf):
-    return ordering.global_shuffle(T.table(spark, sf, "documents").select("doc_id"), "doc_id", MOL)
+    return ordering.global_shuffle(T.table(spark, sf, "documents").select("doc_id"), "doc_id", SEED)
 
 
 @query("global_shuffle", f"WITH {_SHUFFLED} SELECT doc_id, idx FROM shuffled")
@@ -217,12 +217,12 @@ def global_shuffle(spark, sf):
     f"""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders)
     SELECT o_orderkey, idx, idx // {ordering.SHUFFLE_BUFFER} AS block,
            (idx // {ordering.SHUFFLE_BUFFER}) * {ordering.SHUFFLE_BUFFER} + row_number() OVER (
-             PARTITION BY idx // {ordering.SHUFFLE_BUFFER} ORDER BY {S.u(MOL, 'o_orderkey')}, o_orderkey) - 1 AS shuffled_idx
+             PARTITION BY idx // {ordering.SHUFFLE_BUFFER} ORDER BY {S.u(SEED, 'o_orderkey')}, o_orderkey) - 1 AS shuffled_idx
     FROM o""",
 )
 def buffer_shuffle(spark, sf):
     rows = ordering.dense_index(T.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
-    return ordering.buffer_shuffle(rows, "idx", "o_orderkey", MOL)
+    return ordering.buffer_shuffle(rows, "idx", "o_orderkey", SEED)
 
 
 @query("assign_batches", f"WITH {_BATCHED} SELECT doc_id, idx, batch_id FROM batched")
@@ -234,7 +234,7 @@ def assign_batches(spark, sf):
 def take_steps(spark, sf):
     """The first steps of an epoch; the limit is the operator."""
     rows = T.table(spark, sf, "documents").select("doc_id")
-    return ordering.first_batches(rows, "doc_id", MOL, BATCH, STEPS)
+    return ordering.first_batches(rows, "doc_id", SEED, BATCH, STEPS)
 
 
 @query(
@@ -245,8 +245,10 @@ def take_steps(spark, sf):
     FROM batched JOIN inputs ON doc_id = mol_id GROUP BY batch_id""",
 )
 def collate_batches(spark, sf):
-    rows = ordering.global_shuffle(T.inputs(spark, sf).select("mol_id", "input_ids"), "mol_id", MOL)
-    batches = ordering.collate_batches(ordering.assign_batches(rows, BATCH), "mol_id", "input_ids")
+    """Shuffle the short strings, encode where they land, then stack."""
+    rows = ordering.global_shuffle(T.corpus(spark, sf).drop("split"), "mol_id", SEED)
+    coded = encode_text(ordering.assign_batches(rows, BATCH), T.vocabulary(spark, sf))
+    batches = ordering.collate_batches(coded, "mol_id", "input_ids")
     return batches.select(
         "batch_id", "n_rows", shown(F.col("mol_id")).alias("mol_ids"), F.md5(shown(F.flatten("input_ids"))).alias("ids_md5")
     )
@@ -261,10 +263,8 @@ def _document_stream(spark, sf):
 
 @query("stream_encode", f"WITH {S.INPUTS} {_MASK_SQL}")
 def stream_encode(spark, sf):
-    from molweave.streaming.jobs import drain, stream_encode as run
-
-    rows = run(T.molecules(_document_stream(spark, sf)), T.vocabulary(spark, sf))
-    return drain(rows, "encoded").select("mol_id", *[shown(F.col(c)).alias(c) for c in _INPUT_COLUMNS])
+    rows = jobs.stream_encode(T.molecules(_document_stream(spark, sf)), T.vocabulary(spark, sf))
+    return jobs.drain(rows, "encoded").select("mol_id", *[shown(F.col(c)).alias(c) for c in _INPUT_COLUMNS])
 
 
 @query(
@@ -277,22 +277,19 @@ def stream_encode(spark, sf):
     FROM e GROUP BY epoch, split""",
 )
 def stream_metrics(spark, sf):
-    from molweave.streaming.jobs import stream_metrics as run
-
     events = C.stream_corpus(spark, f"{sf}/events*.parquet", T.table(spark, sf, "events").schema)
-    made = run(T.event_predictions(events))
+    made = jobs.stream_metrics(T.event_predictions(events))
     return made.select("epoch", "split", "n", *[F.round(c, 6).alias(c) for c in ("rmse", "mae", "pearsonr")])
 
 
-@query("stream_limit")
+# The tables come as one file each, so two steps read all of it.
+@query("stream_limit", "SELECT doc_id, lang, n_chars FROM documents")
 def stream_limit(spark, sf):
     """Two micro-batches of a stream that reads one file per step."""
-    from molweave.streaming.jobs import stream_limit as run
-
     rows = C.stream_corpus(
         spark, f"{sf}/documents*.parquet", T.table(spark, sf, "documents").schema, max_files_per_trigger=1
     )
-    return run(rows, 2).select("doc_id", "lang", "n_chars")
+    return jobs.stream_limit(rows, 2).select("doc_id", "lang", "n_chars")
 
 
 @query(
@@ -301,9 +298,7 @@ def stream_limit(spark, sf):
     string_agg(masked_id, ' ' ORDER BY pos) AS masked_input FROM masked GROUP BY mol_id""",
 )
 def stream_mask(spark, sf):
-    from molweave.streaming.jobs import drain, stream_encode as encode, stream_mask as run
-
-    rows = encode(T.molecules(_document_stream(spark, sf)), T.vocabulary(spark, sf)).select("mol_id", "input_ids")
-    return drain(run(rows, "mol_id", MOL), "masked").select(
+    rows = jobs.stream_encode(T.molecules(_document_stream(spark, sf)), T.vocabulary(spark, sf)).select("mol_id", "input_ids")
+    return jobs.drain(jobs.stream_mask(rows, "mol_id", SEED), "masked").select(
         "mol_id", *[shown(F.col(c)).alias(c) for c in ("mlm_labels", "masked_input")]
     )

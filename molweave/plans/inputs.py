@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molweave.functions.hashing import position_uniform, uniform
-from molweave.functions.ids import PAD
+from molweave.functions.ids import PAD, add_template
 from molweave.functions.vectors import softmax
 from molweave.operators.corrupt import corrupt_sequences, mask_state, ngram_candidates, sample_state
 from molweave.operators.encoding import model_inputs, tokenize
 from molweave.operators.vocab import encode, train_vocab
-from molweave.functions.ids import add_template
-from molweave.sources.corpus import split_of
+from molweave.sources.corpus import split_of, spread
 from molweave.sources.scratch import stored
 
 SEED = 42
@@ -40,7 +39,7 @@ def molecules(documents: DataFrame) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return molecules(table(spark, sf_dir, "documents"))
+    return molecules(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,21 +260,33 @@ def _features(spark, sf):
     )
 
 
-def demo_head(width: int = 64, labels: int = 2) -> dict[str, np.ndarray]:
-    """A fixed head in place of trained weights."""
-    rng = np.random.default_rng(T.SEED)
+def demo_head(width: int = 64) -> dict[str, np.ndarray]:
+    """A head with simple weights in place of trained ones: each unit doubles its input, two outputs weigh the units."""
+    ramp = np.arange(1, width + 1) / width
     return {
-        "dense_w": rng.normal(0, 0.2, (width, width)).astype(np.float32),
-        "dense_b": np.zeros(width, dtype=np.float32),
-        "out_w": rng.normal(0, 0.2, (labels, width)).astype(np.float32),
-        "out_b": np.zeros(labels, dtype=np.float32),
+        "dense_w": 2.0 * np.eye(width),
+        "dense_b": np.full(width, 0.1),
+        "out_w": np.stack([ramp, 1.0 - ramp]),
+        "out_b": np.array([0.0, 0.5]),
     }
 
 
-@query("score_batch")
+_UNIT = "tanh(2 * CAST(x AS DOUBLE) + 0.1)"
+
+
+@query(
+    "score_batch",
+    f"""WITH l AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x, i: {_UNIT} * i / 64)) AS a,
+      list_sum(list_transform(embedding, lambda x, i: {_UNIT} * (1 - CAST(i AS DOUBLE) / 64))) + 0.5 AS b FROM embeddings)
+    SELECT vec_id, round(a, 6) AS logit_0, round(b, 6) AS logit_1, round(1 / (1 + exp(a - b)), 6) AS p FROM l""",
+)
 def score_batch(spark, sf):
-    rows = scoring.score_batch(_features(spark, sf), demo_head(), scoring.HEAD_ACTIVATION["electra"])
-    return rows.select("vec_id", "split", "target", F.round(X.positive_probability(F.col("logits")), 4).alias("p"))
+    rows = _features(spark, sf).withColumn("features", F.col("features").cast("array<double>"))
+    logits = F.col("logits")
+    scored = scoring.score_batch(rows, demo_head(), scoring.HEAD_ACTIVATION["roberta"]).select(
+        "vec_id", logits[0].alias("logit_0"), logits[1].alias("logit_1"), X.positive_probability(logits).alias("p")
+    )
+    return rounded(scored, "logit_0", "logit_1", "p")
 
 
 @query("finetune_classifier")

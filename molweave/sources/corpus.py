@@ -36,6 +36,15 @@ def split_of(*keys) -> Column:
     return F.when(u < SPLIT_EDGES[0], SPLITS[0]).when(u < SPLIT_EDGES[1], SPLITS[1]).otherwise(SPLITS[2])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table that comes in fewer pieces than there are cores, such as one row group.
+
+    ``df`` is a plain scan. A large table has more pieces than cores and is left alone, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load_corpus(spark: SparkSession, path: str, split: str | None = None, key: str | None = None) -> DataFrame:
     """One named split of a parquet corpus, or all of it with its split column.
 

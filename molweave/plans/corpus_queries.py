@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from molweave.functions import ids as I
 from molweave.functions.symbols import join_symbols, split_symbols, whitespace_tokens
 from molweave.operators import ordering, vocab as V
-from molweave.operators.encoding import encode_text
 from molweave.plans import inputs as T
 from molweave.plans import sql as S
 from molweave.plans.registry import query
@@ -245,10 +244,8 @@ def take_steps(spark, sf):
     FROM batched JOIN inputs ON doc_id = mol_id GROUP BY batch_id""",
 )
 def collate_batches(spark, sf):
-    """Shuffle the short strings, encode where they land, then stack."""
-    rows = ordering.global_shuffle(T.corpus(spark, sf).drop("split"), "mol_id", SEED)
-    coded = encode_text(ordering.assign_batches(rows, BATCH), T.vocabulary(spark, sf))
-    batches = ordering.collate_batches(coded, "mol_id", "input_ids")
+    rows = ordering.global_shuffle(T.inputs(spark, sf).select("mol_id", "input_ids"), "mol_id", SEED)
+    batches = ordering.collate_batches(ordering.assign_batches(rows, BATCH), "mol_id", "input_ids")
     return batches.select(
         "batch_id", "n_rows", shown(F.col("mol_id")).alias("mol_ids"), F.md5(shown(F.flatten("input_ids"))).alias("ids_md5")
     )

@@ -20,6 +20,8 @@ MASK_PROB = 0.15
 TOP_K = 16
 # Left neighbour of the back-off row: the proposals used where the neighbour was never seen.
 ANY_LEFT = -1
+# Positions worked on at a time inside an Arrow batch.
+PIECE = 1 << 18
 # Rows of the proposal table that may be broadcast (one per vocabulary entry); larger tables are joined.
 CANDIDATE_LIMIT = 500_000
 
@@ -88,6 +90,17 @@ def _lists(values: np.ndarray, sizes: np.ndarray, like: pa.Array, kind=pa.int32(
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind), mask=nulls)
 
 
+def _by_pieces(fn, *columns: pa.Array) -> pa.Array:
+    """Apply fn to slices of whole rows of about PIECE positions, so that working memory does not grow with the batch."""
+    sizes = pc.fill_null(pc.list_value_length(columns[0]), 0).to_numpy(zero_copy_only=False)
+    if not len(sizes):
+        return fn(*columns)
+    piece = np.cumsum(sizes) // PIECE
+    starts = np.flatnonzero(np.diff(piece, prepend=-1))
+    ends = np.append(starts[1:], len(sizes))
+    return pa.concat_arrays([fn(*[c.slice(a, b - a) for c in columns]) for a, b in zip(starts, ends)])
+
+
 def _draw_mask(flat, sizes, state, p, ignored) -> np.ndarray:
     rows = np.repeat(state.to_numpy(zero_copy_only=False), sizes)
     u = position_state_np(rows, _positions(sizes)) / float(1 << 32)
@@ -100,6 +113,9 @@ def mask_arrays(p: float = MASK_PROB, ignore=(PAD,)):
 
     @F.arrow_udf("struct<masked: array<boolean>, mlm_labels: array<int>, masked_input: array<int>>")
     def run(ids: pa.Array, state: pa.Array) -> pa.Array:
+        return _by_pieces(piece, ids, state)
+
+    def piece(ids: pa.Array, state: pa.Array) -> pa.Array:
         flat, sizes = _flat(ids)
         masked = _draw_mask(flat, sizes, state, p, ignored)
         fields = [
@@ -127,6 +143,9 @@ def gumbel_sample(temperature: float = 1.0):
 
     @F.arrow_udf("int")
     def run(logits: pa.Array, state: pa.Array) -> pa.Array:
+        return _by_pieces(piece, logits, state)
+
+    def piece(logits: pa.Array, state: pa.Array) -> pa.Array:
         flat, sizes = _flat(logits)
         rows = np.repeat(state.to_numpy(zero_copy_only=False), sizes)
         places = _positions(sizes)
@@ -199,6 +218,9 @@ def corrupt_arrays(
         "disc_input: array<int>, disc_labels: array<int>>"
     )
     def run(ids: pa.Array, mask_hash: pa.Array, sample_hash: pa.Array) -> pa.Array:
+        return _by_pieces(piece, ids, mask_hash, sample_hash)
+
+    def piece(ids: pa.Array, mask_hash: pa.Array, sample_hash: pa.Array) -> pa.Array:
         lefts, tokens, scores = shipped.value
         flat, sizes = _flat(ids)
         masked = _draw_mask(flat, sizes, mask_hash, p, ignored)

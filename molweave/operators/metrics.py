@@ -56,10 +56,9 @@ def auroc(df: DataFrame, score="pred", target="target", by=()) -> DataFrame:
     order: pairs inside a part come from a running sum within it, pairs across parts from the part totals. No group is
     ordered in one task, however many rows it has, and only one row per part reaches the last window.
     """
-    positive = F.col(target) == 1
-    scored = df.filter(F.col(score).isNotNull() & F.col(target).isNotNull())
-    counts = scored.groupBy(*by, F.col(score).alias("_s")).agg(
-        F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n")
+    positive, scored = F.col(target) == 1, F.col(score).isNotNull()
+    counts = df.groupBy(*by, F.col(score).alias("_s")).agg(
+        F.count_if(scored & positive).alias("_p"), F.count_if(scored & ~positive).alias("_n")
     )
     parts = counts.repartitionByRange(*by, "_s").withColumn("_part", F.spark_partition_id())
     before = Window.partitionBy("_part", *by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,14 +83,11 @@ def evaluate_predictions(df: DataFrame, problem_type: str, pred="pred", target="
         raise ValueError(f"unknown problem type {problem_type!r}")
     p, t = F.col(pred), F.col(target)
     made = {"rmse": rmse_of(p, t), "pearsonr": pearson_of(p, t), "precision": precision_of(p, t)}
-    wide = df.groupBy(*by).agg(*[made[n].alias(n) for n in names if n in made])
+    direct = [n for n in names if n in made]
+    long = df.groupBy(*by).agg(*[made[n].alias(n) for n in direct]).unpivot(list(by), direct, "name", "value")
     if "roc" in names:
-        ranked = auroc(df, pred, target, by)
-        if by:
-            wide = wide.join(ranked, list(by), "left")
-        else:
-            wide = wide.withColumn("roc", ranked.scalar())
-    return wide.unpivot(list(by), names, "name", "value")
+        long = long.unionByName(auroc(df, pred, target, by).unpivot(list(by), ["roc"], "name", "value"))
+    return long
 
 
 def batch_mean_loss(df: DataFrame, loss="loss", batch="batch_id", by=("run", "epoch", "split")) -> DataFrame:

@@ -16,6 +16,9 @@ SPLIT_SEED = "split"
 # Upper edges of the hash ranges of train and validation; test is the rest.
 SPLIT_EDGES = [0.8, 0.9]
 
+# A table in this many pieces is never spread further.
+MAX_SPREAD = 64
+
 # The columns of the two public pretraining corpora and of the fine-tune sets.
 # kind -> (id column, text column, columns that go once the text is encoded)
 SOURCE_KINDS = {
@@ -39,10 +42,10 @@ def split_of(*keys) -> Column:
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for a table that comes in fewer pieces than there are cores, such as one row group.
 
-    ``df`` is a plain scan. A large table has more pieces than cores and is left alone, without a shuffle.
+    ``df`` is a plain scan. A large table has many pieces and is left alone, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, MAX_SPREAD)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def load_corpus(spark: SparkSession, path: str, split: str | None = None, key: str | None = None) -> DataFrame:

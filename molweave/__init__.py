@@ -2,3 +2,10 @@
 
 Every public operator is a function from DataFrame (or Column) to DataFrame (or Column).
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -187,13 +187,17 @@ def ngram_candidates(df: DataFrame, ids: str = "ids", top_k: int = TOP_K) -> Dat
 
 
 def _candidate_matrix(candidates: DataFrame, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted left neighbours with their tokens and log-probabilities, one row each, padded with -inf."""
-    table = candidates.limit((CANDIDATE_LIMIT + 1) * top_k).toPandas()
+    """Sorted left neighbours with their tokens and log-probabilities, one row each, padded with -inf.
+
+    Ids are dense, so checking each id bounds the table at CANDIDATE_LIMIT * top_k rows before any of it is collected.
+    """
+    too_many = F.raise_error(F.lit(f"more than {CANDIDATE_LIMIT} left neighbours: too many to broadcast"))
+    prev = F.when(F.col("prev") < CANDIDATE_LIMIT, F.col("prev")).otherwise(too_many).alias("prev")
+    bounded = candidates.filter(F.col("rank") <= top_k).select(prev, "rank", "token", "log_p")
+    table = bounded.toArrow().to_pandas()
     lefts = np.unique(table["prev"].to_numpy())
     if not len(lefts):
         raise ValueError("no proposals: the train split has no pair of tokens")
-    if len(lefts) > CANDIDATE_LIMIT:
-        raise ValueError("too many left neighbours to broadcast: reduce the vocabulary")
     tokens = np.zeros((len(lefts), top_k), dtype=np.int32)
     scores = np.full((len(lefts), top_k), -np.inf)
     rows, cols = np.searchsorted(lefts, table["prev"]), table["rank"].to_numpy() - 1

@@ -90,15 +90,31 @@ def _stats(train: DataFrame, target: str) -> Column:
     return target_mean_std(train, target).select(F.struct("mean", "std")).scalar()
 
 
-def standardize_multi(df: DataFrame, train: DataFrame, targets: str = "targets", out: str | None = None) -> DataFrame:
-    """Per-task standardisation of an array of targets; a task whose std is 0 is divided by 1."""
+def standardize_multi(
+    df: DataFrame, train: DataFrame, targets: str = "targets", num_tasks: int | None = None, out: str | None = None
+) -> DataFrame:
+    """Per-task standardisation of an array of targets; a task whose std is 0 is divided by 1.
+
+    A head knows its number of tasks; with ``num_tasks`` the statistics are plain aggregates over the rows. Without it
+    the arrays are exploded, and each task is a group.
+    """
+    if num_tasks is not None:
+        cells = [F.col(targets)[i].cast("double") for i in range(num_tasks)]
+        row = train.agg(*[x for i, c in enumerate(cells) for x in (F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"))])
+        stats = row.select(F.struct("*")).scalar()
+        z = F.array(*[F.try_divide(c - stats[f"m{i}"], _divisor(stats[f"s{i}"])) for i, c in enumerate(cells)])
+        return df.withColumn(out or targets, z)
     per_task = (
-        train.select(F.posexplode(targets).alias("task", "value"))
+        train.select(F.posexplode_outer(targets).alias("task", "value"))
+        .filter(F.col("task").isNotNull())
         .groupBy("task")
         .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     )
-    divisor = F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))
-    ordered = F.array_sort(F.collect_list(F.struct("task", "mean", divisor.alias("std"))))
-    stats = per_task.agg(ordered.alias("stats")).scalar()
+    ordered = F.array_sort(F.collect_list(F.struct("task", "mean", _divisor(F.col("std")).alias("std"))))
     z = F.zip_with(targets, "_stats", lambda t, s: F.try_divide(t - s["mean"], s["std"]))
-    return df.withColumn("_stats", stats).withColumn(out or targets, z).drop("_stats")
+    with_stats = df.withColumn("_stats", per_task.agg(ordered.alias("stats")).scalar())
+    return with_stats.withColumn(out or targets, z).drop("_stats")
+
+
+def _divisor(std: Column) -> Column:
+    return F.when(std == 0, 1.0).otherwise(std)

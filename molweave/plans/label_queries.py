@@ -110,7 +110,7 @@ def standardize_multi(spark, sf):
     rows = T.table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", split_of("l_orderkey").alias("split"), targets.alias("targets")
     )
-    z = L.standardize_multi(rows, _train(rows))
+    z = L.standardize_multi(rows, _train(rows), num_tasks=4)
     return z.select("l_orderkey", "l_linenumber", "split", *[F.round(F.col("targets")[i], 5).alias(f"z{i}") for i in range(4)])
 
 

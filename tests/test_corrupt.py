@@ -111,3 +111,9 @@ def test_positions(sequences, candidates):
     long = K.positions_of(rows, ["k"], {"input_ids": "token_id", "disc_input": "disc_id"})
     assert long.columns == ["k", "pos", "token_id", "disc_id"] and long.count() == 60 * 52
     assert K.non_pad_positions(long).count() == 60 * 42
+
+
+def test_a_table_too_large_to_broadcast_is_an_error(sequences, candidates, monkeypatch):
+    monkeypatch.setattr(K, "CANDIDATE_LIMIT", 4)
+    with pytest.raises(Exception, match="too many to broadcast"):
+        K.corrupt_arrays(candidates, top_k=8)

@@ -62,6 +62,7 @@ def test_statistics_are_inlined_without_a_join(spark):
     assert "Join" not in plan and "Subquery" in plan
 
 
-def test_standardize_multi(spark):
+@pytest.mark.parametrize("num_tasks", [None, 2])
+def test_standardize_multi(spark, num_tasks):
     df = spark.createDataFrame([([1.0, 7.0],), ([3.0, 7.0],)], "targets array<double>")
-    assert [r.targets for r in L.standardize_multi(df, df).collect()] == [[-1.0, 0.0], [1.0, 0.0]]
+    assert [r.targets for r in L.standardize_multi(df, df, num_tasks=num_tasks).collect()] == [[-1.0, 0.0], [1.0, 0.0]]

@@ -27,8 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def as_selfies(text: Column) -> Column:
     """Prose as a molecule string: every run of letters a symbol, every full stop a fragment dot."""
-    letters = F.regexp_replace(F.lower(text), r"[^\p{L}.]+", " ")
-    return F.regexp_replace(F.regexp_replace(letters, r"(\p{L}+)", r"[$1]"), " ", "")
+    parts = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+|\."), F.lit(0))
+    bracketed = F.concat(F.lit("["), F.array_join(parts, "]["), F.lit("]"))
+    return F.replace(F.replace(bracketed, F.lit("[.]"), F.lit(".")), F.lit("[]"), F.lit(""))
 
 
 def molecules(documents: DataFrame) -> DataFrame:

@@ -25,7 +25,8 @@ def global_shuffle(df: DataFrame, key: str, seed, take: int | None = None, out:
 
     u is uniform, so cutting [0, 1) into equal buckets gives balanced ordered groups without sampling. A first pass over
     the key column alone counts the buckets; the rows are then shuffled once, by bucket, and numbered inside it.
-    ``take`` keeps the first rows of the order: buckets past it are dropped before the shuffle.
+    ``take`` keeps the first rows of the order: buckets past it are dropped before the shuffle. ``seed`` is any text, so
+    a new order per epoch is a seed that names the epoch.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(partitions * BUCKETS_PER_PARTITION, MAX_BUCKETS)
@@ -42,7 +43,9 @@ def global_shuffle(df: DataFrame, key: str, seed, take: int | None = None, out:
 
 
 def dense_index(df: DataFrame, *order: str, out: str = "idx") -> DataFrame:
-    """Rows with a dense index in the order of any columns.
+    """Rows with a dense index in the order of columns that together identify a row.
+
+    A value shared by many rows is then split by the columns after it.
 
     Range partitioning places rows by sampled bounds, so the placed rows are stored once; counting the partitions and
     reading the rows back then see the same layout. Nothing is ordered in a single task.

@@ -9,7 +9,7 @@ from molweave.functions.hashing import position_uniform, uniform
 from molweave.functions.ids import PAD, add_template
 from molweave.functions.vectors import softmax
 from molweave.operators.corrupt import corrupt_sequences, mask_state, ngram_candidates, sample_state
-from molweave.operators.encoding import model_inputs, tokenize
+from molweave.operators.encoding import encode_text, tokenize
 from molweave.operators.vocab import encode, train_vocab
 from molweave.sources.corpus import split_of, spread
 from molweave.sources.scratch import stored
@@ -61,7 +61,8 @@ def encoded(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) ->
 
 def inputs(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) -> DataFrame:
     """(mol_id, split, input_ids, attention_mask, token_type_ids)"""
-    return model_inputs(encoded(spark, sf_dir, vocab)).drop("ids")
+    vocab = vocabulary(spark, sf_dir) if vocab is None else vocab
+    return encode_text(corpus(spark, sf_dir), vocab)
 
 
 def proposals(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:

@@ -316,11 +316,11 @@ _PRECISION = "coalesce(count(*) FILTER (score > 0.5 AND label = 1) / nullif(CAST
 
 @query(
     "batch_mean_loss",
-    f"""WITH {S.PREDS}, b AS (SELECT run, epoch, split, batch_id, avg(loss) AS l FROM preds GROUP BY ALL)
-    SELECT run, epoch, split, round(avg(l), 2) AS loss, count(*) AS n_batches FROM b GROUP BY run, epoch, split""",
+    f"""WITH {S.PREDS}, b AS (SELECT run, epoch, split, batch_id, avg(loss / 1e6) AS l FROM preds GROUP BY ALL)
+    SELECT run, epoch, split, round(avg(l), 6) AS loss, count(*) AS n_batches FROM b GROUP BY run, epoch, split""",
 )
 def batch_mean_loss(spark, sf):
-    return rounded(M.batch_mean_loss(T.predictions(spark, sf)), "loss", digits=2)
+    return rounded(M.batch_mean_loss(T.predictions(spark, sf).withColumn("loss", F.col("loss") / 1e6)), "loss")
 
 
 @query("rmse", f"WITH {S.PREDS} SELECT split, round({_RMSE}, 6) AS rmse FROM preds GROUP BY split")

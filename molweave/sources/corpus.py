@@ -134,7 +134,7 @@ def log_metrics(metrics: DataFrame, names: list[str], splits: dict[str, str]) ->
     arguments, so no pass is needed to find them.
     """
     cells = [
-        F.first(F.when((F.col("split") == s) & (F.col("name") == n), F.col("value")), ignorenulls=True).alias(f"{p}_{n}")
+        F.max(F.when((F.col("split") == s) & (F.col("name") == n), F.col("value"))).alias(f"{p}_{n}")
         for s, p in splits.items()
         for n in names
     ]

@@ -39,13 +39,15 @@ def split_of(*keys) -> Column:
     return F.when(u < SPLIT_EDGES[0], SPLITS[0]).when(u < SPLIT_EDGES[1], SPLITS[1]).otherwise(SPLITS[2])
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """Use all cores for a table that comes in fewer pieces than there are cores, such as one row group.
 
-    ``df`` is a plain scan. A large table has many pieces and is left alone, without a shuffle.
+    ``df`` is a plain scan, or a stream over the files of the batch scan ``scan``. A large table has many pieces and is
+    left alone, without a shuffle.
     """
     wanted = min(df.sparkSession.sparkContext.defaultParallelism, MAX_SPREAD)
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    pieces = (df if scan is None else scan).rdd.getNumPartitions()
+    return df.repartition(wanted) if pieces < wanted else df
 
 
 def load_corpus(spark: SparkSession, path: str, split: str | None = None, key: str | None = None) -> DataFrame:

@@ -127,3 +127,10 @@ def test_generator_accuracy(spark):
         [([0.0, 1.0], 1, True), ([3.0, 1.0], 1, True), ([0.0, 9.0], -100, False)], "logits array<double>, mlm_label int, masked boolean"
     )
     assert value(O.generator_accuracy(df), "gen_acc") == 0.5
+
+
+def test_weights_meet_classes_not_rows(spark):
+    df = spark.createDataFrame([([1.0, 0.0], 0)], "logits array<double>, target int")
+    plan = O.weighted_cross_entropy(df, L.class_weights(df), num_labels=2)._jdf.queryExecution().executedPlan().toString()
+    # The aggregate over rows is below the join.
+    assert plan.index("Join") < plan.index("partial_sum(CASE WHEN")

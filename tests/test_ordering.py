@@ -77,3 +77,9 @@ def test_batches_keep_the_short_last_one(spark):
 def test_first_batches(spark):
     rows = O.first_batches(spark.range(300), "id", 9, 32, 5).collect()
     assert len(rows) == 160 and {r.batch_id for r in rows} == set(range(5))
+
+
+def test_take_filters_before_the_shuffle(spark):
+    plan = O.global_shuffle(spark.range(500), "id", 5, take=70)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Window") < plan.index("Exchange hashpartitioning(_bucket") < plan.index("BroadcastHashJoin")
+    assert "< 70" in plan

@@ -128,3 +128,23 @@ def test_decode_without_padding_keeps_the_last_token(spark, trained):
 def test_length_profile(spark):
     r = V.length_profile(corpus(spark, [["a"] * 513, ["a"] * 512, None, []])).first()
     assert (r.longest, r.n_over, r.share_over, r.n_sequences) == (513, 1, 0.25, 4)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_encoding_needs_no_shuffle_and_one_pass(spark, trained):
+    df = spark.createDataFrame([(1, "[C]")], "k int, selfies string")
+    text = plan(encode_text(df, trained))
+    assert "Exchange" not in text and text.count("ArrowEvalPython") == 1
+
+
+def test_counting_combines_before_the_shuffle_and_tokenises_once(spark, tmp_path):
+    spark.createDataFrame([(1, "[C][N]")], "k int, selfies string").write.parquet(str(tmp_path / "m"))
+    from molweave.operators.encoding import tokenize
+
+    text = plan(V.train_vocab(tokenize(spark.read.parquet(str(tmp_path / "m")))))
+    assert "partial_count" in text and "TakeOrderedAndProject" in text
+    assert text.count("RLIKE") == 1
+    assert "ReadSchema: struct<selfies:string>" in text

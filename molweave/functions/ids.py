@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Special tokens take the first ids, in this order.
 SPECIAL_TOKENS = ["[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]"]
 UNK, CLS, SEP, PAD, MASK = range(5)
+# Model input length, and the label of positions a loss leaves out.
 MAX_LENGTH = 512
 IGNORE_LABEL = -100
 

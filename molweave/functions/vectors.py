@@ -89,5 +89,6 @@ def sign_prediction(x: Column) -> Column:
 
 def gumbel(u: Column) -> Column:
     """Gumbel noise of a uniform draw, with the small constant that keeps both logarithms finite."""
+    # Fixed value.
     eps = F.lit(1e-9)
     return -F.log(-F.log(u + eps) + eps)

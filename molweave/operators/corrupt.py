@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from molweave.functions.hashing import key_hash, position_state_np, position_uniform
 from molweave.functions.ids import IGNORE_LABEL, MASK, PAD
 
+# Fixed value: share of positions masked.
 MASK_PROB = 0.15
 TOP_K = 16
 # Left neighbour of the back-off row: the proposals used where the neighbour was never seen.

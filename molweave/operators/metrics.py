@@ -56,10 +56,19 @@ def auroc(df: DataFrame, score="pred", target="target", by=()) -> DataFrame:
     order: pairs inside a part come from a running sum within it, pairs across parts from the part totals. No group is
     ordered in one task, however many rows it has, and only one row per part reaches the last window.
     """
-    positive, scored = F.col(target) == 1, F.col(score).isNotNull()
-    counts = df.groupBy(*by, F.col(score).alias("_s")).agg(
+    return area(score_counts(df, F.col(score), target, by), by)
+
+
+def score_counts(df: DataFrame, score: Column, target: str, by=()) -> DataFrame:
+    """(by..., _s, _p, _n): positives and negatives per score; rows without a score or target count as neither."""
+    positive, scored = F.col(target) == 1, score.isNotNull()
+    return df.groupBy(*by, score.alias("_s")).agg(
         F.count_if(scored & positive).alias("_p"), F.count_if(scored & ~positive).alias("_n")
     )
+
+
+def area(counts: DataFrame, by=()) -> DataFrame:
+    """Area under the curve from counts per score."""
     parts = counts.repartitionByRange(*by, "_s").withColumn("_part", F.spark_partition_id())
     before = Window.partitionBy("_part", *by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("_n").over(before), F.lit(0))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from molweave.functions.hashing import uniform
 from molweave.sources.scratch import stored
 
+# Fixed value: rows of a shuffle buffer.
 SHUFFLE_BUFFER = 10_000
 # Buckets per shuffle partition: many small buckets spread evenly, and their offsets still fit in a broadcast.
 BUCKETS_PER_PARTITION = 16

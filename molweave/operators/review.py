@@ -10,6 +10,7 @@ from molweave.functions.ids import PAD
 from molweave.operators.corrupt import positions_of
 from molweave.operators.vocab import BROADCAST_LIMIT, join_vocab
 
+# Fixed value: batches looked at.
 REVIEW_BATCHES = 5
 
 

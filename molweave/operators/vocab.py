@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from molweave.functions.ids import PAD, SPECIAL_TOKENS, UNK
 
+# Fixed value: entries of a vocabulary, special tokens included.
 MAX_VOCAB = 30_000
 # Entries a broadcast vocabulary may have. Beyond it, the rest is joined by a shuffle.
 BROADCAST_LIMIT = 500_000
@@ -43,8 +44,10 @@ def train_vocab(df: DataFrame, tokens: str = "tokens", max_size: int = MAX_VOCAB
 
 
 def special_rows(spark: SparkSession) -> DataFrame:
-    rows = [(t, i, 0) for i, t in enumerate(SPECIAL_TOKENS)]
-    return spark.createDataFrame(rows, "token string, id int, n bigint").coalesce(1)
+    ids = spark.range(0, len(SPECIAL_TOKENS), 1, 1)
+    names = F.array(*[F.lit(t) for t in SPECIAL_TOKENS])
+    place = F.col("id").cast("int")
+    return ids.select(F.get(names, place).alias("token"), place.alias("id"), F.lit(0).cast("bigint").alias("n"))
 
 
 def vocab_size(vocab: DataFrame, limit: int = BROADCAST_LIMIT) -> int | None:
@@ -83,7 +86,11 @@ def token_lookup(vocab: DataFrame, limit: int = BROADCAST_LIMIT):
 
 
 def encode(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "ids") -> DataFrame:
-    """Add the ids of ``tokens``; unknown tokens become [UNK], null stays null. A map-only plan."""
+    """Add the ids of ``tokens``; unknown tokens become [UNK], null stays null. A map-only plan.
+
+    Here and below ``vocab`` is a written table (``save_vocab``): it is read when the plan is made, and a vocabulary that is
+    still a plan would be counted again each time.
+    """
     return df.withColumn(out, token_lookup(vocab)(F.col(tokens)))
 
 

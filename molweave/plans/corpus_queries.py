@@ -281,6 +281,17 @@ def stream_metrics(spark, sf):
     return made.select("epoch", "split", "n", *[F.round(c, 6).alias(c) for c in ("rmse", "mae", "pearsonr")])
 
 
+@query(
+    "stream_auroc",
+    f"""WITH {S.PREDS}, b AS (SELECT split, floor(score * 1000 + 0.5) AS s, label FROM preds)
+    SELECT split, round(roc, 6) AS roc FROM ({S.roc_rows('b', 'split', 's', 'label')})""",
+)
+def stream_auroc(spark, sf):
+    lines = C.stream_corpus(spark, f"{sf}/lineitem*.parquet", T.table(spark, sf, "lineitem").schema)
+    scored = lines.select(T.line_split().alias("split"), *T.line_scores())
+    return jobs.stream_auroc(scored, "score", "label", ["split"]).select("split", F.round("roc", 6).alias("roc"))
+
+
 # The tables come as one file each, so two steps read all of it.
 @query("stream_limit", "SELECT doc_id, lang, n_chars FROM documents")
 def stream_limit(spark, sf):

@@ -134,19 +134,27 @@ def head_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_split() -> Column:
+    return F.when(F.col("l_linestatus") == "O", "train").otherwise("validation")
+
+
+def line_scores() -> list[Column]:
+    """A score with many ties and a two-class label, per order line."""
+    return [(F.col("l_discount") * 10).alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("label")]
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regression and binary predictions per order line; an order is a batch."""
     price, guess = F.col("l_extendedprice"), F.col("l_quantity") * 1500
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("run"),
         F.col("l_linenumber").alias("epoch"),
-        F.when(F.col("l_linestatus") == "O", "train").otherwise("validation").alias("split"),
+        line_split().alias("split"),
         F.col("l_orderkey").alias("batch_id"),
         guess.alias("pred"),
         price.alias("target"),
         ((guess - price) * (guess - price)).alias("loss"),
-        (F.col("l_discount") * 10).alias("score"),
-        (F.col("l_returnflag") == "R").cast("int").alias("label"),
+        *line_scores(),
     )
 
 

@@ -15,9 +15,11 @@ from pyspark.sql.streaming import StreamingQuery
 from molweave.functions.ids import MAX_LENGTH
 from molweave.operators.corrupt import MASK_PROB, mask_sequences
 from molweave.operators.encoding import encode_text
-from molweave.operators.metrics import mae_of, pearson_of, rmse_of
+from molweave.operators.metrics import area, mae_of, pearson_of, rmse_of, score_counts
 from molweave.sources.scratch import fresh_path
 
+SCORE_BINS = 1000
+
 
 def stream_encode(stream: DataFrame, vocab: DataFrame, text: str = "selfies", max_length: int = MAX_LENGTH) -> DataFrame:
     """Encode a stream against a fixed vocabulary; stateless."""
@@ -47,7 +49,7 @@ def metric_table(df: DataFrame, pred="pred", target="target", by=("epoch", "spli
     """Regression metrics per (epoch, split).
 
     Each is made of mergeable aggregates, so the state holds a few numbers per group. An exact AUROC has no bounded
-    state and is a batch operator only.
+    state: the batch operator is exact, ``stream_auroc`` works on a histogram.
     """
     p, t = F.col(pred).cast("double"), F.col(target).cast("double")
     return df.groupBy(*by).agg(
@@ -72,25 +74,39 @@ def run_metrics(metrics: DataFrame, publish: Callable[[DataFrame, int], None], s
     )
 
 
-def stream_metrics(stream: DataFrame, pred="pred", target="target", by=("epoch", "split")) -> DataFrame:
-    """Drain a stream of predictions and return its metrics.
+def drain_table(table: DataFrame, kind: str) -> DataFrame:
+    """Run a streaming aggregate to the end of what is there and return its last state.
 
-    Each batch writes the whole (small) table under its own batch number, so the metrics can be read while the stream
-    runs and a repeated batch overwrites itself.
+    Each batch writes the whole (small) table under its own batch number, so it can be read while the stream runs and a
+    repeated batch overwrites itself.
     """
-    spark = stream.sparkSession
-    out, state = fresh_path(spark, "metrics"), fresh_path(spark, "metrics-state")
-    metrics = metric_table(stream, pred, target, by)
+    spark = table.sparkSession
+    out, state = fresh_path(spark, kind), fresh_path(spark, f"{kind}-state")
     last: list[int] = []
 
-    def publish(table: DataFrame, batch: int) -> None:
-        table.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    def publish(now: DataFrame, batch: int) -> None:
+        now.write.mode("overwrite").parquet(f"{out}/batch={batch}")
         last[:] = [batch]
 
-    run_metrics(metrics, publish, state).awaitTermination()
+    run_metrics(table, publish, state).awaitTermination()
     if not last:
-        return spark.createDataFrame([], metrics.schema)
-    return spark.read.schema(metrics.schema).parquet(f"{out}/batch={last[0]}")
+        return spark.createDataFrame([], table.schema)
+    return spark.read.schema(table.schema).parquet(f"{out}/batch={last[0]}")
+
+
+def stream_metrics(stream: DataFrame, pred="pred", target="target", by=("epoch", "split")) -> DataFrame:
+    """Drain a stream of predictions and return its regression metrics."""
+    return drain_table(metric_table(stream, pred, target, by), "metrics")
+
+
+def stream_auroc(stream: DataFrame, pred="pred", target="target", by=("epoch", "split"), bins: int = SCORE_BINS) -> DataFrame:
+    """Area under the curve of a stream of scores in [0, 1], to the resolution of ``bins``.
+
+    The state is a histogram: at most ``bins`` + 1 rows per group, however long the stream. Scores in one bin count as ties,
+    so scores that are multiples of 1 / ``bins`` give the exact area.
+    """
+    binned = F.floor(F.col(pred) * bins + 0.5)
+    return area(drain_table(score_counts(stream, binned, target, by), "scores"), by)
 
 
 def stream_limit(stream: DataFrame, steps: int, kind: str = "limited") -> DataFrame:

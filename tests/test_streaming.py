@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from molweave.operators.corrupt import mask_sequences
 from molweave.operators.encoding import encode_text, tokenize
-from molweave.operators.metrics import pearson_of, rmse_of
+from molweave.operators.metrics import auroc, pearson_of, rmse_of
 from molweave.operators.vocab import train_vocab
 from molweave.sources.corpus import stream_corpus
 from molweave.streaming import jobs as J
@@ -64,3 +64,16 @@ def test_a_stream_goes_on_from_its_state(spark, tmp_path):
     spark.range(10, 15).write.parquet(source + "/b")
     run()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(15))
+
+
+def test_stream_auroc_is_exact_on_binned_scores(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    rows = spark.range(2000).select(
+        F.lit(0).alias("epoch"),
+        F.lit("val").alias("split"),
+        (F.pmod(F.hash("id"), F.lit(101)) / 100.0).alias("pred"),
+        (F.pmod(F.hash(F.col("id") + 7), F.lit(3)) == 0).cast("int").alias("target"),
+    )
+    rows.repartition(4).write.parquet(path)
+    got = J.stream_auroc(stream_corpus(spark, path, rows.schema, 1)).first().roc
+    assert got == pytest.approx(auroc(spark.read.parquet(path)).first().roc, abs=1e-12)

@@ -148,3 +148,10 @@ def test_counting_combines_before_the_shuffle_and_tokenises_once(spark, tmp_path
     assert "partial_count" in text and "TakeOrderedAndProject" in text
     assert text.count("RLIKE") == 1
     assert "ReadSchema: struct<selfies:string>" in text
+
+
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_vocabulary_is_independent_of_partitions(spark, parts):
+    rows = corpus(spark, [[f"t{(i * j) % 11}" for j in range(i % 9)] for i in range(80)])
+    want = [tuple(r) for r in V.train_vocab(rows.coalesce(1)).orderBy("id").collect()]
+    assert [tuple(r) for r in V.train_vocab(rows.repartition(parts)).orderBy("id").collect()] == want

@@ -236,7 +236,7 @@ def generator_accuracy(spark, sf):
 
 @query(
     "discriminator_pred",
-    f"WITH {S.HEAD_POSITIONS} SELECT vec_id, pos, CAST(disc_logit > 0 AS INTEGER) AS pred FROM hp",
+    f"WITH {S.HEAD_POSITIONS} SELECT vec_id, CAST(pos AS INTEGER) AS pos, CAST(disc_logit > 0 AS INTEGER) AS pred FROM hp",
 )
 def discriminator_pred(spark, sf):
     return T.head_positions(spark, sf).select("vec_id", "pos", X.sign_prediction(F.col("disc_logit")).alias("pred"))

@@ -37,7 +37,7 @@ def ignore_mask(spark, sf):
 
 @query(
     "bernoulli_mask",
-    f"""WITH {S.POSITIONS} SELECT pos, count(*) FILTER (masked) AS n_masked, CAST(sum(CASE WHEN masked THEN mol_id ELSE 0 END) AS BIGINT)
+    f"""WITH {S.POSITIONS} SELECT CAST(pos AS INTEGER) AS pos, count(*) FILTER (masked) AS n_masked, CAST(sum(CASE WHEN masked THEN mol_id ELSE 0 END) AS BIGINT)
     AS mol_sum, count(*) AS n FROM masked GROUP BY pos""",
 )
 def bernoulli_mask(spark, sf):

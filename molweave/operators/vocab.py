@@ -20,7 +20,8 @@ def train_vocab(df: DataFrame, tokens: str = "tokens", max_size: int = MAX_VOCAB
     """(token, id, n): special tokens first, then by count descending and token ascending.
 
     Counting is a hash aggregate with map-side partial sums, so a very frequent symbol costs one row per task in the
-    shuffle. The ranking window has no partition but runs over at most ``max_size`` rows.
+    shuffle. Each task then keeps its own first ``max_size`` tokens, so the task that merges them sees no more than that per
+    partition of distinct tokens, and the ranking window no more than that in all.
 
     The outer form of explode is deliberate, here and below: for the plain one Spark infers a filter on the array's size
     and moves it under the projection, which would compute the tokens again.

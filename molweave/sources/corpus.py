@@ -56,15 +56,17 @@ def load_corpus(spark: SparkSession, path: str, split: str | None = None, key: s
     With a ``split`` partition column the filter prunes directories; without one, ``key`` decides the split by hash.
     """
     df = spark.read.parquet(path)
-    if "split" not in df.columns:
-        if key is None:
-            raise ValueError("the corpus has no split column: name the key that splits it")
-        df = df.withColumn("split", split_of(key))
-    if split is None:
-        return df
-    if split not in SPLITS:
+    if split is not None and split not in SPLITS:
         raise ValueError(f"unknown split {split!r}")
-    return df.filter(F.col("split") == split)
+    if "split" in df.columns:
+        return df if split is None else df.filter(F.col("split") == split)
+    if key is None:
+        raise ValueError("the corpus has no split column: name the key that splits it")
+    if split is None:
+        return df.withColumn("split", split_of(key))
+    low, high = dict(zip(SPLITS, zip([0.0, *SPLIT_EDGES], [*SPLIT_EDGES, 1.0])))[split]
+    u = uniform(SPLIT_SEED, key)
+    return df.filter((u >= low) & (u < high)).withColumn("split", F.lit(split))
 
 
 def stream_corpus(

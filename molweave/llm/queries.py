@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from molweave.llm import exact, langid, lengths, mixing, packing, toxicity
+from molweave.llm import chosen_path, collision, exact, langid, lengths, licenses, mixing, packing, pages, toxicity
 from molweave.plans.registry import query
 from molweave.plans.sql import u
 
@@ -18,6 +21,44 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _phrase_starts(phrase: str) -> str:
+    parts = phrase.split()
+    same = " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(parts))
+    return f"list_filter(range(0, len(ws)), lambda i: {same})"
+
+
+_FOLDED = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+_STARTS = ", ".join(f"{_phrase_starts(phrase)} AS at_{i}" for i, phrase in enumerate(licenses.BASE))
+_ALL_STARTS = " || ".join(f"at_{i}" for i in range(len(licenses.BASE)))
+_BASE_LABELS = ", ".join(f"CASE WHEN len(at_{i}) > 0 THEN '{label}' END" for i, label in enumerate(licenses.BASE.values()))
+_TEMPLATES = ", ".join(
+    f"('{label}', {sorted(set(t.split()))}, {licenses.needed(len(set(t.split())), licenses.THRESHOLD)})" for label, t in licenses.TEMPLATES
+)
+LICENSE_SQL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {_FOLDED} AS t FROM documents),
+w AS (SELECT doc_id, rid, regexp_extract_all(t, '{licenses.WORD}') AS ws FROM d),
+b AS (SELECT doc_id, rid, len(ws) AS n_words, {_STARTS} FROM w),
+lines AS (SELECT rid, regexp_extract_all(line, '{licenses.WORD}') AS ws
+          FROM (SELECT rid, unnest(regexp_split_to_array(t, '[
+]+')) AS line FROM d)),
+blocks AS (SELECT rid, ws[s + 1 : s + {licenses.WINDOW}] AS block
+           FROM (SELECT rid, ws, unnest(range(0, greatest(1, len(ws) - {licenses.STRIDE}), {licenses.STRIDE})) AS s FROM lines)),
+templates(label, tokens, c) AS (VALUES {_TEMPLATES}),
+met AS (SELECT rid, label, max(len(list_intersect(tokens, list_distinct(block))) / len(tokens)) AS best
+        FROM blocks JOIN templates ON len(list_intersect(tokens, list_distinct(block))) >= c GROUP BY rid, label),
+per AS (SELECT rid, list(label) AS met, max(best) AS best FROM met GROUP BY rid)
+SELECT doc_id, n_words, len({_ALL_STARTS}) AS n_base, list_min({_ALL_STARTS}) AS first_word, list_max({_ALL_STARTS}) AS last_word,
+       array_to_string(list_sort(list_filter([{_BASE_LABELS}], lambda x: x IS NOT NULL)), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_filter([{_BASE_LABELS}], lambda x: x IS NOT NULL) || coalesce(met, []))), ',') AS labels,
+       greatest(CASE WHEN len({_ALL_STARTS}) > 0 THEN 1.0 ELSE 0.0 END, coalesce(best, 0.0)) AS score
+FROM b LEFT JOIN per USING (rid)"""
+
+
+@query("op2_license_scan", LICENSE_SQL)
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 EXACT_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm,
                   length(coalesce(text, '')) AS n FROM documents),
@@ -70,6 +111,40 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+_SHINGLE = chosen_path.SHINGLE
+JACCARD_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '{licenses.WORD}') AS ws FROM documents),
+k AS (SELECT doc_id, ws, array_to_string(ws, ' ') AS words FROM w),
+reps AS (SELECT words, any_value(ws) AS ws, min(doc_id) AS rep, count(*) AS n_copies FROM k WHERE len(ws) > 0 GROUP BY words),
+s AS (SELECT DISTINCT rep, array_to_string(ws[i : i + {_SHINGLE - 1}], ' ') AS run
+      FROM (SELECT rep, ws, unnest(range(1, greatest(1, len(ws) - {_SHINGLE - 1}) + 1)) AS i FROM reps)),
+n AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+c AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM s a JOIN s b ON a.run = b.run AND a.rep <> b.rep GROUP BY ALL),
+e AS (SELECT c.a, c.b FROM c JOIN n na ON na.rep = c.a JOIN n nb ON nb.rep = c.b
+      WHERE 10 * c.c >= {round(10 * chosen_path.THRESHOLD)} * (na.n + nb.n - c.c)),
+r AS (SELECT rep AS node, rep AS low FROM reps UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node),
+g AS (SELECT node, min(low) AS class_id FROM r GROUP BY node),
+l AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT k.doc_id, coalesce(g.class_id, k.doc_id) AS class_id, coalesce(l.n_links, 0) AS n_links, coalesce(reps.n_copies, 1) AS n_copies
+FROM k LEFT JOIN reps USING (words) LEFT JOIN g ON g.node = reps.rep LEFT JOIN l ON l.a = reps.rep"""
+
+
+@query("op7_ngram_jaccard_join", JACCARD_SQL)
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query("op8_html_extraction")
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op9_nearest_neighbours")
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return collision.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_counts(table(spark, sf_dir, "documents"))

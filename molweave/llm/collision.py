@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 PROJECTIONS = 64
 THRESHOLD = 0.85
-VERIFY_SHARE = 0.15
-VERIFY_LEAST = 64
+VERIFY_SHARE = 0.2
+VERIFY_LEAST = 512
 # First window, in deviations of the projections, and the factor of each widening.
 FIRST_WINDOW = 1.7
 WIDEN = 1.12

@@ -206,6 +206,9 @@ class Reader:
             return
         digest = hashlib.blake2b(element.tag.encode("utf-8", "replace") + b"\0" + b"\0".join(element.parts), digest_size=8).digest()
         value = int.from_bytes(digest, "little", signed=True)
+        # A removed subtree still counts in the hash of the one around it, so that both readings give the same hashes.
+        if self.open and element.parts:
+            self.open[-1].parts.append(digest)
         if element.tag not in KEPT_ALWAYS and element.parts:
             self.subtrees.append(value)
             if value in self.removed:
@@ -213,8 +216,6 @@ class Reader:
                 for name, ranges in self.kept.items():
                     self.kept[name] = [r for r in ranges if r[0] < element.start]
                 return
-        if self.open and element.parts:
-            self.open[-1].parts.append(digest)
         if element.tag in self.kept:
             inner = [r for r in self.kept[element.tag] if r[0] < element.start]
             self.kept[element.tag] = [*inner, (element.start, len(self.text))]

@@ -5,61 +5,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Metrics where larger is better; all others are minimised.
-MAXIMIZED = ["pearsonr", "roc", "precision"]
+# The goals of the metrics this package makes, for callers to pass on.
+METRIC_GOALS = {"loss": "minimize", "rmse": "minimize", "mae": "minimize", "pearsonr": "maximize", "roc": "maximize", "precision": "maximize"}
+# Split prefixes of logged metric names.
+PREFIXES = ["train", "val", "test"]
 # Epochs per block of a running aggregate.
 BLOCK = 4096
 
 
-def running(df: DataFrame, keys: list[str], order: str, block: str, aggs: dict[str, tuple]) -> DataFrame:
-    """Add running aggregates over the rows of ``keys`` before the current one, in ``order``.
+def goal_sign(name: Column, goals: dict[str, str] | Column) -> Column:
+    """1 to maximise, -1 to minimise.
 
-    ``aggs`` maps an output column to (aggregate function, column). ``block`` is a monotone function of ``order``: each
-    block is summed first and the sums are carried over, so a window holds one block at a time and a long run is spread
-    over many tasks.
+    ``goals`` maps metric names to "maximize" or "minimize", or is a column that holds the goal. A name is looked up as it is,
+    then without its split prefix; a metric without a goal is an error.
     """
-    totals = df.groupBy(*keys, block).agg(*[fn(c).alias(f"_t_{name}") for name, (fn, c) in aggs.items()])
-    earlier_blocks = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys, block, *[fn(f"_t_{name}").over(earlier_blocks).alias(f"_c_{name}") for name, (fn, _) in aggs.items()]
+    if isinstance(goals, Column):
+        goal = goals
+    else:
+        wrong = sorted(set(goals.values()) - {"maximize", "minimize"})
+        if wrong or not goals:
+            raise ValueError(f"a goal is 'maximize' or 'minimize', not {wrong}")
+        table = F.create_map(*[F.lit(x) for pair in goals.items() for x in pair])
+        bare = F.regexp_replace(name, f"^({'|'.join(PREFIXES)})_", "")
+        goal = F.coalesce(F.try_element_at(table, name), F.try_element_at(table, bare))
+    unknown = F.raise_error(F.concat(F.lit("no goal for metric "), F.coalesce(name, F.lit("null")))).cast("double")
+    return F.when(goal == "maximize", 1.0).when(goal == "minimize", -1.0).otherwise(unknown)
+
+
+def _followed(log: DataFrame, goals, keys: list[str], epoch: str, name: str, value: str) -> DataFrame:
+    """The log with _sign, _score, step and _lead: the best score of earlier rows and its earliest step, negated.
+
+    The earliest row that holds the best score is the last strict improvement. A block of epochs is numbered and reduced first,
+    block results are carried over, and each row meets them once, so a long run is spread over many tasks.
+    """
+    sign = goal_sign(F.col(name), goals)
+    score = F.when(~F.isnan(value), F.col("_sign") * F.col(value))
+    rows = log.withColumn("_sign", sign).withColumn("_score", score).withColumn("_block", F.floor(F.col(epoch) / BLOCK))
+    inside = Window.partitionBy(*keys, "_block").orderBy(epoch)
+    local = rows.withColumn("_place", F.row_number().over(inside))
+    lead = F.when(F.col("_score").isNotNull(), F.struct(F.col("_score").alias("score"), (-F.col("_place")).alias("step")))
+    totals = local.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"), F.max(lead).alias("_best"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    moved = F.when(
+        F.col("_best").isNotNull(), F.struct(F.col("_best.score").alias("score"), (F.col("_best.step") - F.col("_offset")).alias("step"))
     )
-    inside = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = df.select("*", *[fn(c).over(inside).alias(f"_l_{name}") for name, (fn, c) in aggs.items()])
-    merge = {F.max: F.greatest, F.sum: lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))}
-    renamed = carried.withColumnsRenamed({k: f"_k_{k}" for k in [*keys, block]})
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*keys, block]]
-    joined = local.join(renamed, same).drop(*[f"_k_{k}" for k in [*keys, block]])
-    for name, (fn, _) in aggs.items():
-        joined = joined.withColumn(name, merge[fn](F.col(f"_c_{name}"), F.col(f"_l_{name}")))
-    return joined.drop(*[f"_{kind}_{name}" for kind in "cl" for name in aggs])
-
+    carried = offsets.withColumn("_best", moved).withColumn("_carried", F.max("_best").over(earlier))
+    renamed = carried.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, "_block"]], "_offset", "_carried")
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*keys, "_block"]]
+    joined = local.join(renamed, same).withColumn("step", F.col("_offset") + F.col("_place"))
+    own = F.when(F.col("_score").isNotNull(), F.struct(F.col("_score").alias("score"), (-F.col("step")).alias("step")))
+    before = F.max(own).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    led = joined.withColumn("_lead", F.greatest("_carried", before))
+    return led.drop(*[f"_k_{k}" for k in [*keys, "_block"]], "_offset", "_carried", "_block", "_place")
 
-def goal_sign(name: Column) -> Column:
-    return F.when(name.isin(MAXIMIZED), F.lit(1.0)).otherwise(F.lit(-1.0))
 
-
-def running_best(log: DataFrame, keys=("run", "name"), epoch="epoch", name="name", value="value") -> DataFrame:
+def running_best(log: DataFrame, goals: dict[str, str] | Column, keys=("run", "name"), epoch="epoch", name="name", value="value") -> DataFrame:
     """Add step (rows of the run so far), improved (a strict improvement) and best (the best value so far).
 
     NaN never improves. A run starts from the worst possible value, so its first number is an improvement.
     """
-    keys = list(keys)
-    sign = goal_sign(F.col(name))
-    score = sign * F.when(~F.isnan(value), F.col(value))
-    rows = log.withColumn("_score", score).withColumn("_one", F.lit(1)).withColumn("_block", F.floor(F.col(epoch) / BLOCK))
-    ran = running(rows, keys, epoch, "_block", {"_before": (F.max, "_score"), "_rows": (F.sum, "_one")})
-    floor = F.coalesce(F.col("_before"), F.lit(float("-inf")))
-    improved = F.coalesce(F.col("_score") > floor, F.lit(False))
-    return (
-        ran.withColumn("step", F.col("_rows") + 1)
-        .withColumn("improved", improved)
-        .withColumn("best", sign * F.greatest("_before", "_score"))
-        .drop("_score", "_one", "_block", "_before", "_rows")
-    )
+    ran = _followed(log, goals, list(keys), epoch, name, value)
+    improved = F.coalesce(F.col("_score") > F.coalesce(F.col("_lead.score"), F.lit(float("-inf"))), F.lit(False))
+    best = F.col("_sign") * F.greatest("_lead.score", "_score")
+    return ran.withColumn("improved", improved).withColumn("best", best).drop("_sign", "_score", "_lead")
 
 
 def early_stop_epoch(
-    log: DataFrame, patience: int | None, keys=("run", "name"), epoch="epoch", name="name", value="value"
+    log: DataFrame, patience: int | None, goals: dict[str, str] | Column, keys=("run", "name"), epoch="epoch", name="name", value="value"
 ) -> DataFrame:
     """(keys..., stop_epoch, last_epoch): the first epoch at which ``patience`` epochs brought no improvement.
 
@@ -69,23 +82,25 @@ def early_stop_epoch(
     if not patience or patience < 0:
         never = F.lit(None).cast(log.schema[epoch].dataType)
         return log.groupBy(*keys).agg(never.alias("stop_epoch"), F.max(epoch).alias("last_epoch"))
-    best = running_best(log, keys, epoch, name, value)
-    rows = best.withColumn("_hit", F.when(F.col("improved"), F.col("step"))).withColumn(
-        "_block", F.floor((F.col("step") - 1) / BLOCK)
-    )
-    ran = running(rows, keys, "step", "_block", {"_last": (F.max, "_hit")})
-    last = F.coalesce(F.greatest("_last", "_hit"), F.lit(0))
+    ran = _followed(log, goals, keys, epoch, name, value)
+    improved = F.coalesce(F.col("_score") > F.coalesce(F.col("_lead.score"), F.lit(float("-inf"))), F.lit(False))
+    last = F.when(improved, F.col("step")).otherwise(F.coalesce(-F.col("_lead.step"), F.lit(0)))
     stopped = F.when(F.col("step") - last == patience, F.col(epoch))
     return ran.groupBy(*keys).agg(F.min(stopped).alias("stop_epoch"), F.max(epoch).alias("last_epoch"))
 
 
-def best_trial(trials: DataFrame, by="dataset", run="run", name="name", value="value") -> DataFrame:
-    """(by, run, value) of the best trial by the metric's own goal; equal values go to the smaller run id.
+def best_trial(
+    trials: DataFrame, goals: dict[str, str] | Column, metric: str | None = None, by="dataset", run="run", name="name", value="value"
+) -> DataFrame:
+    """(by, name, run, value) of the best trial by the metric's goal; equal values go to the smaller run id.
 
-    A minimum over structs combines on the map side, so no group is sorted.
+    ``metric`` names the one metric that decides, as a sweep declares it; without it there is a best trial per metric. A
+    minimum over structs combines on the map side, so no group is sorted.
     """
-    rank = -goal_sign(F.col(name)) * F.col(value)
     usable = trials.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    if metric is not None:
+        usable = usable.filter(F.col(name) == metric)
+    rank = -goal_sign(F.col(name), goals) * F.col(value)
     best = usable.groupBy(by, name).agg(F.min(F.struct(rank.alias("rank"), F.col(run), F.col(value))).alias("b"))
     return best.select(by, name, F.col(f"b.{run}").alias(run), F.col(f"b.{value}").alias(value))
 

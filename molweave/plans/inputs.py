@@ -185,12 +185,6 @@ def event_predictions(events: DataFrame) -> DataFrame:
     )
 
 
-def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dataset, run, name, value): the last logged value of each run."""
-    log = metric_log(spark, sf_dir)
-    return log.groupBy(F.col("split").alias("dataset"), "run", "name").agg(F.max_by("value", "epoch").alias("value"))
-
-
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     before = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     changed = F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))

@@ -116,45 +116,54 @@ def non_pad_positions(spark, sf):
 
 # ---- runs -----------------------------------------------------------------------------------------------------------
 
-_SCORED = f"""{S.LOG}, signed AS (SELECT *, CASE WHEN name IN ('pearsonr', 'roc', 'precision') THEN value ELSE -value END AS s,
-  row_number() OVER (PARTITION BY run, split, name ORDER BY epoch) AS step FROM mlog),
-prior AS (SELECT *, max(s) OVER (PARTITION BY run, split, name ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
+# Names as epoch_metrics logs them; the SQL states each goal by itself.
+_LOGGED = f"""{S.LOG}, logged AS (SELECT run, epoch, CASE split WHEN 'train' THEN 'train_' ELSE 'val_' END || name AS name, value FROM mlog)"""
+_SCORED = f"""{_LOGGED}, signed AS (SELECT *, CASE WHEN name IN ('train_pearsonr', 'val_pearsonr', 'train_roc', 'val_roc',
+    'train_precision', 'val_precision') THEN value ELSE -value END AS s,
+  row_number() OVER (PARTITION BY run, name ORDER BY epoch) AS step FROM logged),
+prior AS (SELECT *, max(s) OVER (PARTITION BY run, name ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
   FROM signed),
-best AS (SELECT run, epoch, split, name, value, step, s > coalesce(b, '-infinity'::DOUBLE) AS improved,
+best AS (SELECT run, epoch, name, value, step, s > coalesce(b, '-infinity'::DOUBLE) AS improved,
   abs(greatest(b, s)) AS best FROM prior)"""
 
 
 def _log(spark, sf):
-    return T.metric_log(spark, sf)
+    prefix = F.when(F.col("split") == "train", "train").otherwise("val")
+    return T.metric_log(spark, sf).select("run", "epoch", F.concat_ws("_", prefix, "name").alias("name"), "value")
 
 
-_RUN = ("run", "split", "name")
-
-
-@query("running_best", f"WITH {_SCORED} SELECT run, epoch, split, name, value, step, improved, best FROM best")
+@query("running_best", f"WITH {_SCORED} SELECT run, epoch, name, value, step, improved, best FROM best")
 def running_best(spark, sf):
-    return runs.running_best(_log(spark, sf), _RUN)
+    return runs.running_best(_log(spark, sf), runs.METRIC_GOALS)
 
 
 @query(
     "early_stop_epoch",
     f"""WITH {_SCORED}, waits AS (SELECT *, step - coalesce(max(CASE WHEN improved THEN step END) OVER (
-      PARTITION BY run, split, name ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS waited FROM best)
-    SELECT run, split, name, min(epoch) FILTER (waited = {PATIENCE}) AS stop_epoch, max(epoch) AS last_epoch
-    FROM waits GROUP BY run, split, name""",
+      PARTITION BY run, name ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS waited FROM best)
+    SELECT run, name, min(epoch) FILTER (waited = {PATIENCE}) AS stop_epoch, max(epoch) AS last_epoch
+    FROM waits GROUP BY run, name""",
 )
 def early_stop_epoch(spark, sf):
-    return runs.early_stop_epoch(_log(spark, sf), PATIENCE, _RUN)
+    return runs.early_stop_epoch(_log(spark, sf), PATIENCE, runs.METRIC_GOALS)
 
 
 @query(
     "best_trial",
-    f"""WITH {S.LOG}, t AS (SELECT split AS dataset, run, name, arg_max(value, epoch) AS value FROM mlog GROUP BY ALL)
-    SELECT dataset, name, run, value FROM t QUALIFY row_number() OVER (PARTITION BY dataset, name ORDER BY
-      CASE WHEN name IN ('pearsonr', 'roc', 'precision') THEN -value ELSE value END, run) = 1""",
+    f"""WITH {_LOGGED}, t AS (SELECT 'all' AS dataset, run, name, arg_max(value, epoch) AS value FROM logged GROUP BY run, name),
+    low AS (SELECT * FROM t WHERE name IN ('train_loss', 'val_loss', 'train_rmse', 'val_rmse')
+            QUALIFY row_number() OVER (PARTITION BY name ORDER BY value, run) = 1),
+    high AS (SELECT * FROM t WHERE name NOT IN (SELECT name FROM low)
+             QUALIFY row_number() OVER (PARTITION BY name ORDER BY value DESC, run) = 1),
+    sweep AS (SELECT 'sweep' AS dataset, run, name, value FROM t WHERE name = 'val_roc' ORDER BY value DESC, run LIMIT 1)
+    SELECT dataset, name, run, value FROM low UNION ALL SELECT dataset, name, run, value FROM high
+    UNION ALL SELECT dataset, name, run, value FROM sweep""",
 )
 def best_trial(spark, sf):
-    return runs.best_trial(T.trials(spark, sf))
+    """The best run of each metric, and of the one metric that a sweep declares with its goal."""
+    last = _log(spark, sf).groupBy("run", "name").agg(F.max_by("value", "epoch").alias("value")).withColumn("dataset", F.lit("all"))
+    sweep = runs.best_trial(last.withColumn("dataset", F.lit("sweep")), {"val_roc": "maximize"}, "val_roc")
+    return runs.best_trial(last, runs.METRIC_GOALS).unionByName(sweep)
 
 
 @query("unchanged_keys", "SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment IS DISTINCT FROM 'BUILDING'")

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from molweave.functions.ids import IGNORE_LABEL
+
 UNROLL_LIMIT = 32
 
 
@@ -61,10 +63,16 @@ def argmax(logits: Column) -> Column:
     return (F.array_position(logits, F.array_max(logits)) - 1).cast("int")
 
 
-def negative_log_likelihood(logits: Column, label: Column, num_labels: int | None = None) -> Column:
-    """logsumexp - logit[label]; null where the label is negative (ignored)."""
-    picked = F.get(logits, F.greatest(label, F.lit(0))).cast("double")
-    return F.when(label >= 0, log_sum_exp(logits, num_labels) - picked)
+def negative_log_likelihood(logits: Column, label: Column, num_labels: int | None = None, ignored: Column | None = None) -> Column:
+    """logsumexp - logit[label]; null where the label is ignored (IGNORE_LABEL unless told otherwise) or null.
+
+    Any other label outside the logits is an error: a row must not vanish from a mean.
+    """
+    left_out = label.isNull() | (label == IGNORE_LABEL if ignored is None else ignored)
+    inside = (label >= 0) & (label < F.size(logits))
+    outside = F.raise_error(F.concat(F.lit("label outside the logits: "), label.cast("string"))).cast("double")
+    nll = log_sum_exp(logits, num_labels) - F.get(logits, label).cast("double")
+    return F.when(~left_out, F.when(inside, nll).otherwise(outside))
 
 
 def soft_label_nll(logits: Column, targets: Column, num_labels: int | None = None) -> Column:

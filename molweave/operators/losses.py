@@ -26,7 +26,7 @@ DISCRIMINATOR_WEIGHT = 50.0
 
 
 def token_cross_entropy(df: DataFrame, logits="logits", label="label", num_labels=None, by=()) -> DataFrame:
-    """Mean negative log likelihood; negative labels are ignored."""
+    """Mean negative log likelihood; the ignored label is left out, any other outside the logits is an error."""
     nll = negative_log_likelihood(F.col(logits), F.col(label), num_labels)
     return df.groupBy(*by).agg(F.avg(nll).alias("loss"), F.count(nll).alias("n"))
 
@@ -34,12 +34,14 @@ def token_cross_entropy(df: DataFrame, logits="logits", label="label", num_label
 def weighted_cross_entropy(df: DataFrame, weights: DataFrame, logits="logits", target="target", num_labels=None) -> DataFrame:
     """sum(w * nll) / sum(w).
 
-    The weight depends on the class alone, so rows are summed per class first and only those sums meet the weights.
+    The weight depends on the class alone, so rows are summed per class first and only those sums meet the weights. A class
+    without a weight is an error.
     """
     nll = negative_log_likelihood(F.col(logits), F.col(target), num_labels)
     per_class = df.groupBy(F.col(target).alias("target")).agg(F.sum(nll).alias("nll"), F.count(nll).alias("n"))
-    joined = per_class.join(weights.select("target", "weight"), "target")
-    w = F.col("weight")
+    joined = per_class.filter("n > 0").join(weights.select("target", "weight"), "target", "left")
+    unknown = F.raise_error(F.concat(F.lit("no weight for class "), F.col("target").cast("string"))).cast("double")
+    w = F.coalesce("weight", unknown)
     return joined.agg(F.try_divide(F.sum(w * F.col("nll")), F.sum(w * F.col("n"))).alias("loss"))
 
 
@@ -65,7 +67,7 @@ def mse_loss(df: DataFrame, pairs: list[tuple[str, str]], by=()) -> DataFrame:
 
 def labelled_cross_entropy(df: DataFrame, logits="logits", label="label", num_labels=None) -> DataFrame:
     """Mean over rows with a label >= 0; 0 when there is none."""
-    nll = negative_log_likelihood(F.col(logits), F.col(label), num_labels)
+    nll = negative_log_likelihood(F.col(logits), F.col(label), num_labels, ignored=F.col(label) < 0)
     return df.agg(F.coalesce(F.avg(nll), F.lit(0.0)).alias("loss"))
 
 
@@ -110,17 +112,20 @@ def rtd_losses(
     y="disc_label",
     masked="masked",
     token="token_id",
+    hit: str | None = None,
     gen_weight: float = GENERATOR_WEIGHT,
     disc_weight: float = DISCRIMINATOR_WEIGHT,
 ) -> DataFrame:
     """Per batch: mlm_loss, disc_loss, their weighted sum, and disc_acc, in one aggregation over positions.
 
-    ``nll`` is null where a position has no label; the discriminator loss leaves out padding.
+    ``nll`` is null where a position has no label; the discriminator loss leaves out padding. ``hit`` names a column that is
+    true where the generator's best token is the label; with it gen_acc, its share of the masked positions, is added.
     """
     bce = F.when(F.col(token) != PAD, bce_with_logits(F.col(x), F.col(y).cast("double")))
     parts = df.groupBy(*by).agg(
         F.avg(nll).alias("mlm_loss"),
         F.avg(bce).alias("disc_loss"),
         _disc_accuracy(F.col(x), F.col(y), F.col(masked)).alias("disc_acc"),
+        *([F.avg(F.when(F.col(masked), F.col(hit).cast("double"))).alias("gen_acc")] if hit else []),
     )
     return parts.withColumn("loss", gen_weight * F.col("mlm_loss") + disc_weight * F.col("disc_loss"))

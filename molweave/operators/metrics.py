@@ -21,9 +21,15 @@ def pearson_of(pred: Column, target: Column) -> Column:
     return F.try_divide(F.covar_pop(pred, target), spread)
 
 
+def checked_score(score: Column) -> Column:
+    """The score; NaN has no place in an order and is an error."""
+    number = score.cast("double")
+    return F.when(F.isnan(number), F.raise_error(F.lit("a score is NaN")).cast("double")).otherwise(number)
+
+
 def precision_of(score: Column, target: Column) -> Column:
-    """True positives among rows scored above the threshold; 0 when there is none."""
-    said = score > THRESHOLD
+    """True positives among rows scored above the threshold; 0 when there is none. A NaN score is an error."""
+    said = checked_score(score) > THRESHOLD
     return F.coalesce(F.try_divide(F.count_if(said & (target == 1)), F.count_if(said)), F.lit(0.0))
 
 
@@ -60,9 +66,12 @@ def auroc(df: DataFrame, score="pred", target="target", by=()) -> DataFrame:
 
 
 def score_counts(df: DataFrame, score: Column, target: str, by=()) -> DataFrame:
-    """(by..., _s, _p, _n): positives and negatives per score; rows without a score or target count as neither."""
+    """(by..., _s, _p, _n): positives and negatives per score; rows without a score or target count as neither.
+
+    A NaN score is an error.
+    """
     positive, scored = F.col(target) == 1, score.isNotNull()
-    return df.groupBy(*by, score.alias("_s")).agg(
+    return df.groupBy(*by, checked_score(score).alias("_s")).agg(
         F.count_if(scored & positive).alias("_p"), F.count_if(scored & ~positive).alias("_n")
     )
 
@@ -105,6 +114,13 @@ def batch_mean_loss(df: DataFrame, loss="loss", batch="batch_id", by=("run", "ep
     return per_batch.groupBy(*by).agg(F.avg("_loss").alias("loss"), F.count(F.lit(1)).alias("n_batches"))
 
 
+def _named(rows: DataFrame, by: list[str], split: str, prefixes: dict[str, str], columns: list[str]) -> DataFrame:
+    """(by..., name, value) of wide rows, names with the prefix of their split."""
+    long = rows.unpivot([*by, split], columns, "name", "value")
+    prefix = F.element_at(F.create_map(*[F.lit(x) for pair in prefixes.items() for x in pair]), F.col(split))
+    return long.select(*by, F.concat_ws("_", prefix, F.col("name")).alias("name"), "value")
+
+
 def epoch_metrics(
     df: DataFrame,
     problem_type: str,
@@ -118,14 +134,57 @@ def epoch_metrics(
 ) -> DataFrame:
     """(by..., name, value): loss and the problem's metrics per epoch and split, named train_..., val_....
 
-    A new epoch is a new group, which is all a reset has to do.
+    A new epoch is a new group, which is all a reset has to do. Rows are reduced per batch, to counts, means and centred sums
+    that merge, and batches per epoch, so the table is read once; the area under the curve alone needs the scores themselves.
     """
+    if problem_type not in PROBLEM_METRICS:
+        raise ValueError(f"unknown problem type {problem_type!r}")
     keys = [*by, split]
-    losses = batch_mean_loss(df, loss, batch, keys).select(*keys, F.lit("loss").alias("name"), F.col("loss").alias("value"))
-    metrics = evaluate_predictions(df, problem_type, pred, target, keys)
-    prefix = F.element_at(F.create_map(*[F.lit(x) for pair in prefixes.items() for x in pair]), F.col(split))
-    named = losses.unionByName(metrics)
-    return named.select(*by, F.concat_ws("_", prefix, F.col("name")).alias("name"), "value")
+    p, t = F.col(pred).cast("double"), F.col(target).cast("double")
+    if problem_type == "classification":
+        said = checked_score(p) > THRESHOLD
+        parts = [F.count_if(said & (t == 1)).alias("_hit"), F.count_if(said).alias("_said")]
+        metrics = {"precision": F.coalesce(F.try_divide(F.sum("_hit"), F.sum("_said")), F.lit(0.0))}
+    else:
+        both = p.isNotNull() & t.isNotNull()
+        x, y = F.when(both, p), F.when(both, t)
+        parts = [
+            F.count(x).alias("_n"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"), F.sum((x - y) * (x - y)).alias("_d"),
+            F.var_pop(x).alias("_vx"), F.var_pop(y).alias("_vy"), F.covar_pop(x, y).alias("_vxy"),
+        ]
+        n, mx, my = F.col("_n"), F.col("_mx"), F.col("_my")
+        total = F.sum(n)
+
+        def merged(within: Column, a: Column, b: Column) -> Column:
+            """Centred sum of all rows from those of the batches; the batches' means are centred on one of theirs."""
+            return F.sum(n * within) + F.sum(n * a * b) - F.try_divide(F.sum(n * a) * F.sum(n * b), total)
+
+        dx, dy = mx - F.col("_x0"), my - F.col("_y0")
+        spread = F.sqrt(merged(F.col("_vx"), dx, dx)) * F.sqrt(merged(F.col("_vy"), dy, dy))
+        metrics = {
+            "rmse": F.sqrt(F.try_divide(F.sum("_d"), total)),
+            "pearsonr": F.try_divide(merged(F.col("_vxy"), dx, dy), spread),
+        }
+    batches = df.groupBy(*keys, batch).agg(F.avg(loss).alias("_loss"), *parts)
+    if problem_type == "regression":
+        # Any batch's mean will do as a centre; it keeps the products of means small.
+        group = Window.partitionBy(*keys)
+        batches = batches.withColumn("_x0", F.max("_mx").over(group)).withColumn("_y0", F.max("_my").over(group))
+    wide = batches.groupBy(*keys).agg(F.avg("_loss").alias("loss"), *[m.alias(name) for name, m in metrics.items()])
+    named = _named(wide, list(by), split, prefixes, ["loss", *metrics])
+    if "roc" in PROBLEM_METRICS[problem_type]:
+        named = named.unionByName(_named(auroc(df, pred, target, keys), list(by), split, prefixes, ["roc"]))
+    return named
+
+
+# What pretraining logs per epoch.
+PRETRAINING_METRICS = ["loss", "mlm_loss", "disc_loss", "gen_acc", "disc_acc"]
+
+
+def pretraining_metrics(batches: DataFrame, prefixes: dict[str, str], by=("run", "epoch"), split="split") -> DataFrame:
+    """(by..., name, value): the mean over batches of each number of ``rtd_losses``, per epoch and split."""
+    wide = batches.groupBy(*by, split).agg(*[F.avg(name).alias(name) for name in PRETRAINING_METRICS])
+    return _named(wide, list(by), split, prefixes, PRETRAINING_METRICS)
 
 
 def format_metrics(df: DataFrame, by: list[str], split="split", epoch="epoch") -> DataFrame:

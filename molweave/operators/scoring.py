@@ -64,26 +64,43 @@ def _vector(features: str) -> Column:
     return array_to_vector(F.col(features).cast("array<double>"))
 
 
-def fit_classifier(train: DataFrame, features="features", target="target", max_iter: int = 25) -> LogisticRegressionModel:
+def _converged(model, max_iter: int):
+    """The model; a fit that used all its steps has not converged and is an error."""
+    if model.hasSummary and model.summary.totalIterations >= max_iter:
+        raise RuntimeError(f"the fit did not converge in {max_iter} steps")
+    return model
+
+
+def fit_classifier(
+    train: DataFrame, features="features", target="target", max_iter: int = 200, tolerance: float = 1e-9
+) -> LogisticRegressionModel:
     """Logistic head with balanced class weights."""
     rows = train.select(
         _vector(features).alias("x"),
         F.col(target).cast("double").alias("y"),
         weight_of(class_weights(train, target), F.col(target)).alias("w"),
     )
-    return LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=max_iter).fit(rows)
+    fit = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=max_iter, tol=tolerance)
+    return _converged(fit.fit(rows), max_iter)
 
 
 def classifier_predictions(model: LogisticRegressionModel, df: DataFrame, features="features") -> DataFrame:
-    """Add logits as an array."""
+    """Add logits as an array, whose softmax are the fitted probabilities.
+
+    With two classes MLlib gives the margin with both signs, which is twice the distance of the logits.
+    """
     scored = model.transform(df.withColumn("x", _vector(features)))
-    return scored.withColumn("logits", vector_to_array("rawPrediction")).drop("x", "rawPrediction", "probability", "prediction")
+    scale = 0.5 if model.numClasses == 2 else 1.0
+    logits = F.transform(vector_to_array("rawPrediction"), lambda x: x * scale)
+    return scored.withColumn("logits", logits).drop("x", "rawPrediction", "probability", "prediction")
 
 
-def fit_regressor(train: DataFrame, features="features", target="target", max_iter: int = 25) -> LinearRegressionModel:
-    """Linear head on the standardised target."""
-    rows = standardize(train, train, target, out="y").select(_vector(features).alias("x"), "y").na.drop()
-    return LinearRegression(featuresCol="x", labelCol="y", maxIter=max_iter).fit(rows)
+def fit_regressor(train: DataFrame, features="features", target="target", max_iter: int = 200) -> LinearRegressionModel:
+    """Linear head on the standardised target; a null target, or one without spread, is an error."""
+    missing = F.raise_error(F.lit("the target is null or does not vary")).cast("double")
+    scaled = standardize(train, train, target, out="y")
+    rows = scaled.select(_vector(features).alias("x"), F.coalesce("y", missing).alias("y"))
+    return _converged(LinearRegression(featuresCol="x", labelCol="y", maxIter=max_iter).fit(rows), max_iter)
 
 
 def regressor_predictions(model: LinearRegressionModel, df: DataFrame, features="features") -> DataFrame:

@@ -16,6 +16,8 @@ from molweave.sources.scratch import stored
 
 SEED = 42
 BATCH_SIZE = 32
+# Elements of a vector of the embeddings table.
+VECTOR_WIDTH = 64
 
 # Event types read as metric names.
 METRIC_OF_EVENT = {"click": "loss", "error": "rmse", "purchase": "pearsonr", "signup": "roc", "view": "precision"}
@@ -89,6 +91,16 @@ def length_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def strided_sums(vector: Column, outputs: int) -> Column:
+    """Logits of a small fixed head over a whole vector: output k sums the elements k, k + outputs, ..."""
+
+    def sum_from(k: Column) -> Column:
+        places = F.sequence(k, F.lit(VECTOR_WIDTH - 1), F.lit(outputs))
+        return F.aggregate(places, F.lit(0.0), lambda total, i: total + F.get(vector, i).cast("double"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(outputs - 1)), sum_from)
+
+
 def head_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of several heads for each vector."""
     e = F.col("embedding")
@@ -97,13 +109,13 @@ def head_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id",
         label.alias("label"),
         F.floor(F.col("vec_id") / BATCH_SIZE).alias("batch_id"),
-        F.slice(e, 1, 10).cast("array<double>").alias("logits"),
-        F.slice(e, 1, 2).cast("array<double>").alias("binary_logits"),
+        strided_sums(e, 10).alias("logits"),
+        strided_sums(e, 2).alias("binary_logits"),
         (label < 5).cast("int").alias("binary_target"),
         F.when(uniform("keep", "vec_id") < 0.85, label).otherwise(-100).alias("mlm_label"),
-        F.slice(e, 1, 3).cast("array<double>").alias("multi_logits"),
+        strided_sums(e, 3).alias("multi_logits"),
         F.array((label % 2).cast("int"), (label % 3 == 0).cast("int"), (label < 5).cast("int")).alias("multi_targets"),
-        softmax(F.slice(e, 11, 10).cast("array<double>"), 10).alias("soft_targets"),
+        softmax(F.reverse(strided_sums(e, 10)), 10).alias("soft_targets"),
     )
 
 

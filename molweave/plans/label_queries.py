@@ -289,22 +289,63 @@ def score_batch(spark, sf):
     return rounded(scored, "logit_0", "logit_1", "p")
 
 
-@query("finetune_classifier")
+def _optimum(df, error, weight, features):
+    """(part, i, value): mean of weighted error times each feature, and the error alone; all are 0 where a fit has its optimum."""
+    terms = [error, *[error * F.col(features)[i].cast("double") for i in range(T.VECTOR_WIDTH)]]
+    sums = df.agg(*[(F.sum(weight * x) / F.sum(weight)).alias(f"g{i}") for i, x in enumerate(terms)])
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), (F.round(f"g{i}", 4) + 0.0).alias("value")) for i in range(len(terms))])
+    return sums.select(F.lit("optimum").alias("part"), F.explode(cells).alias("c")).select("part", "c.i", "c.value")
+
+
+def _two(spark, first, second):
+    """(part, i, value) of a model with one feature."""
+    return spark.createDataFrame([("one", 0, round(float(first), 4)), ("one", 1, round(float(second), 4))], "part string, i int, value double")
+
+
+_ZEROS = "SELECT 'optimum', CAST(i AS INTEGER), 0.0 FROM range(65) t(i)"
+
+
+@query(
+    "finetune_classifier",
+    f"""WITH f AS (SELECT CAST(embedding[1] > 0 AS INTEGER) AS x, CAST(label < 5 AS INTEGER) AS y,
+      {S.split_case('vec_id')} AS split FROM embeddings),
+    t AS (SELECT * FROM f WHERE split = 'train'),
+    w AS (SELECT y, CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*)) AS w FROM t GROUP BY y),
+    o AS (SELECT x, ln(sum(w) FILTER (y = 1) / sum(w) FILTER (y = 0)) AS odds FROM t JOIN w USING (y) GROUP BY x)
+    SELECT 'one' AS part, 0 AS i, round((SELECT odds FROM o WHERE x = 0), 4) AS value
+    UNION ALL SELECT 'one', 1, round((SELECT odds FROM o WHERE x = 1) - (SELECT odds FROM o WHERE x = 0), 4)
+    UNION ALL {_ZEROS}""",
+)
 def finetune_classifier(spark, sf):
-    """Fit on the train split, report on the others."""
-    rows = _features(spark, sf)
-    model = scoring.fit_classifier(_train(rows))
-    scored = scoring.classifier_predictions(model, rows.filter("split <> 'train'"))
-    return M.evaluate_predictions(scored.withColumn("pred", X.positive_probability(F.col("logits"))), "classification")
+    """A head on one two-valued feature is the log odds; a head on all features leaves errors that no feature explains."""
+    train = _train(_features(spark, sf))
+    sign = train.withColumn("features", F.array((F.col("features")[0] > 0).cast("double")))
+    one = scoring.fit_classifier(sign)
+    model = scoring.fit_classifier(train)
+    weighted = L.apply_train_stats(scoring.classifier_predictions(model, train), train)
+    error = X.positive_probability(F.col("logits")) - F.col("target")
+    return _two(spark, one.intercept, one.coefficients[0]).unionByName(_optimum(weighted, error, F.col("class_weight"), "features"))
 
 
-@query("finetune_regressor")
+@query(
+    "finetune_regressor",
+    f"""WITH f AS (SELECT CAST(embedding[2] AS DOUBLE) AS x, CAST(embedding[1] AS DOUBLE) AS y, {S.split_case('vec_id')} AS split
+      FROM embeddings),
+    t AS (SELECT x, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS z FROM f WHERE split = 'train'),
+    s AS (SELECT covar_pop(x, z) / var_pop(x) AS slope, avg(x) AS mx, avg(z) AS mz FROM t)
+    SELECT 'one' AS part, 0 AS i, round(mz - slope * mx, 4) AS value FROM s UNION ALL SELECT 'one', 1, round(slope, 4) FROM s
+    UNION ALL {_ZEROS}""",
+)
 def finetune_regressor(spark, sf):
-    """Fit on the standardised target of the train split, report on the others on the same scale."""
-    rows = _features(spark, sf).select("vec_id", "split", F.slice("features", 2, 63).alias("features"), F.col("number").alias("target"))
-    model = scoring.fit_regressor(_train(rows))
-    scaled = L.standardize(rows.filter("split <> 'train'"), _train(rows))
-    return M.evaluate_predictions(scoring.regressor_predictions(model, scaled), "regression")
+    """A head on one feature is the least-squares line of the standardised target; on all features, errors none explains."""
+    rows = _train(_features(spark, sf)).withColumn("target", F.col("number"))
+    one = scoring.fit_regressor(rows.withColumn("features", F.slice("features", 2, 1)))
+    rest = rows.withColumn("features", F.concat(F.array(F.lit(0.0)), F.slice("features", 2, T.VECTOR_WIDTH - 1).cast("array<double>")))
+    model = scoring.fit_regressor(rest)
+    scaled = L.standardize(scoring.regressor_predictions(model, rest), rest)
+    return _two(spark, one.intercept, one.coefficients[0]).unionByName(
+        _optimum(scaled, F.col("pred") - F.col("target"), F.lit(1.0), "features")
+    )
 
 
 # ---- metrics --------------------------------------------------------------------------------------------------------
@@ -403,3 +444,26 @@ def epoch_metrics(spark, sf):
 def format_metrics(spark, sf):
     rows = _epochs(spark, sf).withColumn("split", F.split_part("name", F.lit("_"), F.lit(1)))
     return M.format_metrics(rows, ["run", "epoch", "split"])
+
+
+_PRETRAINING = ", ".join(f"avg({n}) AS {n}" for n in M.PRETRAINING_METRICS)
+
+
+@query(
+    "pretraining_metrics",
+    f"""WITH {S.HEAD_POSITIONS}, b AS (SELECT batch_id, batch_id % 3 AS epoch, {S.split_case('batch_id')} AS split, avg(nll) AS mlm_loss,
+      avg({S.bce('disc_logit', 'disc_label')}) FILTER (token_id <> 3) AS disc_loss, {_DISC_ACC} AS disc_acc,
+      avg(CAST(disc_logit > 0 AS INTEGER)) FILTER (masked) AS gen_acc FROM hp GROUP BY batch_id),
+    c AS (SELECT *, mlm_loss + 50 * disc_loss AS loss FROM b),
+    e AS (SELECT epoch, split, {_PRETRAINING} FROM c GROUP BY epoch, split),
+    long AS (UNPIVOT e ON {', '.join(M.PRETRAINING_METRICS)} INTO NAME name VALUE value)
+    SELECT epoch, CASE split WHEN 'train' THEN 'train_' WHEN 'validation' THEN 'val_' ELSE 'test_' END || name AS name,
+           round(value, 6) AS value FROM long""",
+)
+def pretraining_metrics(spark, sf):
+    """The epoch record of pretraining; a positive logit stands in for the generator's hit."""
+    rows = T.head_positions(spark, sf).select(
+        "*", (F.col("batch_id") % 3).alias("epoch"), split_of("batch_id").alias("split"), (F.col("disc_logit") > 0).alias("hit")
+    )
+    batches = O.rtd_losses(rows, ["epoch", "split", "batch_id"], hit="hit")
+    return rounded(M.pretraining_metrics(batches, {"train": "train", "validation": "val", "test": "test"}, ["epoch"]), "value")

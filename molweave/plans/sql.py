@@ -7,7 +7,7 @@ from molweave.functions.ids import IGNORE_LABEL, MASK, MAX_LENGTH, PAD, SPECIAL_
 from molweave.functions.symbols import SYMBOL_PATTERN
 from molweave.operators.corrupt import MASK_PROB, TOP_K
 from molweave.operators.vocab import MAX_VOCAB
-from molweave.plans.inputs import BATCH_SIZE, METRIC_OF_EVENT, SEED
+from molweave.plans.inputs import BATCH_SIZE, METRIC_OF_EVENT, SEED, VECTOR_WIDTH
 from molweave.sources.corpus import SPLIT_SEED
 
 
@@ -119,13 +119,19 @@ replaced AS (SELECT m.mol_id, m.pos, m.token_id, m.masked, m.mlm_label, m.masked
                     CAST(coalesce(p.token, m.token_id) <> m.token_id AS INTEGER) AS disc_label
              FROM masked m LEFT JOIN picked p USING (mol_id, pos))"""
 
+def strided(outputs: int, order: int = 1) -> str:
+    """Sums of every ``outputs``-th element, as an array."""
+    cells = [" + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(k, VECTOR_WIDTH, outputs)) for k in range(outputs)]
+    return f"[{', '.join(cells[::order])}]"
+
+
 HEADS = f"""heads AS (SELECT vec_id, label, vec_id // {BATCH_SIZE} AS batch_id,
-  CAST(embedding[1:10] AS DOUBLE[]) AS logits, CAST(embedding[1:2] AS DOUBLE[]) AS binary_logits,
+  {strided(10)} AS logits, {strided(2)} AS binary_logits,
   CAST(label < 5 AS INTEGER) AS binary_target,
   CASE WHEN {u('keep', 'vec_id')} < 0.85 THEN label ELSE -100 END AS mlm_label,
-  CAST(embedding[1:3] AS DOUBLE[]) AS multi_logits,
+  {strided(3)} AS multi_logits,
   [label % 2, CAST(label % 3 = 0 AS INTEGER), CAST(label < 5 AS INTEGER)] AS multi_targets,
-  CAST(embedding[11:20] AS DOUBLE[]) AS soft_logits FROM embeddings)"""
+  {strided(10, -1)} AS soft_logits FROM embeddings)"""
 
 HEAD_POSITIONS = f"""hp_0 AS (SELECT vec_id, label, vec_id // {BATCH_SIZE} AS batch_id,
   {hash_of(f'{SEED}:mask', 'vec_id')} AS m, {hash_of(f'{SEED}:sample', 'vec_id')} AS s,

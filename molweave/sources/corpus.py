@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from molweave.functions.hashing import uniform
+from molweave.sources.scratch import stored
 
 SPLITS = ["train", "validation", "test"]
 SPLIT_SEED = "split"
@@ -123,12 +124,15 @@ def map_batches(
 
 
 def save_vocab(vocab: DataFrame, path: str) -> DataFrame:
-    """Write a vocabulary and return the written table; an empty one is an error."""
-    vocab.write.mode("errorifexists").parquet(path)
-    saved = vocab.sparkSession.read.schema(vocab.schema).parquet(path)
-    if saved.filter(F.col("n") > 0).isEmpty():
+    """Write a vocabulary and return the written table; an empty one is an error, and nothing is left at ``path``.
+
+    It is counted once, into the shared folder, and checked there.
+    """
+    counted = stored(vocab, "vocab")
+    if counted.filter(F.col("n") > 0).isEmpty():
         raise ValueError("the vocabulary is empty")
-    return saved
+    counted.write.mode("errorifexists").parquet(path)
+    return vocab.sparkSession.read.schema(vocab.schema).parquet(path)
 
 
 def log_metrics(metrics: DataFrame, names: list[str], splits: dict[str, str]) -> DataFrame:

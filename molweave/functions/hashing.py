@@ -35,9 +35,13 @@ def _scramble(x: Column) -> Column:
 
 
 def position_state(state: Column, position: Column) -> Column:
-    """32-bit state (as bigint) of one position of a row, or of one candidate of a position."""
+    """32-bit state (as bigint) of one position of a row, or of one candidate of a position.
+
+    All bits of the row hash enter: the low ones with the position, the high ones between the two rounds.
+    """
     step = (position.cast("bigint") * F.lit(STEP_MULTIPLIER)).bitwiseAND(F.lit(MASK32))
-    x = _scramble(_scramble(state.bitwiseAND(F.lit(MASK32)).bitwiseXOR(step)))
+    x = _scramble(state.bitwiseAND(F.lit(MASK32)).bitwiseXOR(step))
+    x = _scramble(x.bitwiseXOR(F.shiftright(state, 32)))
     return x.bitwiseXOR(F.shiftright(x, 16))
 
 
@@ -50,9 +54,22 @@ def position_uniform(state: Column, position: Column) -> Column:
     return state_uniform(position_state(state, position))
 
 
+def wide_uniform(state: Column) -> Column:
+    """A number in [0, 1) with 52 random bits, of a position's state."""
+    high, low = (position_state(state, F.lit(k)) for k in (0, 1))
+    return (high * F.lit(1 << 20) + F.shiftright(low, 12)) / F.lit(float(1 << 52))
+
+
 def position_state_np(state: np.ndarray, position: np.ndarray) -> np.ndarray:
     """The same arithmetic as ``position_state`` on numpy arrays, for use inside Arrow functions."""
-    x = (state.astype(np.int64) & MASK32) ^ ((position.astype(np.int64) * STEP_MULTIPLIER) & MASK32)
-    for _ in range(2):
+    state = state.astype(np.int64)
+    x = (state & MASK32) ^ ((position.astype(np.int64) * STEP_MULTIPLIER) & MASK32)
+    for late in (0, state >> 32):
+        x = x ^ late
         x = ((x ^ (x >> 16)) * MIX_MULTIPLIER) & MASK32
     return x ^ (x >> 16)
+
+
+def wide_uniform_np(state: np.ndarray) -> np.ndarray:
+    high, low = (position_state_np(state, np.full(len(state), k)) for k in (0, 1))
+    return ((high << 20) + (low >> 12)) / float(1 << 52)

@@ -7,24 +7,27 @@ and regrouped.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from molweave.functions.hashing import key_hash, position_state_np, position_uniform
+from molweave.functions.hashing import key_hash, position_state, position_state_np, position_uniform, wide_uniform, wide_uniform_np
 from molweave.functions.ids import IGNORE_LABEL, MASK, PAD
 
 # Fixed value: share of positions masked.
 MASK_PROB = 0.15
-TOP_K = 16
 # Left neighbour of the back-off row: the proposals used where the neighbour was never seen.
 ANY_LEFT = -1
 # Positions worked on at a time inside an Arrow batch.
 PIECE = 1 << 18
-# Rows of the proposal table that may be broadcast (one per vocabulary entry); larger tables are joined.
-CANDIDATE_LIMIT = 500_000
+# Rows of the proposal table that may be broadcast, of 12 bytes each; larger tables are joined.
+CANDIDATE_LIMIT = 5_000_000
+# Parts that a hot left neighbour is cut into when positions look up its total in a join.
+SALTS = 16
 
 
 def mask_state(seed, *keys) -> Column:
@@ -163,12 +166,12 @@ def gumbel_sample(temperature: float = 1.0):
     return run
 
 
-def ngram_candidates(df: DataFrame, ids: str = "ids", top_k: int = TOP_K) -> DataFrame:
-    """Proposals in place of a generator network: (prev, rank, token, log_p).
+def ngram_candidates(df: DataFrame, ids: str = "ids") -> DataFrame:
+    """Proposals in place of a generator network: (prev, rank, token, n, cum, log_p).
 
-    ``ids`` are templated, unpadded sequences of the train split. For each left neighbour the ``top_k`` most frequent
-    followers, and under ANY_LEFT the most frequent tokens overall; log_p is over the kept tokens. Counting combines
-    on the map side, and the ranking sees counted rows only: at most one per vocabulary entry for a neighbour.
+    ``ids`` are templated, unpadded sequences of the train split. For each left neighbour all its followers, the most frequent
+    first, and under ANY_LEFT all tokens; cum counts up to and with this one. Counting combines on the map side, and the ranking
+    sees counted rows only: at most one per vocabulary entry for a neighbour.
     """
     # No filter on the length: Spark would move it, and the lookup that made the ids with it, below other steps.
     n = F.greatest(F.size(ids) - 1, F.lit(0))
@@ -177,56 +180,75 @@ def ngram_candidates(df: DataFrame, ids: str = "ids", top_k: int = TOP_K) -> Dat
         .select(F.explode_outer(F.arrays_zip("prev", "token")).alias("p"))
         .filter(F.col("p").isNotNull())
     )
-    counts = pairs.groupBy(F.col("p.prev").alias("prev"), F.col("p.token").alias("token")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    counts = pairs.groupBy(F.col("p.prev").alias("prev"), F.col("p.token").alias("token")).agg(F.count(F.lit(1)).alias("n"))
     overall = counts.groupBy("token").agg(F.sum("n").alias("n")).select(F.lit(ANY_LEFT).alias("prev"), "token", "n")
     order = Window.partitionBy("prev").orderBy(F.col("n").desc(), "token")
-    ranked = counts.unionByName(overall).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.unionByName(overall).select(
+        "prev", F.row_number().over(order).alias("rank"), "token", "n", F.sum("n").over(so_far).alias("cum")
+    )
     total = F.sum("n").over(Window.partitionBy("prev"))
-    return ranked.select("prev", "rank", "token", (F.log("n") - F.log(total)).alias("log_p"))
-
+    return ranked.withColumn("log_p", F.log("n") - F.log(total))
+
+
+class ProposalTable(NamedTuple):
+    """Left neighbours with their tokens; ``ends`` counts on over all rows, so one search finds neighbour and token."""
+
+    tokens: np.ndarray
+    ends: np.ndarray
+    lefts: np.ndarray
+    start: np.ndarray
+    total: np.ndarray
+
+    @staticmethod
+    def of(rows: pa.Table) -> ProposalTable:
+        prev, rank, token, n = (rows[c].to_numpy() for c in ("prev", "rank", "token", "n"))
+        order = np.lexsort((rank, prev))
+        ends = np.cumsum(n[order])
+        lefts, first = np.unique(prev[order], return_index=True)
+        bounds = np.append(first, len(prev))
+        before = np.concatenate([[0], ends])
+        start = before[bounds[:-1]]
+        return ProposalTable(token[order].astype(np.int32), ends, lefts, start, before[bounds[1:]] - start)
+
+    def draw(self, neighbour: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Token at the place u of each neighbour's followers; a neighbour without followers draws from all tokens."""
+        row = np.minimum(np.searchsorted(self.lefts, neighbour), len(self.lefts) - 1)
+        row = np.where(self.lefts[row] == neighbour, row, np.searchsorted(self.lefts, ANY_LEFT))
+        target = np.minimum(np.floor(u * self.total[row]).astype(np.int64), self.total[row] - 1)
+        return self.tokens[np.searchsorted(self.ends, self.start[row] + target, "right")]
+
+
+def proposal_table(candidates: DataFrame, limit: int | None = None) -> ProposalTable | None:
+    """The written proposals for a broadcast, or None if they have more than ``limit`` rows (CANDIDATE_LIMIT)."""
+    limit = CANDIDATE_LIMIT if limit is None else limit
+    size = candidates.limit(limit + 1).count()
+    if not size:
+        raise ValueError("no proposals: the train split has no pair of tokens")
+    return ProposalTable.of(candidates.select("prev", "rank", "token", "n").toArrow()) if size <= limit else None
 
-def _candidate_matrix(candidates: DataFrame, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted left neighbours with their tokens and log-probabilities, one row each, padded with -inf.
 
-    Ids are dense, so checking each id bounds the table at CANDIDATE_LIMIT * top_k rows before any of it is collected.
-    """
-    too_many = F.raise_error(F.lit(f"more than {CANDIDATE_LIMIT} left neighbours: too many to broadcast"))
-    prev = F.when(F.col("prev") < CANDIDATE_LIMIT, F.col("prev")).otherwise(too_many).alias("prev")
-    bounded = candidates.filter(F.col("rank") <= top_k).select(prev, "rank", "token", "log_p")
-    table = bounded.toArrow().to_pandas()
-    lefts = np.unique(table["prev"].to_numpy())
-    if not len(lefts):
-        raise ValueError("no proposals: the train split has no pair of tokens")
-    tokens = np.zeros((len(lefts), top_k), dtype=np.int32)
-    scores = np.full((len(lefts), top_k), -np.inf)
-    rows, cols = np.searchsorted(lefts, table["prev"]), table["rank"].to_numpy() - 1
-    tokens[rows, cols], scores[rows, cols] = table["token"], table["log_p"]
-    return lefts, tokens, scores
+CORRUPTED = (
+    "struct<masked: array<boolean>, mlm_labels: array<int>, masked_input: array<int>, disc_input: array<int>, disc_labels: array<int>>"
+)
 
 
-def corrupt_arrays(
-    candidates: DataFrame, p: float = MASK_PROB, ignore=(PAD,), temperature: float = 1.0, top_k: int = TOP_K
-):
+def corrupt_arrays(spark, table: ProposalTable, p: float = MASK_PROB, ignore=(PAD,)):
     """Arrow function (input_ids, mask_state, sample_state) -> the masked and the replaced sequence with their labels.
 
     A sampled token equal to the original counts as original. The left neighbour is the one the generator would see, so
     a masked neighbour falls back to the overall proposals.
     """
     ignored = sorted({PAD, *ignore})
-    shipped = candidates.sparkSession.sparkContext.broadcast(_candidate_matrix(candidates, top_k))
+    # As a bare tuple: executors need no copy of this package to read it.
+    shipped = spark.sparkContext.broadcast(tuple(table))
     names = ["masked", "mlm_labels", "masked_input", "disc_input", "disc_labels"]
 
-    @F.arrow_udf(
-        "struct<masked: array<boolean>, mlm_labels: array<int>, masked_input: array<int>, "
-        "disc_input: array<int>, disc_labels: array<int>>"
-    )
+    @F.arrow_udf(CORRUPTED)
     def run(ids: pa.Array, mask_hash: pa.Array, sample_hash: pa.Array) -> pa.Array:
         return _by_pieces(piece, ids, mask_hash, sample_hash)
 
     def piece(ids: pa.Array, mask_hash: pa.Array, sample_hash: pa.Array) -> pa.Array:
-        lefts, tokens, scores = shipped.value
         flat, sizes = _flat(ids)
         masked = _draw_mask(flat, sizes, mask_hash, p, ignored)
         shown = np.where(masked, MASK, flat).astype(np.int32)
@@ -235,12 +257,8 @@ def corrupt_arrays(
         if len(at):
             places = _positions(sizes)[at]
             neighbour = np.where(places > 0, shown[at - 1], ANY_LEFT)
-            row = np.minimum(np.searchsorted(lefts, neighbour), len(lefts) - 1)
-            row = np.where(lefts[row] == neighbour, row, np.searchsorted(lefts, ANY_LEFT))
             states = position_state_np(np.repeat(sample_hash.to_numpy(zero_copy_only=False), sizes)[at], places)
-            noise = gumbel_noise_np(position_state_np(states[:, None], np.arange(top_k)[None, :]))
-            best = np.argmax(scores[row] / temperature + noise, axis=1)
-            replaced[at] = tokens[row, best]
+            replaced[at] = ProposalTable(*shipped.value).draw(neighbour, wide_uniform_np(states))
         values = [masked, np.where(masked, flat, IGNORE_LABEL), shown, replaced, (replaced != flat).astype(np.int32)]
         kinds = [pa.bool_()] + [pa.int32()] * 4
         return pa.StructArray.from_arrays([_lists(v, sizes, ids, k) for v, k in zip(values, kinds)], names)
@@ -249,14 +267,71 @@ def corrupt_arrays(
 
 
 def corrupt_sequences(
-    df: DataFrame, candidates: DataFrame, key: str, seed, ids: str = "input_ids", p: float = MASK_PROB, **options
+    df: DataFrame, candidates: DataFrame, key: str, seed, ids: str = "input_ids", p: float = MASK_PROB, ignore=(PAD,)
 ) -> DataFrame:
-    """Add masked, mlm_labels, masked_input, disc_input and disc_labels; map-only."""
-    fn = corrupt_arrays(candidates, p=p, **options)
+    """Add masked, mlm_labels, masked_input, disc_input and disc_labels.
+
+    Map-only with proposals that fit in a broadcast; with more (``candidates`` is a written table and its rows are counted), the
+    masked positions are joined with them, with the same result.
+    """
+    table = proposal_table(candidates)
+    if table is None:
+        return corrupt_by_join(df, candidates, key, seed, ids, p, ignore)
+    fn = corrupt_arrays(candidates.sparkSession, table, p, ignore)
     made = df.withColumn("_c", fn(F.col(ids), mask_state(seed, key), sample_state(seed, key)))
     return made.select(*df.columns, "_c.*")
 
 
+def corrupt_by_join(
+    df: DataFrame, candidates: DataFrame, key: str, seed, ids: str = "input_ids", p: float = MASK_PROB, ignore=(PAD,)
+) -> DataFrame:
+    """``corrupt_sequences`` with proposals of any size; ``key`` is unique.
+
+    A neighbour's counts are cut into as many equal cells as it has followers, and positions meet the followers of one cell. So
+    a frequent neighbour is split by its own followers, and a position meets a few rows whatever the size of the table.
+    """
+    spots = df.select(key, sample_state(seed, key).alias("_s"), F.col(ids).alias("_ids"), mask_state(seed, key).alias("_m"))
+    fields = mask_arrays(p, ignore)(F.col("_ids"), F.col("_m"))
+    zipped = F.arrays_zip("_f.masked", "_f.masked_input")
+    hidden = spots.withColumn("_f", fields).select(
+        key, "_s", F.col("_f.masked_input").alias("_shown"), F.posexplode_outer(zipped).alias("pos", "_z")
+    )
+    pos = F.col("pos")
+    asked = hidden.filter("_z.masked").select(
+        key,
+        pos.alias("_pos"),
+        F.when(pos > 0, F.get("_shown", pos - 1)).otherwise(F.lit(ANY_LEFT)).alias("_prev"),
+        wide_uniform(position_state(F.col("_s"), pos)).alias("_u"),
+        F.pmod(pos, F.lit(SALTS)).alias("_salt"),
+    )
+    proposed = candidates.select(F.col("prev").alias("_prev"), F.col("token").alias("_token"), (F.col("cum") - F.col("n")).alias("_low"), F.col("cum").alias("_cum"))
+    totals = proposed.groupBy("_prev").agg(F.max("_cum").alias("_total"), F.count(F.lit(1)).alias("_k"))
+    overall = totals.filter(F.col("_prev") == ANY_LEFT).select(F.struct("_total", "_k")).scalar()
+    salted = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    unseen = F.col("_total").isNull()
+    sized = asked.join(salted, ["_prev", "_salt"], "left").select(
+        key,
+        "_pos",
+        "_u",
+        F.when(unseen, F.lit(ANY_LEFT)).otherwise(F.col("_prev")).alias("_prev"),
+        F.when(unseen, overall["_total"]).otherwise(F.col("_total")).alias("_total"),
+        F.when(unseen, overall["_k"]).otherwise(F.col("_k")).alias("_k"),
+    )
+    width = F.ceil(F.col("_total") / F.col("_k"))
+    target = F.least(F.floor(F.col("_u") * F.col("_total")), F.col("_total") - 1)
+    drawn = sized.withColumn("_target", target).withColumn("_cell", F.floor(F.col("_target") / width)).drop("_total", "_k", "_u")
+    spans = F.sequence(F.floor(F.col("_low") / width), F.floor((F.col("_cum") - 1) / width))
+    cells = proposed.join(totals, "_prev").select("_prev", "_token", "_low", "_cum", F.explode(spans).alias("_cell"))
+    inside = (F.col("_target") >= F.col("_low")) & (F.col("_target") < F.col("_cum"))
+    picked = drawn.join(cells, ["_prev", "_cell"]).filter(inside)
+    found = picked.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_token"))).alias("_found"))
+    masked = mask_sequences(df, key, seed, ids, p, ignore).join(found, key, "left")
+    replaced = F.transform(ids, lambda x, i: F.coalesce(F.try_element_at("_found", i), x).cast("int"))
+    made = masked.withColumn("disc_input", F.when(F.col("_found").isNull(), F.col(ids)).otherwise(replaced))
+    changed = F.zip_with("disc_input", ids, lambda a, b: (a != b).cast("int"))
+    return made.withColumn("disc_labels", changed).drop("_found")
+
+
 def positions_of(df: DataFrame, keys: list[str], arrays: dict[str, str]) -> DataFrame:
     """Long form of parallel arrays: keys, pos and one column per array (``arrays`` maps array to column)."""
     zipped = F.arrays_zip(*[F.col(a).alias(c) for a, c in arrays.items()])

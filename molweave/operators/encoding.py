@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from molweave.functions import ids as I
 from molweave.functions.symbols import molecule_tokens
-from molweave.operators.vocab import token_lookup
+from molweave.operators.vocab import encode
 
 
 def tokenize(df: DataFrame, text: str = "selfies", out: str = "tokens") -> DataFrame:
@@ -25,11 +25,13 @@ def model_inputs(df: DataFrame, max_length: int = I.MAX_LENGTH, ids: str = "ids"
     )
 
 
-def encode_text(df: DataFrame, vocab: DataFrame, text: str = "selfies", max_length: int = I.MAX_LENGTH) -> DataFrame:
-    """Replace a text column with model inputs; map-only, so it serves batches and streams alike.
+def encode_text(
+    df: DataFrame, vocab: DataFrame, text: str = "selfies", max_length: int = I.MAX_LENGTH, key: str | None = None
+) -> DataFrame:
+    """Replace a text column with model inputs; map-only with a vocabulary that fits in a broadcast, for batches and streams.
 
-    Tokens past the limit are cut before the lookup.
+    Tokens past the limit are cut before the lookup. A larger vocabulary is joined by the unique ``key``.
     """
-    lookup = token_lookup(vocab)
-    coded = df.withColumn("_ids", lookup(I.truncate(molecule_tokens(F.col(text)), max_length)))
-    return model_inputs(coded, max_length, "_ids").drop("_ids", text)
+    cut = df.withColumn("_tokens", I.truncate(molecule_tokens(F.col(text)), max_length))
+    coded = encode(cut, vocab, "_tokens", "_ids", key)
+    return model_inputs(coded, max_length, "_ids").drop("_ids", "_tokens", text)

@@ -2,46 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molweave.functions.ids import PAD, SPECIAL_TOKENS, UNK
+from molweave.operators.ordering import dense_index
+from molweave.sources.scratch import stored
 
-# Fixed value: entries of a vocabulary, special tokens included.
-MAX_VOCAB = 30_000
 # Entries a broadcast vocabulary may have. Beyond it, the rest is joined by a shuffle.
 BROADCAST_LIMIT = 500_000
+# Parts that a token that is not in the frequent head is cut into when it is joined with the tail.
+SALTS = 16
+
 
+def count_tokens(df: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """(token, n) without the special tokens.
+
+    A hash aggregate with map-side partial sums, so a very frequent symbol costs one row per task in the shuffle. The outer form
+    of explode is deliberate, here and below: for the plain one Spark infers a filter on the array's size and moves it under the
+    projection, which would compute the tokens again.
+    """
+    tokens_only = df.select(F.explode_outer(tokens).alias("token")).filter(~F.col("token").isin(SPECIAL_TOKENS))
+    return tokens_only.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
-def train_vocab(df: DataFrame, tokens: str = "tokens", max_size: int = MAX_VOCAB, min_frequency: int = 0) -> DataFrame:
-    """(token, id, n): special tokens first, then by count descending and token ascending.
 
-    Counting is a hash aggregate with map-side partial sums, so a very frequent symbol costs one row per task in the
-    shuffle. Each task then keeps its own first ``max_size`` tokens, so the task that merges them sees no more than that per
-    partition of distinct tokens, and the ranking window no more than that in all.
+def train_vocab(df: DataFrame, tokens: str = "tokens", max_size: int | None = None, min_frequency: int = 0) -> DataFrame:
+    """(token, id, n): special tokens first, then by count descending and token ascending; every token unless told otherwise.
 
-    The outer form of explode is deliberate, here and below: for the plain one Spark infers a filter on the array's size
-    and moves it under the projection, which would compute the tokens again.
+    The counts are range-partitioned to be numbered, and written once to the shared folder: no task sees all tokens.
     """
-    room = max_size - len(SPECIAL_TOKENS)
-    if room < 0:
+    room = None if max_size is None else max_size - len(SPECIAL_TOKENS)
+    if room is not None and room < 0:
         raise ValueError("max_size is below the number of special tokens")
-    counts = (
-        df.select(F.explode_outer(tokens).alias("token"))
-        .filter(~F.col("token").isin(SPECIAL_TOKENS))
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= min_frequency)
-    )
-    order = [F.col("n").desc(), F.col("token").asc()]
-    kept = counts.orderBy(*order).limit(room)
-    ranked = kept.select(
-        "token", (F.row_number().over(Window.orderBy(*order)) + (len(SPECIAL_TOKENS) - 1)).alias("id"), "n"
-    )
-    return special_rows(df.sparkSession).unionByName(ranked)
+    counts = count_tokens(df, tokens).filter(F.col("n") >= min_frequency)
+    ranked = dense_index(counts.withColumn("_rarity", -F.col("n")), "_rarity", "token")
+    if room is not None:
+        ranked = ranked.filter(F.col("idx") < room)
+    numbered = ranked.select("token", (F.col("idx") + len(SPECIAL_TOKENS)).cast("int").alias("id"), "n")
+    return special_rows(df.sparkSession).unionByName(numbered)
 
 
 def special_rows(spark: SparkSession) -> DataFrame:
@@ -51,66 +55,81 @@ def special_rows(spark: SparkSession) -> DataFrame:
     return ids.select(F.get(names, place).alias("token"), place.alias("id"), F.lit(0).cast("bigint").alias("n"))
 
 
-def vocab_size(vocab: DataFrame, limit: int = BROADCAST_LIMIT) -> int | None:
-    """Number of entries, or None if there are more than ``limit``."""
-    n = vocab.limit(limit + 1).count()
-    return n if n <= limit else None
+def fits_broadcast(vocab: DataFrame, limit: int | None = None) -> bool:
+    """True for a vocabulary of at most ``limit`` entries (BROADCAST_LIMIT)."""
+    limit = BROADCAST_LIMIT if limit is None else limit
+    return vocab.limit(limit + 1).count() <= limit
+
 
+def _sized_like(values: pa.Array, lists: pa.Array) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pc.is_null(lists) if lists.null_count else None)
 
-def token_lookup(vocab: DataFrame, limit: int = BROADCAST_LIMIT):
-    """An Arrow function tokens -> ids for a vocabulary of at most ``limit`` entries.
 
-    The entries travel once per executor as a broadcast variable; each task then maps whole Arrow batches with a hash
-    lookup in Arrow's own kernels, without a shuffle and without a Python loop over rows.
+def token_lookup(vocab: DataFrame):
+    """An Arrow function tokens -> ids for a vocabulary that fits in a broadcast.
+
+    The entries travel once per executor; a task builds its index of them once, and looks up the different tokens of a batch.
     """
-    table = vocab.select("token", "id").limit(limit + 1).toArrow()
-    if table.num_rows > limit:
-        raise ValueError("the vocabulary is too large to broadcast: use encode_by_join")
-    shipped = vocab.sparkSession.sparkContext.broadcast(
-        (table["token"].combine_chunks(), table["id"].combine_chunks().cast(pa.int32()))
-    )
+    table = vocab.select("token", "id").toArrow()
+    shipped = vocab.sparkSession.sparkContext.broadcast((table["token"].to_pandas(), table["id"].to_numpy().astype(np.int32)))
 
     @F.arrow_udf("array<int>")
-    def lookup(tokens: pa.Array) -> pa.Array:
+    def lookup(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, ids = shipped.value
-        if pa.types.is_large_list(tokens.type):
-            tokens = tokens.cast(pa.list_(pa.string()))
-        flat = tokens.flatten()
-        found = pc.take(ids, pc.index_in(flat.cast(words.type), value_set=words))
-        found = pc.fill_null(found, pa.scalar(UNK, pa.int32()))
-        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        nulls = pc.is_null(tokens) if tokens.null_count else None
-        return pa.ListArray.from_arrays(pa.array(offsets), found, mask=nulls)
+        index = pd.Index(words)
+        for tokens in batches:
+            coded = tokens.flatten().dictionary_encode()
+            place = index.get_indexer(coded.dictionary.to_pandas())
+            known = np.where(place >= 0, ids[place], UNK).astype(np.int32)
+            codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
+            found = np.append(known, np.int32(UNK))[codes]
+            yield _sized_like(pa.array(found), tokens)
 
     return lookup
 
 
-def encode(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "ids") -> DataFrame:
-    """Add the ids of ``tokens``; unknown tokens become [UNK], null stays null. A map-only plan.
+def encode(
+    df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "ids", key: str | None = None, limit: int | None = None
+) -> DataFrame:
+    """Add the ids of ``tokens``; unknown tokens become [UNK], null stays null.
 
+    A map-only plan for a vocabulary that fits in a broadcast. A larger one is joined, which needs the name of a unique ``key``.
     Here and below ``vocab`` is a written table (``save_vocab``): it is read when the plan is made, and a vocabulary that is
     still a plan would be counted again each time.
     """
-    return df.withColumn(out, token_lookup(vocab)(F.col(tokens)))
+    if fits_broadcast(vocab, limit):
+        return df.withColumn(out, token_lookup(vocab)(F.col(tokens)))
+    if key is None:
+        raise ValueError("a vocabulary of this size is joined: name the unique key of the rows")
+    coded = encode_by_join(df, vocab, key, tokens, out, limit)
+    null = F.col(tokens).isNull()
+    return df.join(coded, key, "left").withColumn(out, F.when(~null, F.coalesce(out, F.array().cast("array<int>"))))
 
 
-def join_vocab(rows: DataFrame, vocab: DataFrame, column: str, found: str, limit: int) -> DataFrame:
+def join_vocab(rows: DataFrame, vocab: DataFrame, column: str, found: str, limit: int | None = None) -> DataFrame:
     """Left join of long-form rows on a vocabulary column.
 
-    Ids are dense, so ``id < limit`` bounds the broadcast part. A larger vocabulary leaves its rarer tail for a shuffled
-    join, which only rows not found in the frequent head enter: the hot tokens never reach that shuffle.
+    Ids are dense, so ``id < limit`` bounds the broadcast part. With a larger vocabulary the rows are written once, and only those
+    that hold something the frequent head doesn't know enter a shuffled join with the tail; there they are salted, since one
+    unknown token may be frequent too.
     """
+    limit = BROADCAST_LIMIT if limit is None else limit
     head = rows.join(F.broadcast(vocab.filter(F.col("id") < limit)), column, "left")
-    if vocab_size(vocab, limit) is not None:
+    if fits_broadcast(vocab, limit):
         return head
-    known = head.filter(F.col(found).isNotNull())
-    rest = head.filter(F.col(found).isNull()).drop(found).join(vocab.filter(F.col("id") >= limit), column, "left")
-    return known.unionByName(rest.select(known.columns))
+    head = stored(head, "encoded")
+    missing = F.col(found).isNull() & F.col(column).isNotNull()
+    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != column]), F.lit(SALTS)).cast("int")
+    rest = head.filter(missing).drop(found).withColumn("_salt", salt)
+    tail = vocab.filter(F.col("id") >= limit).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = rest.join(tail, [column, "_salt"], "left").select(head.columns)
+    return head.filter(~missing).unionByName(joined)
 
 
 def encode_by_join(
-    df: DataFrame, vocab: DataFrame, key: str, tokens: str = "tokens", out: str = "ids", limit: int = BROADCAST_LIMIT
+    df: DataFrame, vocab: DataFrame, key: str, tokens: str = "tokens", out: str = "ids", limit: int | None = None
 ) -> DataFrame:
     """(key, ids) by an explode, a left join and a regroup; for vocabularies of any size.
 
@@ -136,20 +155,27 @@ def decode_long(df: DataFrame, vocab: DataFrame, key: str, ids: str = "input_ids
     The cut needs no join: the first [PAD] is a property of the array the row still has.
     """
     cut = df.select(key, before_padding(F.col(ids)).alias(ids))
-    coded = join_vocab(explode_ids(cut, key, ids), vocab.select("id", "token"), "id", "token", BROADCAST_LIMIT)
+    coded = join_vocab(explode_ids(cut, key, ids), vocab.select("id", "token"), "id", "token")
     return coded.select(key, "pos", F.coalesce("token", F.lit(SPECIAL_TOKENS[UNK])).alias("token"))
 
 
-def decode(df: DataFrame, vocab: DataFrame, key: str, ids: str = "input_ids", out: str = "tokens") -> DataFrame:
-    """(key, tokens) up to the first [PAD], as one Arrow lookup per batch (map-only)."""
-    return df.select(key, id_lookup(vocab)(before_padding(F.col(ids))).alias(out))
-
-
-def id_lookup(vocab: DataFrame, limit: int = BROADCAST_LIMIT):
-    """An Arrow function ids -> tokens; ids outside the vocabulary read as [UNK]."""
-    table = vocab.select("token", "id").limit(limit + 1).toArrow()
-    if table.num_rows > limit:
-        raise ValueError("the vocabulary is too large to broadcast: use decode_long")
+def decode(
+    df: DataFrame, vocab: DataFrame, key: str, ids: str = "input_ids", out: str = "tokens", limit: int | None = None
+) -> DataFrame:
+    """(key, tokens) up to the first [PAD]: one Arrow lookup per batch (map-only), or a join for a larger vocabulary."""
+    if fits_broadcast(vocab, limit):
+        return df.select(key, id_lookup(vocab)(before_padding(F.col(ids))).alias(out))
+    long = join_vocab(explode_ids(df.select(key, before_padding(F.col(ids)).alias(ids)), key, ids), vocab.select("id", "token"), "id", "token", limit)
+    named = F.struct("pos", F.coalesce("token", F.lit(SPECIAL_TOKENS[UNK])).alias("token"))
+    cells = long.groupBy(key).agg(F.array_sort(F.collect_list(named)).alias("_cells"))
+    joined = df.select(key, ids).join(cells, key, "left")
+    empty = F.when(F.col(ids).isNotNull(), F.array().cast("array<string>"))
+    return joined.select(key, F.coalesce(F.col("_cells.token"), empty).alias(out))
+
+
+def id_lookup(vocab: DataFrame):
+    """An Arrow function ids -> tokens for a vocabulary that fits in a broadcast; ids outside it read as [UNK]."""
+    table = vocab.select("token", "id").toArrow()
     words = table["token"].combine_chunks().take(pc.sort_indices(table["id"].combine_chunks()))
     shipped = vocab.sparkSession.sparkContext.broadcast(words)
 
@@ -158,11 +184,7 @@ def id_lookup(vocab: DataFrame, limit: int = BROADCAST_LIMIT):
         known = shipped.value
         flat = ids.flatten()
         inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(known)))
-        found = known.take(pc.if_else(inside, flat, UNK))
-        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        nulls = pc.is_null(ids) if ids.null_count else None
-        return pa.ListArray.from_arrays(pa.array(offsets), found, mask=nulls)
+        return _sized_like(known.take(pc.if_else(inside, flat, UNK)), ids)
 
     return lookup
 

@@ -58,18 +58,18 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) -> DataFrame:
     """(mol_id, split, ids)"""
     vocab = vocabulary(spark, sf_dir) if vocab is None else vocab
-    return encode(tokenized(spark, sf_dir), vocab).drop("tokens")
+    return encode(tokenized(spark, sf_dir), vocab, key="mol_id").drop("tokens")
 
 
 def inputs(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) -> DataFrame:
     """(mol_id, split, input_ids, attention_mask, token_type_ids)"""
     vocab = vocabulary(spark, sf_dir) if vocab is None else vocab
-    return encode_text(corpus(spark, sf_dir), vocab)
+    return encode_text(corpus(spark, sf_dir), vocab, key="mol_id")
 
 
 def proposals(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
     train = encoded(spark, sf_dir, vocab).filter("split = 'train'")
-    return ngram_candidates(train.select(add_template(F.col("ids")).alias("ids")))
+    return stored(ngram_candidates(train.select(add_template(F.col("ids")).alias("ids"))), "proposals")
 
 
 def corrupted(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) -> DataFrame:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from molweave.functions.hashing import MASK32, MIX_MULTIPLIER, STEP_MULTIPLIER
 from molweave.functions.ids import IGNORE_LABEL, MASK, MAX_LENGTH, PAD, SPECIAL_TOKENS
 from molweave.functions.symbols import SYMBOL_PATTERN
-from molweave.operators.corrupt import MASK_PROB, TOP_K
-from molweave.operators.vocab import MAX_VOCAB
+from molweave.operators.corrupt import MASK_PROB
 from molweave.plans.inputs import BATCH_SIZE, METRIC_OF_EVENT, SEED, VECTOR_WIDTH
 from molweave.sources.corpus import SPLIT_SEED
 
@@ -29,9 +28,10 @@ def mixed(name: str, source: str, state: str, position: str, out: str) -> str:
     """CTEs adding the 32-bit state of a position, one arithmetic step each."""
     step = f"SELECT * REPLACE ((xor(x, x >> 16) * {MIX_MULTIPLIER}) & {MASK32} AS x) FROM"
     start = f"xor(({state}) & {MASK32}, (CAST({position} AS BIGINT) * {STEP_MULTIPLIER}) & {MASK32})"
+    late = f"(SELECT * REPLACE (xor(x, ({state}) >> 32) AS x) FROM {name}_1)"
     return (
         f"{name}_0 AS (SELECT *, {start} AS x FROM {source}), "
-        f"{name}_1 AS ({step} {name}_0), {name}_2 AS ({step} {name}_1), "
+        f"{name}_1 AS ({step} {name}_0), {name}_2 AS ({step} {late}), "
         f"{name} AS (SELECT * EXCLUDE (x), xor(x, x >> 16) AS {out} FROM {name}_2)"
     )
 
@@ -66,8 +66,7 @@ _SPECIALS = ", ".join(f"('{t}', {i}, 0)" for i, t in enumerate(SPECIAL_TOKENS))
 _SPECIAL_NAMES = ", ".join(f"'{t}'" for t in SPECIAL_TOKENS)
 VOCAB = f"""{TOKS},
 counted AS (SELECT token, count(*) AS n FROM tok_long
-            WHERE split = 'train' AND token NOT IN ({_SPECIAL_NAMES}) GROUP BY token
-            ORDER BY n DESC, token LIMIT {MAX_VOCAB - len(SPECIAL_TOKENS)}),
+            WHERE split = 'train' AND token NOT IN ({_SPECIAL_NAMES}) GROUP BY token),
 vocab AS (SELECT token, CAST(id AS INTEGER) AS id, CAST(n AS BIGINT) AS n FROM (VALUES {_SPECIALS}) s(token, id, n)
           UNION ALL
           SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + {len(SPECIAL_TOKENS) - 1} AS INTEGER), n
@@ -99,9 +98,9 @@ gram_pairs AS (SELECT lag(token) OVER (PARTITION BY mol_id ORDER BY pos) AS prev
 gram_counts AS (SELECT prev, token, count(*) AS n FROM gram_pairs WHERE prev IS NOT NULL GROUP BY prev, token),
 gram_all AS (SELECT prev, token, n FROM gram_counts
              UNION ALL SELECT -1, token, CAST(sum(n) AS BIGINT) FROM gram_counts GROUP BY token),
-gram_ranked AS (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY n DESC, token) AS rank FROM gram_all),
-cands AS (SELECT prev, CAST(rank AS INTEGER) AS rank, token, ln(n) - ln(sum(n) OVER (PARTITION BY prev)) AS log_p
-          FROM gram_ranked WHERE rank <= {TOP_K})"""
+cands AS (SELECT prev, CAST(row_number() OVER w AS INTEGER) AS rank, token, n, CAST(sum(n) OVER w AS BIGINT) AS cum,
+                 CAST(sum(n) OVER (PARTITION BY prev) AS BIGINT) AS total, ln(n) - ln(sum(n) OVER (PARTITION BY prev)) AS log_p
+          FROM gram_all WINDOW w AS (PARTITION BY prev ORDER BY n DESC, token))"""
 
 REPLACED = f"""{POSITIONS},
 {NGRAMS},
@@ -109,11 +108,11 @@ seen AS (SELECT mol_id, pos, ss, masked, lag(masked_id) OVER (PARTITION BY mol_i
 asked AS (SELECT mol_id, pos, ss, CASE WHEN prev IN (SELECT c.prev FROM cands c) THEN prev ELSE -1 END AS prev
           FROM seen WHERE masked),
 {mixed('asked_mix', 'asked', 'ss', 'pos', 'ps')},
-offered AS (SELECT a.mol_id, a.pos, a.ps, c.rank, c.token, c.log_p FROM asked_mix a JOIN cands c USING (prev)),
-{mixed('offered_mix', 'offered', 'ps', 'rank - 1', 'cs')},
-scored AS (SELECT *, log_p - ln(-ln(cs / CAST({1 << 32} AS DOUBLE) + 1e-9) + 1e-9) AS score FROM offered_mix),
-picked AS (SELECT mol_id, pos, token FROM scored
-           QUALIFY row_number() OVER (PARTITION BY mol_id, pos ORDER BY score DESC, rank) = 1),
+{mixed('high_mix', 'asked_mix', 'ps', '0', 'hi')},
+{mixed('low_mix', 'high_mix', 'ps', '1', 'lo')},
+drawn AS (SELECT mol_id, pos, prev, ((hi << 20) + (lo >> 12)) / CAST({1 << 52} AS DOUBLE) AS u FROM low_mix),
+picked AS (SELECT d.mol_id, d.pos, c.token FROM drawn d JOIN cands c ON d.prev = c.prev
+             AND floor(d.u * c.total) >= c.cum - c.n AND floor(d.u * c.total) < c.cum),
 replaced AS (SELECT m.mol_id, m.pos, m.token_id, m.masked, m.mlm_label, m.masked_id,
                     coalesce(p.token, m.token_id) AS disc_id,
                     CAST(coalesce(p.token, m.token_id) <> m.token_id AS INTEGER) AS disc_label

@@ -82,7 +82,7 @@ def gumbel_sample(spark, sf):
 @query("ngram_generator", f"WITH {S.IDS}, {S.NGRAMS} SELECT prev, rank, token, round(log_p, 6) AS log_p FROM cands")
 def ngram_generator(spark, sf):
     rows = T.proposals(spark, sf, T.vocabulary(spark, sf))
-    return rows.withColumn("log_p", F.round("log_p", 6))
+    return rows.select("prev", "rank", "token", F.round("log_p", 6).alias("log_p"))
 
 
 @query(

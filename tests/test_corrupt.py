@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from molweave.functions.hashing import position_state, state_uniform
+from molweave.functions.hashing import position_state_np, position_state, state_uniform
 from molweave.functions.ids import MASK, PAD
 from molweave.functions.vectors import gumbel
 from molweave.operators import corrupt as K
@@ -17,7 +17,7 @@ def sequences(spark):
 
 @pytest.fixture(scope="module")
 def candidates(sequences):
-    return K.ngram_candidates(sequences.select(F.array_remove("input_ids", PAD).alias("ids")), top_k=8)
+    return K.ngram_candidates(sequences.select(F.array_remove("input_ids", PAD).alias("ids")))
 
 
 def test_extremes_and_ignored_ids(sequences):
@@ -49,14 +49,14 @@ def test_long_and_array_forms_agree(sequences):
 
 @pytest.mark.parametrize("parts", [1, 5, 13])
 def test_corruption_is_independent_of_partitions(sequences, candidates, parts):
-    once = {r.k: r for r in K.corrupt_sequences(sequences, candidates, "k", 3, top_k=8).collect()}
-    again = {r.k: r for r in K.corrupt_sequences(sequences.repartition(parts), candidates, "k", 3, top_k=8).collect()}
+    once = {r.k: r for r in K.corrupt_sequences(sequences, candidates, "k", 3).collect()}
+    again = {r.k: r for r in K.corrupt_sequences(sequences.repartition(parts), candidates, "k", 3).collect()}
     assert once == again
 
 
 def test_replaced_only_where_masked(sequences, candidates):
     seen = {(0, 0): 0, (0, 1): 0}
-    for r in K.corrupt_sequences(sequences, candidates, "k", 3, p=0.5, top_k=8).collect():
+    for r in K.corrupt_sequences(sequences, candidates, "k", 3, p=0.5).collect():
         for x, m, d, y, pos in zip(r.input_ids, r.masked, r.disc_input, r.disc_labels, range(99)):
             assert y == int(d != x)
             if not m:
@@ -69,18 +69,19 @@ def test_replaced_only_where_masked(sequences, candidates):
 
 def test_candidates_rank_and_back_off(spark):
     df = spark.createDataFrame([([1, 5, 6, 5, 6, 5, 7, 2],)], "ids array<int>")
-    got = {(r.prev, r["rank"]): (r.token, r.log_p) for r in K.ngram_candidates(df, top_k=2).collect()}
+    got = {(r.prev, r["rank"]): (r.token, r.log_p) for r in K.ngram_candidates(df).collect()}
     assert got[(5, 1)][0] == 6 and got[(5, 1)][1] == pytest.approx(np.log(2 / 3))
     assert got[(5, 2)][0] == 7
     assert (5, 3) not in got
-    assert [got[(K.ANY_LEFT, i)][0] for i in (1, 2)] == [5, 6]
+    # All tokens are proposed, none is cut off.
+    assert [got[(K.ANY_LEFT, i)][0] for i in (1, 2, 3, 4)] == [5, 6, 2, 7]
 
 
 def test_short_sequences_have_no_pairs(spark):
     df = spark.createDataFrame([([4],), ([],), (None,)], "ids array<int>")
     assert K.ngram_candidates(df).count() == 0
     with pytest.raises(ValueError):
-        K.corrupt_arrays(K.ngram_candidates(df))
+        K.proposal_table(K.ngram_candidates(df))
 
 
 def test_gumbel_sample_equals_the_expression(spark):
@@ -102,18 +103,35 @@ def test_gumbel_sample_follows_the_probabilities(spark):
 
 
 def test_corruption_needs_no_shuffle(sequences, candidates):
-    plan = K.corrupt_sequences(sequences, candidates, "k", 3, top_k=8)._jdf.queryExecution().executedPlan().toString()
+    plan = K.corrupt_sequences(sequences, candidates, "k", 3)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ArrowEvalPython" in plan
 
 
 def test_positions(sequences, candidates):
-    rows = K.corrupt_sequences(sequences, candidates, "k", 3, top_k=8)
+    rows = K.corrupt_sequences(sequences, candidates, "k", 3)
     long = K.positions_of(rows, ["k"], {"input_ids": "token_id", "disc_input": "disc_id"})
     assert long.columns == ["k", "pos", "token_id", "disc_id"] and long.count() == 60 * 52
     assert K.non_pad_positions(long).count() == 60 * 42
 
 
-def test_a_table_too_large_to_broadcast_is_an_error(sequences, candidates, monkeypatch):
+def test_a_table_too_large_to_broadcast_is_joined(sequences, candidates, monkeypatch):
+    fields = ["masked", "mlm_labels", "masked_input", "disc_input", "disc_labels"]
+    arrays = {r.k: [r[c] for c in fields] for r in K.corrupt_sequences(sequences, candidates, "k", 3, p=0.4).collect()}
     monkeypatch.setattr(K, "CANDIDATE_LIMIT", 4)
-    with pytest.raises(Exception, match="too many to broadcast"):
-        K.corrupt_arrays(candidates, top_k=8)
+    joined = {r.k: [r[c] for c in fields] for r in K.corrupt_sequences(sequences, candidates, "k", 3, p=0.4).collect()}
+    assert joined == arrays
+
+
+def test_draws_follow_the_counts(spark):
+    df = spark.createDataFrame([(5, 1, 6, 70, 70), (5, 2, 7, 29, 99), (5, 3, 8, 1, 100), (K.ANY_LEFT, 1, 9, 3, 3)], "prev int, rank int, token int, n long, cum long")
+    table = K.proposal_table(df)
+    u = (np.arange(10_000) + 0.5) / 10_000
+    drawn = table.draw(np.full(len(u), 5), u)
+    assert [(drawn == t).sum() for t in (6, 7, 8)] == [7000, 2900, 100]
+    assert set(table.draw(np.full(5, 1234), u[:5]).tolist()) == {9}
+
+
+def test_rows_with_equal_low_bits_draw_apart():
+    states = np.array([5, 5 + (1 << 32), 5 + (7 << 32)])
+    draws = [position_state_np(np.full(200, s), np.arange(200)) for s in states]
+    assert not (draws[0] == draws[1]).any() and not (draws[1] == draws[2]).any()

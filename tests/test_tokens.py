@@ -83,8 +83,23 @@ def test_large_vocabulary_takes_the_shuffled_tail(spark, trained):
     rows = corpus(spark, [["a", "zzz", "c", "b"], ["a"] * 50])
     small = V.encode_by_join(rows, trained, "k", limit=6)
     assert {r.k: r.ids for r in small.collect()} == {0: [5, 0, 7, 6], 1: [5] * 50}
-    with pytest.raises(ValueError):
-        V.token_lookup(trained, limit=6)
+
+
+def test_encode_and_decode_route_by_size(spark, trained, monkeypatch):
+    rows = corpus(spark, [["a", "zzz", "c"], [], None, ["[PAD]", "b"], ["zzz"] * 40])
+    ids = V.encode(rows, trained, key="k").select("k", "ids")
+    want = {r.k: r.ids for r in ids.collect()}
+    shown = {r.k: r.tokens for r in V.decode(ids, trained, "k", "ids").collect()}
+    monkeypatch.setattr(V, "BROADCAST_LIMIT", 6)
+    assert {r.k: r.ids for r in V.encode(rows, trained, key="k").collect()} == want
+    assert {r.k: r.tokens for r in V.decode(ids, trained, "k", "ids").collect()} == shown
+    with pytest.raises(ValueError, match="key"):
+        V.encode(rows, trained)
+
+
+def test_every_token_is_kept_by_default(spark):
+    df = corpus(spark, [[f"t{i}" for i in range(2000)]])
+    assert V.train_vocab(df).count() == 2005
 
 
 @pytest.mark.parametrize("n", [0, 1, 509, 510, 511, 1771])
@@ -144,8 +159,8 @@ def test_counting_combines_before_the_shuffle_and_tokenises_once(spark, tmp_path
     spark.createDataFrame([(1, "[C][N]")], "k int, selfies string").write.parquet(str(tmp_path / "m"))
     from molweave.operators.encoding import tokenize
 
-    text = plan(V.train_vocab(tokenize(spark.read.parquet(str(tmp_path / "m")))))
-    assert "partial_count" in text and "TakeOrderedAndProject" in text
+    text = plan(V.count_tokens(tokenize(spark.read.parquet(str(tmp_path / "m")))))
+    assert "partial_count" in text
     assert text.count("RLIKE") == 1
     assert "ReadSchema: struct<selfies:string>" in text
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from molweave.functions.hashing import uniform
 from molweave.sources.scratch import stored
@@ -63,14 +68,44 @@ def dense_index(df: DataFrame, *order: str, out: str = "idx") -> DataFrame:
     )
 
 
-def buffer_shuffle(df: DataFrame, idx: str, key: str, seed, buffer: int = SHUFFLE_BUFFER) -> DataFrame:
-    """Shuffle inside blocks of ``buffer`` consecutive rows: adds block and the new idx.
+def buffer_shuffle(df: DataFrame, key: str, seed, buffer: int = SHUFFLE_BUFFER) -> DataFrame:
+    """Shuffle inside buffers of ``buffer`` consecutive rows of a partition: adds block (the buffer's number there) and place.
 
-    Rows stay within their block, which is what a bounded shuffle buffer is for; a block is never larger than ``buffer``.
+    Rows come out in the new order and stay within their buffer, which is what a bounded shuffle is for: a task holds one buffer,
+    nothing is exchanged, and a stream can be shuffled like a table. Buffers follow the order in which rows are read.
     """
-    blocks = df.withColumn("block", F.floor(F.col(idx) / buffer))
-    order = Window.partitionBy("block").orderBy(uniform(seed, key), key)
-    return blocks.withColumn("shuffled_idx", F.col("block") * buffer + F.row_number().over(order) - 1)
+    schema = T.StructType([*df.schema.fields, T.StructField("block", T.LongType()), T.StructField("place", T.LongType())])
+
+    def shuffled(rows: pa.Table, block: int) -> Iterator[pa.RecordBatch]:
+        rows = rows.sort_by([("_u", "ascending"), (key, "ascending")]).drop_columns(["_u"])
+        n = rows.num_rows
+        rows = rows.append_column("block", pa.array(np.full(n, block))).append_column("place", pa.array(np.arange(n)))
+        yield from rows.to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, block = [], 0, 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, buffer - size)
+                held.append(part)
+                size += part.num_rows
+                batch = batch.slice(part.num_rows)
+                if size == buffer:
+                    yield from shuffled(pa.Table.from_batches(held), block)
+                    held, size, block = [], 0, block + 1
+        if held:
+            yield from shuffled(pa.Table.from_batches(held), block)
+
+    return df.withColumn("_u", uniform(seed, key)).mapInArrow(run, schema)
+
+
+def with_row_key(df: DataFrame, *columns: str, out: str = "row_key") -> DataFrame:
+    """Add a unique text key for rows that have none: a hash of the columns (all if none are named), and a number among equals."""
+    names = columns or df.columns
+    content = F.md5(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}))
+    same = Window.partitionBy("_content").orderBy("_content")
+    numbered = df.withColumn("_content", content).withColumn("_no", F.row_number().over(same))
+    return numbered.withColumn(out, F.concat_ws("-", "_content", F.col("_no").cast("string"))).drop("_content", "_no")
 
 
 def assign_batches(df: DataFrame, batch_size: int, idx: str = "idx") -> DataFrame:

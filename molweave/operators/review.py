@@ -55,10 +55,11 @@ def confusion(report: DataFrame) -> DataFrame:
 
 
 def sample_for_review(df: DataFrame, key: str, seed, batches: int = REVIEW_BATCHES) -> DataFrame:
-    """One row drawn from each of the first batches.
+    """One whole row drawn from each of the first batches.
 
-    The draw is a minimum over hashes: it needs only the key, and combines on the map side.
+    The draw is a minimum over hashes, so it combines on the map side: a row per batch and task is shuffled.
     """
     u = uniform(seed, "batch_id", key)
-    picked = df.filter(F.col("batch_id") < batches).groupBy("batch_id").agg(F.min(F.struct(u.alias("u"), F.col(key))).alias("m"))
-    return picked.select("batch_id", F.col(f"m.{key}").alias(key))
+    first = F.min_by(F.struct("*"), F.struct(u, F.col(key))).alias("m")
+    picked = df.filter(F.col("batch_id") < batches).groupBy(F.col("batch_id").alias("_batch")).agg(first)
+    return picked.select("m.*")

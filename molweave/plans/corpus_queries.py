@@ -25,6 +25,11 @@ def shown(items: Column) -> Column:
     return F.array_join(items.cast("array<string>"), " ")
 
 
+def _paths(spark, kind: str) -> tuple[str, str]:
+    """Where a stream of a query keeps its rows and its state."""
+    return fresh_path(spark, kind), fresh_path(spark, f"{kind}-state")
+
+
 # ---- sources and sinks ----------------------------------------------------------------------------------------------
 
 
@@ -40,7 +45,7 @@ def load_split(spark, sf):
 def stream_corpus(spark, sf):
     schema = T.table(spark, sf, "documents").schema
     rows = C.stream_corpus(spark, f"{sf}/documents*.parquet", schema)
-    return jobs.drain(rows, "corpus").select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+    return jobs.drain(rows, *_paths(spark, "corpus")).select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 
 
 @query("project_columns", f"WITH {S.MOLS} SELECT mol_id, selfies AS text, split FROM mols")
@@ -198,42 +203,64 @@ def length_profile(spark, sf):
 
 # ---- order and batches ----------------------------------------------------------------------------------------------
 
-_SHUFFLED = f"shuffled AS (SELECT doc_id, row_number() OVER (ORDER BY {S.u(SEED, 'doc_id')}, doc_id) - 1 AS idx FROM documents)"
+_SHUFFLED = f"""shuffled AS (SELECT doc_id, lang, md5(text) AS text_md5,
+  row_number() OVER (ORDER BY {S.u(SEED, 'doc_id')}, doc_id) - 1 AS idx FROM documents)"""
 _BATCHED = f"{_SHUFFLED}, batched AS (SELECT *, idx // {BATCH} AS batch_id FROM shuffled)"
 
 
+def _documents(spark, sf):
+    """Whole rows: the text is moved with its key, and only shown as a hash."""
+    return T.table(spark, sf, "documents").select("doc_id", "lang", "text")
+
+
 def _shuffled(spark, sf):
-    return ordering.global_shuffle(T.table(spark, sf, "documents").select("doc_id"), "doc_id", SEED)
+    return ordering.global_shuffle(_documents(spark, sf), "doc_id", SEED)
+
+
+def _with_hash(rows, *columns):
+    return rows.select("doc_id", "lang", F.md5("text").alias("text_md5"), *columns)
 
 
-@query("global_shuffle", f"WITH {_SHUFFLED} SELECT doc_id, idx FROM shuffled")
+@query("global_shuffle", f"WITH {_SHUFFLED} SELECT doc_id, lang, text_md5, idx FROM shuffled")
 def global_shuffle(spark, sf):
-    return _shuffled(spark, sf)
+    return _with_hash(_shuffled(spark, sf), "idx")
 
 
-@query(
-    "buffer_shuffle",
-    f"""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders)
-    SELECT o_orderkey, idx, idx // {ordering.SHUFFLE_BUFFER} AS block,
-           (idx // {ordering.SHUFFLE_BUFFER}) * {ordering.SHUFFLE_BUFFER} + row_number() OVER (
-             PARTITION BY idx // {ordering.SHUFFLE_BUFFER} ORDER BY {S.u(SEED, 'o_orderkey')}, o_orderkey) - 1 AS shuffled_idx
-    FROM o""",
-)
+# The table comes as one row group, so one task reads all of it in file order; buffers smaller than it show several blocks.
+SMALL_BUFFER = 150
+
+
+def _buffered(order: str) -> str:
+    return f"""WITH f AS (SELECT doc_id, lang, md5(text) AS text_md5, row_number() OVER () - 1 AS n FROM documents),
+    b AS (SELECT *, n // {SMALL_BUFFER} AS block FROM f)
+    SELECT doc_id, lang, text_md5, block, row_number() OVER (PARTITION BY block ORDER BY {order}, doc_id) - 1 AS place FROM b"""
+
+
+@query("buffer_shuffle", _buffered(S.u(SEED, "doc_id")))
 def buffer_shuffle(spark, sf):
-    rows = ordering.dense_index(T.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
-    return ordering.buffer_shuffle(rows, "idx", "o_orderkey", SEED)
+    return _with_hash(ordering.buffer_shuffle(_documents(spark, sf), "doc_id", SEED, SMALL_BUFFER), "block", "place")
 
 
-@query("assign_batches", f"WITH {_BATCHED} SELECT doc_id, idx, batch_id FROM batched")
+@query("assign_batches", f"WITH {_BATCHED} SELECT doc_id, lang, text_md5, idx, batch_id FROM batched")
 def assign_batches(spark, sf):
-    return ordering.assign_batches(_shuffled(spark, sf), BATCH)
+    return _with_hash(ordering.assign_batches(_shuffled(spark, sf), BATCH), "idx", "batch_id")
 
 
-@query("take_steps", f"WITH {_BATCHED} SELECT doc_id, idx, batch_id FROM batched WHERE batch_id < {STEPS}")
+@query("take_steps", f"WITH {_BATCHED} SELECT doc_id, lang, text_md5, idx, batch_id FROM batched WHERE batch_id < {STEPS}")
 def take_steps(spark, sf):
     """The first steps of an epoch; the limit is the operator."""
-    rows = T.table(spark, sf, "documents").select("doc_id")
-    return ordering.first_batches(rows, "doc_id", SEED, BATCH, STEPS)
+    return _with_hash(ordering.first_batches(_documents(spark, sf), "doc_id", SEED, BATCH, STEPS), "idx", "batch_id")
+
+
+@query(
+    "row_keys",
+    """WITH r AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source)
+    SELECT lang, source, n AS n_rows, n AS n_keys FROM r""",
+)
+def row_keys(spark, sf):
+    """Keys for rows without an id: as many as there are rows, equal rows included."""
+    rows = ordering.with_row_key(T.table(spark, sf, "documents").select("lang", "source", "text"))
+    return rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("row_key").alias("n_keys"))
 
 
 @query(
@@ -263,7 +290,7 @@ def _document_stream(spark, sf):
 @query("stream_encode", f"WITH {S.INPUTS} {_MASK_SQL}")
 def stream_encode(spark, sf):
     rows = jobs.stream_encode(T.molecules(_document_stream(spark, sf)), T.vocabulary(spark, sf))
-    return jobs.drain(rows, "encoded").select("mol_id", *[shown(F.col(c)).alias(c) for c in _INPUT_COLUMNS])
+    return jobs.drain(rows, *_paths(spark, "encoded")).select("mol_id", *[shown(F.col(c)).alias(c) for c in _INPUT_COLUMNS])
 
 
 @query(
@@ -277,7 +304,7 @@ def stream_encode(spark, sf):
 )
 def stream_metrics(spark, sf):
     events = C.stream_corpus(spark, f"{sf}/events*.parquet", T.table(spark, sf, "events").schema)
-    made = jobs.stream_metrics(T.event_predictions(events))
+    made = jobs.stream_metrics(T.event_predictions(events), *_paths(spark, "metrics"))
     return made.select("epoch", "split", "n", *[F.round(c, 6).alias(c) for c in ("rmse", "mae", "pearsonr")])
 
 
@@ -289,17 +316,39 @@ def stream_metrics(spark, sf):
 def stream_auroc(spark, sf):
     lines = C.stream_corpus(spark, f"{sf}/lineitem*.parquet", T.table(spark, sf, "lineitem").schema)
     scored = lines.select(T.line_split().alias("split"), *T.line_scores())
-    return jobs.stream_auroc(scored, "score", "label", ["split"]).select("split", F.round("roc", 6).alias("roc"))
+    paths = _paths(spark, "scores")
+    return jobs.stream_auroc(scored, *paths, 1000, "score", "label", ["split"]).select("split", F.round("roc", 6).alias("roc"))
 
 
-# The tables come as one file each, so two steps read all of it.
-@query("stream_limit", "SELECT doc_id, lang, n_chars FROM documents")
+@query("stream_limit", "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents WHERE doc_id % 4 < 2")
 def stream_limit(spark, sf):
-    """Two micro-batches of a stream that reads one file per step."""
-    rows = C.stream_corpus(
-        spark, f"{sf}/documents*.parquet", T.table(spark, sf, "documents").schema, max_files_per_trigger=1
-    )
-    return jobs.stream_limit(rows, 2).select("doc_id", "lang", "n_chars")
+    """Two micro-batches of a stream of four files, one file a step."""
+    documents = T.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    source = fresh_path(spark, "four-files")
+    for part in range(4):
+        # One after the other: a file source reads files in the order of their age.
+        documents.filter(F.col("doc_id") % 4 == part).coalesce(1).write.mode("append").parquet(source)
+    rows = C.stream_corpus(spark, source, documents.schema, max_files_per_trigger=1)
+    return _with_hash(jobs.stream_limit(rows, 2, *_paths(spark, "limited")))
+
+
+@query("stream_shuffle", _buffered(S.u(SEED, "doc_id")))
+def stream_shuffle(spark, sf):
+    rows = C.stream_corpus(spark, f"{sf}/documents*.parquet", T.table(spark, sf, "documents").schema).select("doc_id", "lang", "text")
+    shuffled = jobs.stream_shuffle(rows, "doc_id", SEED, SMALL_BUFFER)
+    return _with_hash(jobs.drain(shuffled, *_paths(spark, "shuffled")), "block", "place")
+
+
+@query(
+    "stream_corrupt",
+    f"""WITH {S.REPLACED} SELECT mol_id, string_agg(disc_id, ' ' ORDER BY pos) AS disc_input,
+    string_agg(disc_label, ' ' ORDER BY pos) AS disc_labels FROM replaced GROUP BY mol_id""",
+)
+def stream_corrupt(spark, sf):
+    vocab = T.vocabulary(spark, sf)
+    rows = jobs.stream_encode(T.molecules(_document_stream(spark, sf)), vocab).select("mol_id", "input_ids")
+    made = jobs.stream_corrupt(rows, T.proposals(spark, sf, vocab), "mol_id", SEED)
+    return jobs.drain(made, *_paths(spark, "corrupted")).select("mol_id", *[shown(F.col(c)).alias(c) for c in ("disc_input", "disc_labels")])
 
 
 @query(
@@ -309,6 +358,6 @@ def stream_limit(spark, sf):
 )
 def stream_mask(spark, sf):
     rows = jobs.stream_encode(T.molecules(_document_stream(spark, sf)), T.vocabulary(spark, sf)).select("mol_id", "input_ids")
-    return jobs.drain(jobs.stream_mask(rows, "mol_id", SEED), "masked").select(
+    return jobs.drain(jobs.stream_mask(rows, "mol_id", SEED), *_paths(spark, "masked")).select(
         "mol_id", *[shown(F.col(c)).alias(c) for c in ("mlm_labels", "masked_input")]
     )

@@ -201,12 +201,36 @@ def replacement_report(spark, sf):
 
 @query(
     "sample_for_review",
-    f"""WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY {S.u(T.SEED, 'doc_id')}, doc_id) - 1 AS idx FROM documents),
-    b AS (SELECT doc_id, idx // {T.BATCH_SIZE} AS batch_id FROM s)
-    SELECT batch_id, doc_id FROM b WHERE batch_id < {review.REVIEW_BATCHES}
-    QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY {S.u(T.SEED, 'batch_id', 'doc_id')}, doc_id) = 1""",
+    f"""WITH {S.REPLACED}, per AS (SELECT mol_id, string_agg(masked_id, ' ' ORDER BY pos) AS masked_input,
+      string_agg(disc_id, ' ' ORDER BY pos) AS disc_input, string_agg(disc_label, ' ' ORDER BY pos) AS disc_labels
+      FROM replaced GROUP BY mol_id),
+    s AS (SELECT mol_id, row_number() OVER (ORDER BY {S.u(T.SEED, 'mol_id')}, mol_id) - 1 AS idx FROM mols),
+    b AS (SELECT mol_id, idx // {T.BATCH_SIZE} AS batch_id FROM s),
+    p AS (SELECT * FROM b WHERE batch_id < {review.REVIEW_BATCHES}
+          QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY {S.u(T.SEED, 'batch_id', 'mol_id')}, mol_id) = 1)
+    SELECT batch_id, mol_id, masked_input, disc_input, disc_labels FROM p JOIN per USING (mol_id)""",
 )
 def sample_for_review(spark, sf):
-    documents = T.table(spark, sf, "documents").select("doc_id")
-    rows = ordering.first_batches(documents, "doc_id", T.SEED, T.BATCH_SIZE, review.REVIEW_BATCHES)
-    return review.sample_for_review(rows, "doc_id", T.SEED)
+    """One training example of each of the first batches, whole."""
+    rows = ordering.first_batches(T.corrupted(spark, sf), "mol_id", T.SEED, T.BATCH_SIZE, review.REVIEW_BATCHES)
+    columns = ["masked_input", "disc_input", "disc_labels"]
+    return review.sample_for_review(rows, "mol_id", T.SEED).select("batch_id", "mol_id", *[shown(F.col(c)).alias(c) for c in columns])
+
+
+@query(
+    "review_diff",
+    f"""WITH {_CUT}, s AS (SELECT mol_id, row_number() OVER (ORDER BY {S.u(T.SEED, 'mol_id')}, mol_id) - 1 AS idx FROM mols),
+    b AS (SELECT mol_id, idx // {T.BATCH_SIZE} AS batch_id FROM s),
+    p AS (SELECT * FROM b WHERE batch_id < {review.REVIEW_BATCHES}
+          QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY {S.u(T.SEED, 'batch_id', 'mol_id')}, mol_id) = 1)
+    SELECT mol_id, CAST(pos AS INTEGER) AS pos, v.token, disc_id <> token_id AS changed,
+           CASE WHEN masked AND disc_label = 1 THEN 'right' WHEN masked OR disc_label = 1 THEN 'wrong' END AS verdict
+    FROM kept JOIN p USING (mol_id) JOIN vocab v ON v.id = disc_id""",
+)
+def review_diff(spark, sf):
+    """The sampled examples position by position: the token shown, whether it differs, and the verdict on it."""
+    vocab = T.vocabulary(spark, sf)
+    rows = ordering.first_batches(T.corrupted(spark, sf, vocab), "mol_id", T.SEED, T.BATCH_SIZE, review.REVIEW_BATCHES)
+    picked = review.sample_for_review(rows, "mol_id", T.SEED).withColumn("disc_predictions", F.col("masked").cast("array<int>"))
+    verdicts = review.replacement_report(picked, "mol_id").drop("id")
+    return review.token_diff(picked, vocab, "mol_id").join(verdicts, ["mol_id", "pos"])

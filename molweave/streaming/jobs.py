@@ -1,24 +1,26 @@
 """Encoding, masking and metrics over streamed corpora.
 
-Sinks and streaming state live in the shared folder, so a restarted query goes on from its last batch. Randomness is a
-hash of the row key, so a replayed batch gives the same rows.
+The caller names where rows and state are kept. A query that is started again with the same two paths goes on from its last
+batch; what it gives back is read from disk, so nothing depends on the driver that ran before. Randomness is a hash of the row
+key, so a replayed batch gives the same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from molweave.functions.ids import MAX_LENGTH
-from molweave.operators.corrupt import MASK_PROB, mask_sequences
+from molweave.operators.corrupt import MASK_PROB, corrupt_arrays, mask_sequences, mask_state, proposal_table, sample_state
 from molweave.operators.encoding import encode_text
 from molweave.operators.metrics import area, mae_of, pearson_of, rmse_of, score_counts
-from molweave.sources.scratch import fresh_path
+from molweave.operators.ordering import SHUFFLE_BUFFER, buffer_shuffle
 
-SCORE_BINS = 1000
+LIMIT_REACHED = "the step limit is reached"
 
 
 def stream_encode(stream: DataFrame, vocab: DataFrame, text: str = "selfies", max_length: int = MAX_LENGTH) -> DataFrame:
@@ -31,9 +33,34 @@ def stream_mask(stream: DataFrame, key: str, seed, ids: str = "input_ids", p: fl
     return mask_sequences(stream, key, seed, ids, p)
 
 
-def drain(stream: DataFrame, kind: str) -> DataFrame:
-    """Run a stateless stream to the end of what is there and return the written rows."""
-    out, state = fresh_path(stream.sparkSession, kind), fresh_path(stream.sparkSession, f"{kind}-state")
+def stream_shuffle(stream: DataFrame, key: str, seed, buffer: int = SHUFFLE_BUFFER) -> DataFrame:
+    """Shuffle a stream within bounded buffers of each task; stateless, no exchange."""
+    return buffer_shuffle(stream, key, seed, buffer)
+
+
+def stream_corrupt(stream: DataFrame, candidates: DataFrame, key: str, seed, ids: str = "input_ids", p: float = MASK_PROB) -> DataFrame:
+    """Corrupt a stream of encoded sequences with written proposals that fit in a broadcast; stateless."""
+    table = proposal_table(candidates)
+    if table is None:
+        raise ValueError("these proposals are too many to broadcast: corrupt the written batches")
+    fn = corrupt_arrays(candidates.sparkSession, table, p)
+    made = stream.withColumn("_c", fn(F.col(ids), mask_state(seed, key), sample_state(seed, key)))
+    return made.select(*stream.columns, "_c.*")
+
+
+def _written(like: DataFrame, path: str) -> DataFrame:
+    """The rows at a path, or none if nothing was written there yet."""
+    spark = like.sparkSession
+    try:
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], like.schema)
+
+
+def drain(stream: DataFrame, out: str, state: str) -> DataFrame:
+    """Run a stateless stream to the end of what is there and return all rows written so far."""
     query = (
         stream.writeStream.format("parquet")
         .option("path", out)
@@ -42,7 +69,7 @@ def drain(stream: DataFrame, kind: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+    return _written(stream, out)
 
 
 def metric_table(df: DataFrame, pred="pred", target="target", by=("epoch", "split")) -> DataFrame:
@@ -74,68 +101,58 @@ def run_metrics(metrics: DataFrame, publish: Callable[[DataFrame, int], None], s
     )
 
 
-def drain_table(table: DataFrame, kind: str) -> DataFrame:
+def drain_table(table: DataFrame, out: str, state: str) -> DataFrame:
     """Run a streaming aggregate to the end of what is there and return its last state.
 
-    Each batch writes the whole (small) table under its own batch number, so it can be read while the stream runs and a
-    repeated batch overwrites itself.
+    Each batch writes the whole (small) table under its own batch number, so it can be read while the stream runs, a repeated
+    batch overwrites itself, and the last table is found on disk even if there is no new batch.
     """
-    spark = table.sparkSession
-    out, state = fresh_path(spark, kind), fresh_path(spark, f"{kind}-state")
-    last: list[int] = []
 
     def publish(now: DataFrame, batch: int) -> None:
         now.write.mode("overwrite").parquet(f"{out}/batch={batch}")
-        last[:] = [batch]
 
     run_metrics(table, publish, state).awaitTermination()
-    if not last:
-        return spark.createDataFrame([], table.schema)
-    return spark.read.schema(table.schema).parquet(f"{out}/batch={last[0]}")
+    numbered = _written(table.withColumn("batch", F.lit(0).cast("long")), out)
+    last = numbered.agg(F.max("batch")).first()[0]
+    return numbered.filter(F.col("batch") == last).drop("batch") if last is not None else numbered.drop("batch")
 
 
-def stream_metrics(stream: DataFrame, pred="pred", target="target", by=("epoch", "split")) -> DataFrame:
+def stream_metrics(stream: DataFrame, out: str, state: str, pred="pred", target="target", by=("epoch", "split")) -> DataFrame:
     """Drain a stream of predictions and return its regression metrics."""
-    return drain_table(metric_table(stream, pred, target, by), "metrics")
+    return drain_table(metric_table(stream, pred, target, by), out, state)
 
 
-def stream_auroc(stream: DataFrame, pred="pred", target="target", by=("epoch", "split"), bins: int = SCORE_BINS) -> DataFrame:
-    """Area under the curve of a stream of scores in [0, 1], to the resolution of ``bins``.
+def stream_auroc(stream: DataFrame, out: str, state: str, bins: int | None, pred="pred", target="target", by=("epoch", "split")) -> DataFrame:
+    """Area under the curve of a stream of scores.
 
-    The state is a histogram: at most ``bins`` + 1 rows per group, however long the stream. Scores in one bin count as ties,
-    so scores that are multiples of 1 / ``bins`` give the exact area.
+    With ``bins`` the state is a histogram of scores in [0, 1], at most bins + 1 rows per group however long the stream; a score
+    outside is an error, and scores in one bin count as ties, so multiples of 1 / bins give the exact area. With None the state
+    has a row per distinct score, and the area is exact for any scores.
     """
-    binned = F.floor(F.col(pred) * bins + 0.5)
-    return area(drain_table(score_counts(stream, binned, target, by), "scores"), by)
+    score = F.col(pred).cast("double")
+    if bins is not None:
+        outside = F.raise_error(F.lit("a score is outside [0, 1]")).cast("double")
+        score = F.floor(F.when((score < 0) | (score > 1), outside).otherwise(score) * bins + 0.5)
+    return area(drain_table(score_counts(stream, score, target, by), out, state), by)
 
 
-def stream_limit(stream: DataFrame, steps: int, kind: str = "limited") -> DataFrame:
+def stream_limit(stream: DataFrame, steps: int, out: str, state: str) -> DataFrame:
     """Take a bounded number of micro-batches from a stream and return their rows.
 
-    The size of a step is the source's maxFilesPerTrigger. Batches after the last step are not written.
+    The size of a step is the source's maxFilesPerTrigger. The batch after the last step fails before its offsets are committed,
+    so a later run with more steps starts with it. Steps count from the stream's beginning.
     """
-    spark = stream.sparkSession
-    out, state = fresh_path(spark, kind), fresh_path(spark, f"{kind}-state")
-
-    written: set[int] = set()
 
     def publish(batch: DataFrame, number: int) -> None:
-        if number < steps:
-            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-            written.add(number)
+        if number >= steps:
+            raise RuntimeError(LIMIT_REACHED)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = (
-        stream.writeStream.option("checkpointLocation", state).foreachBatch(publish).trigger(availableNow=True).start()
-    )
+    query = stream.writeStream.option("checkpointLocation", state).foreachBatch(publish).trigger(availableNow=True).start()
     try:
-        while not query.awaitTermination(timeout=0.2):
-            progress = query.lastProgress
-            if progress is not None and progress.batchId >= steps:
-                query.stop()
-    finally:
-        query.stop()
-    if query.exception() is not None:
-        raise query.exception()
-    if not written:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(*[f"{out}/batch={n}" for n in sorted(written)])
+        query.awaitTermination()
+    except Exception as e:
+        if LIMIT_REACHED not in str(e):
+            raise
+    numbered = _written(stream.withColumn("batch", F.lit(0).cast("long")), out)
+    return numbered.drop("batch")

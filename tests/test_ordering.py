@@ -58,12 +58,22 @@ def test_dense_index_of_a_skewed_key(spark):
     assert sorted(r.idx for r in got) == list(range(900))
 
 
-def test_buffer_shuffle_stays_in_its_block(spark):
-    df = spark.range(0, 250, 1, 3).withColumnRenamed("id", "idx").withColumn("key", F.col("idx") * 10)
-    got = O.buffer_shuffle(df, "idx", "key", 1, buffer=100).collect()
-    assert sorted(r.shuffled_idx for r in got) == list(range(250))
-    assert all(r.idx // 100 == r.block == r.shuffled_idx // 100 for r in got)
-    assert any(r.idx != r.shuffled_idx for r in got)
+def test_buffer_shuffle_stays_in_its_buffer(spark):
+    df = spark.range(0, 250, 1, 1).withColumn("text", F.col("id").cast("string"))
+    shuffled = O.buffer_shuffle(df, "id", 1, buffer=100)
+    assert "Exchange" not in shuffled._jdf.queryExecution().executedPlan().toString()
+    got = shuffled.collect()
+    assert all(r.id // 100 == r.block and r.text == str(r.id) for r in got)
+    assert [r.place for r in got] == [*range(100), *range(100), *range(50)]
+    for block in range(3):
+        assert [r.id for r in got if r.block == block] == sorted(range(block * 100, min(250, block * 100 + 100)), key=lambda i: (u(1, i), i))
+
+
+def test_keys_for_rows_without_one(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", None), (None, None), (None, None)], "s string, t int")
+    keyed = O.with_row_key(df).collect()
+    assert len({r.row_key for r in keyed}) == 5
+    assert {r.row_key for r in O.with_row_key(df.repartition(3)).collect()} == {r.row_key for r in keyed}
 
 
 def test_batches_keep_the_short_last_one(spark):

@@ -1,7 +1,7 @@
 """Label statistics of the train split and their use on any split.
 
-Statistics are one row. They enter other plans as scalar subqueries: computed once per query and inlined as constants,
-with no join.
+Means and deviations are one row. They enter other plans as scalar subqueries: computed once per query and inlined as constants,
+with no join. Class weights are joined by class.
 """
 
 from __future__ import annotations
@@ -10,9 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A classification head has this many labels at most; per-class constants stay small.
-MAX_CLASSES = 10_000
-
 
 def target_mean_std(df: DataFrame, target: str = "target") -> DataFrame:
     """Mean and population standard deviation."""
@@ -31,13 +28,13 @@ def class_weights(df: DataFrame, target: str = "target") -> DataFrame:
     return counts.select("target", "n_c", (totals["n"] / (totals["k"] * F.col("n_c"))).alias("weight"))
 
 
-def weight_of(weights: DataFrame, target: Column) -> Column:
-    """Weight of a row's class, as a lookup in a constant map; null for a class the train split does not have."""
-    entries = F.collect_list(F.struct("target", "weight"))
-    bounded = F.when(F.size(entries) <= MAX_CLASSES, F.map_from_entries(entries)).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_CLASSES} classes: not a class label"))
-    )
-    return F.try_element_at(weights.limit(MAX_CLASSES + 1).agg(bounded.alias("m")).scalar(), target)
+def attach_weights(df: DataFrame, weights: DataFrame, target: str = "target", out: str = "class_weight") -> DataFrame:
+    """Add the weight of a row's class; null for a class the train split does not have.
+
+    A join on the class, of which Spark knows the size: few classes are broadcast, many are not.
+    """
+    by_class = weights.select(F.col("target").alias("_class"), F.col("weight").alias(out))
+    return df.join(by_class, F.col(target) == F.col("_class"), "left").drop("_class")
 
 
 def infer_problem(df: DataFrame, target: str = "target") -> DataFrame:
@@ -74,7 +71,7 @@ def apply_train_stats(df: DataFrame, train: DataFrame, target: str = "target") -
     Classification adds ``class_weight``; regression adds ``mean`` and ``std``.
     """
     if is_classification(train, target):
-        return df.withColumn("class_weight", weight_of(class_weights(train, target), F.col(target)))
+        return attach_weights(df, class_weights(train, target), target)
     stats = _stats(train, target)
     return df.withColumn("mean", stats["mean"]).withColumn("std", stats["std"])
 

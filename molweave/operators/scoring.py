@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from molweave.operators.labels import class_weights, standardize, weight_of
+from molweave.operators.labels import attach_weights, class_weights, standardize
 
 
 def _erf(x: np.ndarray) -> np.ndarray:
@@ -75,11 +75,8 @@ def fit_classifier(
     train: DataFrame, features="features", target="target", max_iter: int = 200, tolerance: float = 1e-9
 ) -> LogisticRegressionModel:
     """Logistic head with balanced class weights."""
-    rows = train.select(
-        _vector(features).alias("x"),
-        F.col(target).cast("double").alias("y"),
-        weight_of(class_weights(train, target), F.col(target)).alias("w"),
-    )
+    weighted = attach_weights(train, class_weights(train, target), target, "w")
+    rows = weighted.select(_vector(features).alias("x"), F.col(target).cast("double").alias("y"), "w")
     fit = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=max_iter, tol=tolerance)
     return _converged(fit.fit(rows), max_iter)
 

@@ -282,9 +282,8 @@ def collate_batches(spark, sf):
 
 
 def _document_stream(spark, sf):
-    scan = T.table(spark, sf, "documents").select("doc_id", "text")
     rows = C.stream_corpus(spark, f"{sf}/documents*.parquet", T.table(spark, sf, "documents").schema)
-    return C.spread(rows.select("doc_id", "text"), scan)
+    return T.spread(rows.select("doc_id", "text"))
 
 
 @query("stream_encode", f"WITH {S.INPUTS} {_MASK_SQL}")

@@ -11,7 +11,7 @@ from molweave.functions.vectors import softmax
 from molweave.operators.corrupt import corrupt_sequences, mask_state, ngram_candidates, sample_state
 from molweave.operators.encoding import encode_text, tokenize
 from molweave.operators.vocab import encode, train_vocab
-from molweave.sources.corpus import split_of, spread
+from molweave.sources.corpus import split_of
 from molweave.sources.scratch import stored
 
 SEED = 42
@@ -41,6 +41,11 @@ def molecules(documents: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The given tables are one row group each, which one task reads; deal their rows to all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return molecules(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 

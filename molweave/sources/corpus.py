@@ -17,9 +17,6 @@ SPLIT_SEED = "split"
 # Upper edges of the hash ranges of train and validation; test is the rest.
 SPLIT_EDGES = [0.8, 0.9]
 
-# A table in this many pieces is never spread further.
-MAX_SPREAD = 64
-
 # The columns of the two public pretraining corpora and of the fine-tune sets.
 # kind -> (id column, text column, columns that go once the text is encoded)
 SOURCE_KINDS = {
@@ -40,17 +37,6 @@ def split_of(*keys) -> Column:
     return F.when(u < SPLIT_EDGES[0], SPLITS[0]).when(u < SPLIT_EDGES[1], SPLITS[1]).otherwise(SPLITS[2])
 
 
-def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
-    """Use all cores for a table that comes in fewer pieces than there are cores, such as one row group.
-
-    ``df`` is a plain scan, or a stream over the files of the batch scan ``scan``. A large table has many pieces and is
-    left alone, without a shuffle.
-    """
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, MAX_SPREAD)
-    pieces = (df if scan is None else scan).rdd.getNumPartitions()
-    return df.repartition(wanted) if pieces < wanted else df
-
-
 def load_corpus(spark: SparkSession, path: str, split: str | None = None, key: str | None = None) -> DataFrame:
     """One named split of a parquet corpus, or all of it with its split column.
 

@@ -41,11 +41,12 @@ def test_train_statistics_on_another_split(spark):
     assert (r.target, r.mean, r.std) == (9.0, 2.0, 1.0)
 
 
-def test_too_many_classes_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(L, "MAX_CLASSES", 3)
-    rows = targets(spark, list(range(5)), "int")
-    with pytest.raises(Exception, match="more than 3 classes"):
-        L.apply_train_stats(rows, rows).collect()
+def test_many_classes_are_joined(spark):
+    n = 20_000
+    rows = spark.range(n).select(F.col("id").cast("int").alias("target"))
+    weighted = L.apply_train_stats(rows, rows)
+    assert weighted.count() == n and weighted.agg(F.max(F.abs(F.col("class_weight") - 1))).first()[0] < 1e-9
+    assert "BroadcastNestedLoopJoin" not in weighted._jdf.queryExecution().executedPlan().toString()
 
 
 def test_standardize(spark):

@@ -134,3 +134,26 @@ def test_weights_meet_classes_not_rows(spark):
     plan = O.weighted_cross_entropy(df, L.class_weights(df), num_labels=2)._jdf.queryExecution().executedPlan().toString()
     # The aggregate over rows is below the join.
     assert plan.index("Join") < plan.index("partial_sum(CASE WHEN")
+
+
+def test_a_label_outside_the_logits_is_an_error(spark):
+    df = spark.createDataFrame([([0.0, 1.0], 0), ([0.0, 1.0], 7)], "logits array<double>, label int")
+    for loss in (O.token_cross_entropy, O.labelled_cross_entropy):
+        with pytest.raises(Exception, match="label outside the logits"):
+            loss(df).collect()
+    with pytest.raises(Exception, match="label outside the logits"):
+        O.token_cross_entropy(df.withColumn("label", F.lit(-5))).collect()
+    assert O.token_cross_entropy(df.withColumn("label", F.lit(-100))).first().n == 0
+
+
+def test_a_class_without_a_weight_is_an_error(spark):
+    df = spark.createDataFrame([([0.0, 1.0], 0), ([0.0, 1.0], 1)], "logits array<double>, target int")
+    with pytest.raises(Exception, match="no weight for class 1"):
+        O.weighted_cross_entropy(df, L.class_weights(df.filter("target = 0")), num_labels=2).collect()
+
+
+def test_generator_accuracy_joins_the_batch_record(spark):
+    rows = [(0, 5, True, True, 1.0, 1, 0.5), (0, 6, True, False, -1.0, 1, 1.5), (0, 7, False, True, -1.0, 0, None)]
+    df = spark.createDataFrame(rows, "batch_id int, token_id int, masked boolean, hit boolean, disc_logit double, disc_label int, nll double")
+    r = O.rtd_losses(df, hit="hit").first()
+    assert (r.gen_acc, r.mlm_loss) == (0.5, 1.0)

@@ -91,3 +91,23 @@ def test_epoch_metrics_and_format(spark):
         "[val] epoch 0 val_loss: 2.0000 val_rmse: 0.0000",
         "[val] epoch 1 val_loss: 2.0000 val_rmse: 1.0000",
     }
+
+
+def test_nan_scores_are_errors(spark):
+    df = table(spark, [(float("nan"), 0), (0.9, 1), (0.2, 0)])
+    for metric in (M.precision, M.auroc):
+        with pytest.raises(Exception, match="a score is NaN"):
+            metric(df).collect()
+
+
+def test_epoch_metrics_read_their_table_once(spark, tmp_path):
+    path = str(tmp_path / "p")
+    rows = [(1, 0, "train", b, 1.0 * b, p, p * 2.0 + b) for b in range(3) for p in range(4)]
+    spark.createDataFrame(rows, "run int, epoch int, split string, batch_id int, loss double, pred int, target double").write.parquet(path)
+    df = spark.read.parquet(path)
+    made = M.epoch_metrics(df, "regression", {"train": "train"})
+    assert made._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {r.name: r.value for r in made.collect()}
+    want = df.agg(M.rmse_of(F.col("pred"), F.col("target")), M.pearson_of(F.col("pred"), F.col("target"))).first()
+    assert got["train_loss"] == 1.0
+    assert got["train_rmse"] == pytest.approx(want[0]) and got["train_pearsonr"] == pytest.approx(want[1])

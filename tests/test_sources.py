@@ -4,7 +4,8 @@ from pyspark.sql import types as T
 
 from molweave.operators.vocab import train_vocab
 from molweave.sources import corpus as C
-from molweave.sources.scratch import fresh_path, shared_dir, stored
+from molweave.sources import scratch
+from molweave.sources.scratch import fresh_path, remove_stored, shared_dir, stored
 
 
 def test_load_split_prunes_a_partition_column(spark, tmp_path):
@@ -45,11 +46,18 @@ def test_map_batches_does_not_depend_on_batches(spark, batch_size):
     assert sorted((r.id, r.n) for r in out.collect()) == [(i + 1, len(str(i))) for i in range(50)]
 
 
-def test_spread_leaves_enough_partitions_alone(spark, tmp_path):
-    one = spark.range(0, 10, 1, 1)
-    many = spark.range(0, 100, 1, 64)
-    assert C.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert C.spread(many) is many
+def test_stored_tables_can_be_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: str(tmp_path / "mine"))
+    assert stored(spark.range(5), "numbers").count() == 5 and remove_stored(spark)
+    assert not (tmp_path / "mine" / "molweave").exists()
+
+
+def test_an_empty_vocabulary_leaves_nothing_behind(spark, tmp_path):
+    path = str(tmp_path / "v")
+    empty = spark.createDataFrame([("[PAD]", 3, 0)], "token string, id int, n long")
+    with pytest.raises(ValueError):
+        C.save_vocab(empty, path)
+    assert C.save_vocab(empty.union(spark.createDataFrame([("a", 5, 1)], empty.schema)), path).count() == 2
 
 
 def test_save_vocab(spark, tmp_path):

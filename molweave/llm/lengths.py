@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from molweave.llm.tokens import Vocabulary, public_vocabulary
 from molweave.llm.words import pieces
+from molweave.sources.scratch import stored
 
 BLOCK = 4096
 
@@ -91,4 +92,5 @@ def quantile(table: DataFrame, share: float) -> DataFrame:
 
 
 def token_counts(documents: DataFrame) -> DataFrame:
-    return limit_table(length_histogram(documents))
+    """The limit table of a corpus. The histogram is written once, since both levels of the sums read it."""
+    return limit_table(stored(length_histogram(documents), "lengths"))

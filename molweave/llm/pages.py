@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molweave.llm.words import pieces
+from molweave.sources.scratch import stored
 
 TEMPLATE_SHARE = 0.5
 TEMPLATE_LEAST = 5
@@ -244,7 +245,8 @@ def site_templates(pages: DataFrame) -> DataFrame:
     read = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(subtree_rows, "host string, content long, subtrees array<long>")
     # One row per host, content and subtree; a subtree of null stands for the content itself.
     marked = read.select("host", "content", F.explode(F.concat(F.array(F.lit(None).cast("long")), "subtrees")).alias("subtree")).distinct()
-    counts = marked.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter((F.col("n") >= TEMPLATE_LEAST))
+    # Read twice below, so written once; only what recurs is left.
+    counts = stored(marked.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= TEMPLATE_LEAST), "subtrees")
     contents = counts.filter("subtree IS NULL").select(F.col("host").alias("_host"), F.col("n").alias("all"))
     found = counts.filter("subtree IS NOT NULL")
     frequent = found.join(contents, found["host"] == contents["_host"]).filter(F.col("n") >= TEMPLATE_SHARE * F.col("all"))

@@ -26,7 +26,9 @@ def _prefix_offsets(sizes: DataFrame, bucket: str) -> DataFrame:
     return sizes.select(bucket, F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
 
 
-def global_shuffle(df: DataFrame, key: str, seed, take: int | None = None, out: str = "idx") -> DataFrame:
+def global_shuffle(
+    df: DataFrame, key: str, seed, take: int | None = None, out: str = "idx", buckets: int | None = None, bucket_out: str | None = None
+) -> DataFrame:
     """Rows with a dense index in the order of (u(seed, key), key); ``key`` is unique.
 
     u is uniform, so cutting [0, 1) into equal buckets gives balanced ordered groups without sampling. A first pass over
@@ -35,7 +37,7 @@ def global_shuffle(df: DataFrame, key: str, seed, take: int | None = None, out:
     a new order per epoch is a seed that names the epoch.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(partitions * BUCKETS_PER_PARTITION, MAX_BUCKETS)
+    buckets = buckets or min(partitions * BUCKETS_PER_PARTITION, MAX_BUCKETS)
     draw = uniform(seed, key)
     bucket = F.floor(draw * buckets).cast("int")
     sizes = df.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("size"))
@@ -44,7 +46,8 @@ def global_shuffle(df: DataFrame, key: str, seed, take: int | None = None, out:
         offsets = offsets.filter(F.col("offset") < take)
     placed = df.withColumn("_u", draw).withColumn("_bucket", bucket).join(F.broadcast(offsets), "_bucket")
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_u", key))
-    indexed = placed.withColumn(out, F.col("offset") + inside - 1).drop("_u", "_bucket", "offset")
+    indexed = placed.withColumn(out, F.col("offset") + inside - 1).drop("_u", "offset")
+    indexed = indexed.withColumnRenamed("_bucket", bucket_out) if bucket_out else indexed.drop("_bucket")
     return indexed if take is None else indexed.filter(F.col(out) < take)
 
 
@@ -123,8 +126,22 @@ def first_batches(df: DataFrame, key: str, seed, batch_size: int, steps: int) ->
     return take_steps(assign_batches(global_shuffle(df, key, seed, take=steps * batch_size), batch_size), steps)
 
 
-def collate_batches(df: DataFrame, *columns: str, idx: str = "idx") -> DataFrame:
-    """(batch_id, n_rows, one array per column) in row order. A group is one batch."""
+def collate_batches(
+    df: DataFrame, *columns: str, idx: str = "idx", batch_size: int | None = None, bucket: str | None = None
+) -> DataFrame:
+    """(batch_id, n_rows, one array per column) in row order. A group is one batch.
+
+    With the ``bucket`` that ``global_shuffle`` kept and the ``batch_size``, rows are collated where that shuffle put them, and only
+    batches that lie across two buckets are shuffled again, two a bucket.
+    """
     cell = F.struct(idx, *columns)
-    grouped = df.groupBy("batch_id").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    if bucket is None:
+        grouped = df.groupBy("batch_id").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    else:
+        if batch_size is None:
+            raise ValueError("name the batch size along with the bucket")
+        parts = df.groupBy(bucket, "batch_id").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+        whole = parts.filter(F.size("cells") == batch_size).select("batch_id", "cells")
+        torn = parts.filter(F.size("cells") != batch_size).groupBy("batch_id")
+        grouped = whole.unionByName(torn.agg(F.array_sort(F.flatten(F.collect_list("cells"))).alias("cells")))
     return grouped.select("batch_id", F.size("cells").alias("n_rows"), *[F.col(f"cells.{c}").alias(c) for c in columns])

@@ -271,8 +271,8 @@ def row_keys(spark, sf):
     FROM batched JOIN inputs ON doc_id = mol_id GROUP BY batch_id""",
 )
 def collate_batches(spark, sf):
-    rows = ordering.global_shuffle(T.inputs(spark, sf).select("mol_id", "input_ids"), "mol_id", SEED)
-    batches = ordering.collate_batches(ordering.assign_batches(rows, BATCH), "mol_id", "input_ids")
+    rows = ordering.global_shuffle(T.inputs(spark, sf).select("mol_id", "input_ids"), "mol_id", SEED, buckets=8, bucket_out="bucket")
+    batches = ordering.collate_batches(ordering.assign_batches(rows, BATCH), "mol_id", "input_ids", batch_size=BATCH, bucket="bucket")
     return batches.select(
         "batch_id", "n_rows", shown(F.col("mol_id")).alias("mol_ids"), F.md5(shown(F.flatten("input_ids"))).alias("ids_md5")
     )

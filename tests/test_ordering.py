@@ -84,6 +84,25 @@ def test_batches_keep_the_short_last_one(spark):
     assert O.take_steps(O.assign_batches(rows, 32), 2).count() == 64
 
 
+@pytest.mark.parametrize("n,buckets", [(65, 3), (640, 4), (31, 2), (500, 40)])
+def test_collating_in_buckets_equals_collating(spark, n, buckets):
+    rows = O.global_shuffle(spark.range(n), "id", 3, buckets=buckets, bucket_out="bucket")
+    batches = O.assign_batches(rows, 32)
+    once = O.collate_batches(batches, "id", batch_size=32, bucket="bucket")
+    assert {str(r) for r in once.collect()} == {str(r) for r in O.collate_batches(batches, "id").collect()}
+
+
+def test_collating_in_buckets_shuffles_rows_once(spark):
+    rows = O.assign_batches(O.global_shuffle(spark.range(500), "id", 3, buckets=4, bucket_out="bucket"), 32)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = O.collate_batches(rows, "id", batch_size=32, bucket="bucket")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning(bucket") + plan.count("Exchange hashpartitioning(_bucket") - plan.count("ReusedExchange") <= 2
+    assert plan.count("Exchange hashpartitioning(batch_id") == 1
+
+
 def test_first_batches(spark):
     rows = O.first_batches(spark.range(300), "id", 9, 32, 5).collect()
     assert len(rows) == 160 and {r.batch_id for r in rows} == set(range(5))

@@ -28,6 +28,7 @@ def _phrase_starts(phrase: str) -> str:
 
 
 _FOLDED = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _STARTS = ", ".join(f"{_phrase_starts(phrase)} AS at_{i}" for i, phrase in enumerate(licenses.BASE))
 _ALL_STARTS = " || ".join(f"at_{i}" for i in range(len(licenses.BASE)))
 _BASE_LABELS = ", ".join(f"CASE WHEN len(at_{i}) > 0 THEN '{label}' END" for i, label in enumerate(licenses.BASE.values()))
@@ -36,11 +37,12 @@ _TEMPLATES = ", ".join(
 )
 LICENSE_SQL = rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {_FOLDED} AS t FROM documents),
-w AS (SELECT doc_id, rid, regexp_extract_all(t, '{licenses.WORD}') AS ws FROM d),
+w AS (SELECT doc_id, rid, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
 b AS (SELECT doc_id, rid, len(ws) AS n_words, {_STARTS} FROM w),
-lines AS (SELECT rid, regexp_extract_all(line, '{licenses.WORD}') AS ws
+lines AS (SELECT rid, regexp_extract_all(line, '{_WORD}') AS ws
           FROM (SELECT rid, unnest(regexp_split_to_array(t, '[
-]+')) AS line FROM d)),
+
+]+')) AS line FROM d)),
 blocks AS (SELECT rid, ws[s + 1 : s + {licenses.WINDOW}] AS block
            FROM (SELECT rid, ws, unnest(range(0, greatest(1, len(ws) - {licenses.STRIDE}), {licenses.STRIDE})) AS s FROM lines)),
 templates(label, tokens, c) AS (VALUES {_TEMPLATES}),
@@ -113,7 +115,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SHINGLE = chosen_path.SHINGLE
 JACCARD_SQL = rf"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '{licenses.WORD}') AS ws FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '{_WORD}') AS ws FROM documents),
 k AS (SELECT doc_id, ws, array_to_string(ws, ' ') AS words FROM w),
 reps AS (SELECT words, any_value(ws) AS ws, min(doc_id) AS rep, count(*) AS n_copies FROM k WHERE len(ws) > 0 GROUP BY words),
 s AS (SELECT DISTINCT rep, array_to_string(ws[i : i + {_SHINGLE - 1}], ' ') AS run

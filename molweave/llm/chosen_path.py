@@ -4,7 +4,8 @@
 2. A node's set of word runs is embedded by min-wise hashing: SIGNATURE tokens, each (coordinate, value), of which two sets share
    a fraction equal to their similarity.
 3. Chosen paths. A run samples a token and puts nodes that share it in one bucket. A bucket of more than BUCKET nodes is split on
-   BRANCHES further tokens, sampled by a hash of the bucket's path, and so on down to DEPTH. Two sets of the threshold's similarity
+   BRANCHES further tokens, sampled by a hash of the bucket's path, and so on down to DEPTH, or until parts are hardly smaller
+   than the bucket, which then holds near copies. Two sets of the threshold's similarity
    share a bucket of a run with probability of at least p, so runs are repeated until 1 - (1 - p) ** runs reaches RECALL.
 4. Buckets are compared by brute force on the embedding, with a margin of several deviations below the threshold. What is found
    links nodes into groups of candidates; only links to a common neighbour are given out, never all pairs.
@@ -37,6 +38,8 @@ RECALL = 0.9999
 BUCKET = 128
 BRANCHES = 2
 DEPTH = 5
+# A part with this share of its bucket makes the bucket dense.
+DENSE = 0.5
 # Deviations of the embedding's estimate below the threshold that still make a candidate.
 MARGIN = 4.5
 # Nodes, and words, of a tile.
@@ -116,26 +119,43 @@ def embedded(documents: DataFrame) -> DataFrame:
 
 
 def leaf_buckets(nodes: DataFrame, runs: int) -> DataFrame:
-    """(bucket, node, tiles): buckets of two nodes at least; tiles is 1 but for buckets that stay large down to DEPTH."""
+    """(bucket, node, tiles): buckets of two nodes at least; more than one tile where splitting leaves a bucket large."""
     firsts = [F.struct(F.lit(r).alias("run"), F.get("signature", F.lit(FIRST_TOKENS[r])).alias("value")) for r in range(runs)]
     rooted = nodes.select("node", F.explode(F.array(*firsts)).alias("t"))
-    rows = rooted.select("node", F.xxhash64(F.lit("run"), "t.run", "t.value").alias("path"))
-    leaves = []
+    none = F.lit(None).cast("long")
+    rows = rooted.select("node", F.xxhash64(F.lit("run"), "t.run", "t.value").alias("path"), none.alias("parent"), none.alias("parent_size"))
+    leaves, above = [], None
+
+    def leaf(of: DataFrame, buckets: DataFrame) -> None:
+        tiles = F.ceil(F.col("size") / TILE).cast("int")
+        leaves.append(of.select("node", "path").join(buckets, "path").select(F.col("path").alias("bucket"), "node", tiles.alias("tiles")))
+
     for depth in range(1, DEPTH + 1):
         rows = stored(rows, "paths")
-        sizes = stored(rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+        counted = rows.groupBy("path").agg(
+            F.count("*").alias("size"), F.first("parent").alias("parent"), F.first("parent_size").alias("parent_size")
+        )
+        sizes = stored(counted.filter("size > 1"), "sizes")
+        if above is not None:
+            # A bucket that hardly shrinks holds near copies: it is compared as it is, and its parts are not followed.
+            dense = sizes.filter((F.col("size") > BUCKET) & (F.col("size") >= DENSE * F.col("parent_size")))
+            dense = dense.select(F.col("parent").alias("path"), F.col("parent_size").alias("size")).distinct()
+            leaf(above, dense)
+            sizes = sizes.join(dense.select(F.col("path").alias("parent")), "parent", "left_anti")
         last = depth == DEPTH
-        small = sizes if last else sizes.filter(F.col("size") <= BUCKET)
-        tiles = F.ceil(F.col("size") / TILE).cast("int")
-        leaves.append(rows.join(small, "path").select(F.col("path").alias("bucket"), "node", tiles.alias("tiles")))
-        large = sizes.filter(F.col("size") > BUCKET).select("path")
+        leaf(rows, (sizes if last else sizes.filter(F.col("size") <= BUCKET)).select("path", "size"))
+        large = sizes.filter(F.col("size") > BUCKET).select("path", "size")
         if last or large.isEmpty():
             break
-        split = rows.join(large, "path").join(nodes.select("node", "signature"), "node")
+        split = rows.select("node", "path").join(large, "path").join(nodes.select("node", "signature"), "node")
         at = [F.pmod(F.xxhash64("path", F.lit(b)), F.lit(SIGNATURE)).cast("int") for b in range(BRANCHES)]
         tokens = F.array(*[F.struct(a.alias("at"), F.get("signature", a).alias("value")) for a in at])
-        rows = split.select("node", "path", F.explode(tokens).alias("t")).select(
-            "node", F.xxhash64("path", "t.at", "t.value").alias("path")
+        above = rows
+        rows = split.select("node", "path", "size", F.explode(tokens).alias("t")).select(
+            "node",
+            F.xxhash64("path", "t.at", "t.value").alias("path"),
+            F.col("path").alias("parent"),
+            F.col("size").alias("parent_size"),
         )
     out = leaves[0]
     for more in leaves[1:]:
@@ -197,7 +217,11 @@ def meets(side_left: np.ndarray, side_right: np.ndarray) -> np.ndarray:
 
 
 def sketch_links(batches):
-    """(a, b): nodes of a cell whose sketches agree often enough, each linked to the smallest of its like."""
+    """(a, b): nodes of a cell whose sketches agree often enough, each linked to the smallest of its like.
+
+    In a cell of two tiles the nodes of one tile are not linked again: only the groups that each tile has by itself are, so a
+    large bucket of near copies gives a link for each node and one for each two tiles.
+    """
     deviation = math.sqrt(THRESHOLD * (1 - THRESHOLD) / SIGNATURE)
     enough = (THRESHOLD - MARGIN * deviation) * SIGNATURE
     for table in whole_cells(batches):
@@ -214,14 +238,18 @@ def sketch_links(batches):
             # Compared in parts, so that memory stays small.
             for begin in range(0, len(left), 1 << 15):
                 some = left[begin : begin + (1 << 15)]
-                some = some[meets(side[some], side[some + distance]) & (node[some] != node[some + distance])]
                 alike = some[(sketch[some] == sketch[some + distance]).sum(axis=1) >= enough]
                 lefts.append(alike)
                 rights.append(alike + distance)
         left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lefts, rights))
-        root = roots_of(len(cell), left, right)
-        linked = np.flatnonzero(root != np.arange(len(cell)))
-        yield pa.record_batch([pa.array(node[linked]), pa.array(node[root[linked]])], names=["a", "b"])
+        across = side[left] != side[right]
+        root = roots_of(len(cell), left[~across], right[~across])
+        linked = np.flatnonzero((root != np.arange(len(cell))) & (side == 2))
+        pairs = np.unique(np.sort(np.stack([root[left[across]], root[right[across]]], axis=1), axis=1), axis=0)
+        pairs = pairs[node[pairs[:, 0]] != node[pairs[:, 1]]]
+        first = np.concatenate([root[linked], pairs[:, 0]])
+        second = np.concatenate([linked, pairs[:, 1]])
+        yield pa.record_batch([pa.array(node[second]), pa.array(node[first])], names=["a", "b"])
 
 
 def common_runs(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:

@@ -340,7 +340,8 @@ def classes(documents: DataFrame) -> DataFrame:
 
     described = candidate_groups(nodes).join(nodes.select("node", "rep", "high", "low"), "node")
     texts = documents.select(F.col("doc_id").cast("long").alias("_own"), "text")
-    read = described.join(texts, described["rep"].eqNullSafe(texts["_own"]))
+    # Both sides grow with the corpus, so neither is broadcast at any size.
+    read = described.hint("merge").join(texts, described["rep"].eqNullSafe(texts["_own"]))
     cells = by_cell(tiled(read, "root", "node").select("cell", "side", "node", "high", "low", "text"))
     exact = stored(cells.mapInArrow(exact_links, "node long, n_links long, root long"), "exact")
 

@@ -124,7 +124,7 @@ def leaf_buckets(nodes: DataFrame, runs: int) -> DataFrame:
     rooted = nodes.select("node", F.explode(F.array(*firsts)).alias("t"))
     none = F.lit(None).cast("long")
     rows = rooted.select("node", F.xxhash64(F.lit("run"), "t.run", "t.value").alias("path"), none.alias("parent"), none.alias("parent_size"))
-    leaves, above = [], None
+    leaves, above, deep = [], None, None
 
     def leaf(of: DataFrame, buckets: DataFrame) -> None:
         tiles = F.ceil(F.col("size") / TILE).cast("int")
@@ -147,7 +147,11 @@ def leaf_buckets(nodes: DataFrame, runs: int) -> DataFrame:
         large = sizes.filter(F.col("size") > BUCKET).select("path", "size")
         if last or large.isEmpty():
             break
-        split = rows.select("node", "path").join(large, "path").join(nodes.select("node", "signature"), "node")
+        followed = rows.select("node", "path").join(large, "path")
+        if deep is None:
+            # The nodes of large buckets are few; deeper levels only read their signatures.
+            deep = stored(followed.select("node").distinct().join(nodes.select("node", "signature"), "node"), "deep")
+        split = followed.join(deep, "node")
         at = [F.pmod(F.xxhash64("path", F.lit(b)), F.lit(SIGNATURE)).cast("int") for b in range(BRANCHES)]
         tokens = F.array(*[F.struct(a.alias("at"), F.get("signature", a).alias("value")) for a in at])
         above = rows

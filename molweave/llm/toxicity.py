@@ -41,8 +41,11 @@ SAMPLE_TOXIC = 4000
 SAMPLE_CLEAN = 8000
 MAX_CANDIDATES = 50_000
 MAX_FEATURES = 4096
-MIN_DOCS = 3
+MIN_DOCS = 2
 MIN_CONTEXTS = 4
+# Contexts that a feature of fewer than FEW_DOCS documents needs.
+FEW_DOCS = 3
+MANY_CONTEXTS = 8
 MIN_PRECISION = 0.9
 TIERS = 6
 
@@ -125,7 +128,8 @@ def mine(sample: DataFrame, shares: dict) -> list[tuple[int, int]]:
     weighted = F.col("bad") * weight[1]
     precise = weighted >= MIN_PRECISION * (weighted + F.col("good") * weight[0])
     marked = counts.filter((F.col("bad") >= MIN_DOCS) & precise).orderBy(F.desc("bad"), "feature").limit(MAX_CANDIDATES)
-    keys = np.sort(np.array([r.feature for r in marked.select("feature").collect()], np.int64).view(np.uint64))
+    docs = {r.feature: r.bad for r in marked.select("feature", "bad").collect()}
+    keys = np.sort(np.array(list(docs), np.int64).view(np.uint64))
     if not len(keys):
         return []
     candidates = Lexicon(keys, np.zeros(len(keys), np.int64), 1)
@@ -140,7 +144,8 @@ def mine(sample: DataFrame, shares: dict) -> list[tuple[int, int]]:
         .orderBy(F.desc("count"), "feature")
         .limit(MAX_FEATURES)
     )
-    return [(r["feature"], r["count"]) for r in support.collect()]
+    found = [(r["feature"], r["count"]) for r in support.collect()]
+    return [(f, n) for f, n in found if n >= (MIN_CONTEXTS if docs[f] >= FEW_DOCS else MANY_CONTEXTS)]
 
 
 def make_lexicon(mined: list[tuple[int, int]]) -> Lexicon:
@@ -193,13 +198,25 @@ def inputs_of(hits: np.ndarray) -> np.ndarray:
     return np.concatenate([np.log1p(hits[:, :-1]), total > 0, 100 * total / np.maximum(words, 20), np.ones_like(total)], axis=1)
 
 
-def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, steps: int = 40) -> np.ndarray:
-    """Posterior of the toxic class for each row of votes."""
+def independence(votes: np.ndarray, expected: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weight of each voter: 1 for one that errs by itself, 1 / n for each of n that always err together."""
+    left = ((votes == 1) - expected) * np.sqrt(weight)[:, None]
+    scale = np.sqrt((left**2).sum(axis=0)) + 1e-9
+    correlation = (left.T @ left) / scale[:, None] / scale[None, :]
+    np.fill_diagonal(correlation, 0)
+    return 1 / (1 + np.clip(correlation - 0.05, 0, None).sum(axis=1))
+
+
+def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, steps: int = 40, rounds: int = 3) -> np.ndarray:
+    """Posterior of the toxic class for each row of votes.
+
+    The first round weighs voters by how they go together at all, the later ones by what goes together within a class.
+    """
     kinds = np.stack([votes == -1, votes == 0, votes == 1], axis=2).astype(float)
-    against, for_it = (votes == 0).sum(axis=1), (votes == 1).sum(axis=1)
+    strength = independence(votes, np.average(votes == 1, axis=0, weights=weight)[None, :], weight)
+    for_it, against = (kinds[:, :, 2] * strength).sum(axis=1), (kinds[:, :, 1] * strength).sum(axis=1)
     posterior = (for_it + 2 * prior) / (for_it + against + 2)
-    strength = np.ones(votes.shape[1])
-    for round_ in range(2):
+    for _ in range(rounds):
         for _ in range(steps):
             rates = []
             for share in (1 - posterior, posterior):
@@ -208,13 +225,8 @@ def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, steps: int
             logs = np.log(rates[1]) - np.log(rates[0])
             odds = np.log(prior) - np.log1p(-prior) + ((kinds * logs).sum(axis=2) * strength).sum(axis=1)
             posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if round_ == 0:
-            expected = (1 - posterior)[:, None] * rates[0][:, 2] + posterior[:, None] * rates[1][:, 2]
-            left = ((votes == 1) - expected) * np.sqrt(weight)[:, None]
-            scale = np.sqrt((left**2).sum(axis=0)) + 1e-9
-            correlation = (left.T @ left) / scale[:, None] / scale[None, :]
-            np.fill_diagonal(correlation, 0)
-            strength = 1 / (1 + np.clip(correlation - 0.05, 0, None).sum(axis=1))
+        expected = (1 - posterior)[:, None] * rates[0][:, 2] + posterior[:, None] * rates[1][:, 2]
+        strength = independence(votes, expected, weight)
     return posterior
 
 
@@ -262,7 +274,8 @@ def fit(documents: DataFrame, labels: DataFrame, seed: str = "toxicity") -> Mode
 
     rows = sample.mapInArrow(gather, "toxic long, hits array<double>").collect()
     if not rows:
-        hits, known_toxic = np.zeros((1, lexicon.voters + 2)), np.zeros(1, int)
+        # Without a sample, texts without hits stand in for it.
+        hits, known_toxic = np.zeros((200, lexicon.voters + 2)), np.zeros(200, int)
     else:
         hits, known_toxic = np.array([r.hits for r in rows]), np.array([r.toxic for r in rows])
     # One made-up row with one insult keeps the fit sound where no sampled document has any.

@@ -24,7 +24,7 @@ def edge_documents(spark):
         (10, "another text of the same id", "en", "c"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    return df.selectExpr("*", CLASHES)
+    return df.selectExpr("*", *CLASHES.split(", "))
 
 
 @pytest.fixture(scope="session")

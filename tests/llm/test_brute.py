@@ -264,7 +264,9 @@ def test_main_text_of_markup(page, text):
     assert pages.Reader().read(page) == text
 
 
-def test_site_templates_are_removed(spark):
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_site_templates_are_removed(spark, monkeypatch, limit):
+    monkeypatch.setattr(pages, "BROADCAST_TEMPLATES", limit)
     promo = "<div><p>Read our <i>other</i> stories</p></div>"
     rows = [(i, f"https://site/{i}", f"<article><h1>t{i}</h1><p>story {i}</p>{promo}</article>") for i in range(20)]
     rows += [(100 + i, f"https://copies/{i}", "<article><p>the same article</p></article>") for i in range(20)]

@@ -31,6 +31,9 @@ from molweave.sources.scratch import stored
 
 TEMPLATE_SHARE = 0.5
 TEMPLATE_LEAST = 5
+# Template subtrees that may be broadcast, of 8 bytes each and their hosts' names; parts of a host's pages beyond that.
+BROADCAST_TEMPLATES = 500_000
+SALTS = 64
 
 # Elements of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -241,7 +244,7 @@ def subtree_rows(batches):
 
 
 def site_templates(pages: DataFrame) -> DataFrame:
-    """(host, removed): the subtrees that recur on many contents of a host."""
+    """(host, subtree): the subtrees that recur on many contents of a host."""
     read = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(subtree_rows, "host string, content long, subtrees array<long>")
     # One row per host, content and subtree; a subtree of null stands for the content itself.
     marked = read.select("host", "content", F.explode(F.concat(F.array(F.lit(None).cast("long")), "subtrees")).alias("subtree")).distinct()
@@ -250,7 +253,23 @@ def site_templates(pages: DataFrame) -> DataFrame:
     contents = counts.filter("subtree IS NULL").select(F.col("host").alias("_host"), F.col("n").alias("all"))
     found = counts.filter("subtree IS NOT NULL")
     frequent = found.join(contents, found["host"] == contents["_host"]).filter(F.col("n") >= TEMPLATE_SHARE * F.col("all"))
-    return frequent.groupBy("host").agg(F.collect_list("subtree").alias("removed"))
+    return stored(frequent.select("host", "subtree"), "templates")
+
+
+def with_templates(rows: DataFrame, templates: DataFrame) -> DataFrame:
+    """Rows with ``removed``, the template of their host or null.
+
+    Templates of up to BROADCAST_TEMPLATES subtrees go to the pages. More are joined with them, and each host's pages are cut into
+    SALTS parts, since one host may hold a large share of all pages.
+    """
+    listed = templates.groupBy(F.col("host").alias("_host")).agg(F.collect_list("subtree").alias("removed"))
+    if templates.count() <= BROADCAST_TEMPLATES:
+        return rows.join(F.broadcast(listed), rows["host"] == listed["_host"], "left").drop("_host")
+    part = F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int")
+    cut = rows.withColumn("_part", part)
+    dealt = listed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = (cut["host"] == dealt["_host"]) & (cut["_part"] == dealt["_other"])
+    return cut.join(dealt, same, "left").drop("_host", "_part", "_other")
 
 
 def read_pages(batches):
@@ -266,7 +285,6 @@ def read_pages(batches):
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    templates = site_templates(pages).select(F.col("host").alias("_host"), "removed")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    joined = rows.join(templates, rows["host"] == templates["_host"], "left").select("page_id", "url", "html", "removed")
+    joined = with_templates(rows, site_templates(pages)).select("page_id", "url", "html", "removed")
     return joined.mapInArrow(read_pages, "page_id long, url string, text string, n_chars long")

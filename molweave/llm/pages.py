@@ -1,9 +1,16 @@
 """Main text of web pages: site templates removed.
 
 Every page is read twice. The first reading hashes each element subtree (its tag and all that is in it) and Spark counts, per
-host, on how many different contents a subtree occurs; copies of a page count once. Subtrees on at least TEMPLATE_SHARE of the
-host's contents, and no fewer than TEMPLATE_LEAST, are the site's template. The second reading deletes them. A host has at most
-1 / TEMPLATE_SHARE times as many such subtrees as its mean page has subtrees, so their list per host is short.
+host, on how many different contents a subtree occurs; copies of a page count once. The second reading deletes the template:
+
+1. subtrees on at least TEMPLATE_SHARE of the host's contents, and no fewer than TEMPLATE_LEAST;
+2. block elements of TEMPLATE_WORDS words and more on at least RECUR_SHARE of the host's contents, and no fewer than RECUR_LEAST.
+   Near copies of an article are different contents too. So only contents bear witness of which no more than half the words stand
+   in subtrees that recur as often; paragraphs that near copies share have none. Shorter texts and inline elements (a table cell,
+   a link) recur in articles by themselves, and paragraphs of article and main elements (PARAGRAPHS) may be passages or license
+   lines that articles share; where they stand they bear no witness, so they fall under the first rule alone.
+
+A host has at most 1 / RECUR_SHARE times as many such subtrees as its mean page has subtrees, so their list per host is bounded.
 
 Elements whose tag, role, class or id says that they are not the article (menus, footers, forms, adverts, comments and the like)
 are left out in both readings. If a page has article elements, or else main elements, only these are read; other pages are
@@ -31,6 +38,9 @@ from molweave.sources.scratch import stored
 
 TEMPLATE_SHARE = 0.5
 TEMPLATE_LEAST = 5
+RECUR_SHARE = 0.001
+RECUR_LEAST = 20
+TEMPLATE_WORDS = 5
 # Template subtrees that may be broadcast, of 8 bytes each and their hosts' names; parts of a host's pages beyond that.
 BROADCAST_TEMPLATES = 500_000
 SALTS = 64
@@ -57,6 +67,7 @@ ENDS = {
     "option": {"option"},
 }
 LISTS = frozenset("ul ol dl table select".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr caption figure figcaption".split())
 KEPT_ALWAYS = frozenset(("html", "body", "main", "article"))
 # Parts of class and id names, and roles, of elements that are not the article.
 NAMES = frozenset(
@@ -103,14 +114,21 @@ class Element:
     start: int
     out: bool
     parts: list = field(default_factory=list)
+    own: int = 0
+    words: int = 0
 
 
 class Reader:
-    """Reads one page. ``removed`` are the hashes of subtrees to delete; ``subtrees`` collects those that are seen."""
+    """Reads one page. ``removed`` are the hashes of subtrees to delete; ``subtrees`` collects those that are seen.
+
+    A subtree has the number of words that are its own, not an inner element's, and if it may be a template by the second rule.
+    ``loose`` are the words that stand in no subtree.
+    """
 
     def __init__(self, removed: frozenset[int] | set[int] = frozenset()):
         self.removed = removed
-        self.subtrees: list[int] = []
+        self.subtrees: dict[int, tuple[int, bool]] = {}
+        self.loose = 0
         self.text: list[str] = []
         self.kept: dict[str, list[tuple[int, int]]] = {"article": [], "main": []}
         self.open: list[Element] = []
@@ -159,8 +177,12 @@ class Reader:
         if not raw and "&" in text:
             text = html.unescape(text)
         self.text.append(text)
-        if self.open and not text.isspace():
-            self.open[-1].parts.append(" ".join(text.split()).encode("utf-8", "replace"))
+        words = text.split()
+        if self.open and words:
+            self.open[-1].parts.append(" ".join(words).encode("utf-8", "replace"))
+            self.open[-1].own += len(words)
+        if not self.open or self.open[-1].tag in KEPT_ALWAYS:
+            self.loose += len(words)
 
     def _start(self, name: str, attributes: str) -> None:
         if name not in INLINE:
@@ -211,10 +233,12 @@ class Reader:
         digest = hashlib.blake2b(element.tag.encode("utf-8", "replace") + b"\0" + b"\0".join(element.parts), digest_size=8).digest()
         value = int.from_bytes(digest, "little", signed=True)
         # A removed subtree still counts in the hash of the one around it, so that both readings give the same hashes.
+        element.words += element.own
         if self.open and element.parts:
             self.open[-1].parts.append(digest)
+            self.open[-1].words += element.words
         if element.tag not in KEPT_ALWAYS and element.parts:
-            self.subtrees.append(value)
+            self.subtrees[value] = (element.own, self._counted(element) or self.subtrees.get(value, (0, False))[1])
             if value in self.removed:
                 del self.text[element.start :]
                 for name, ranges in self.kept.items():
@@ -224,48 +248,97 @@ class Reader:
             inner = [r for r in self.kept[element.tag] if r[0] < element.start]
             self.kept[element.tag] = [*inner, (element.start, len(self.text))]
 
+    def _counted(self, element: Element) -> bool:
+        if element.tag in INLINE or element.words < TEMPLATE_WORDS:
+            return False
+        return element.tag not in PARAGRAPHS or not (self.counts.get("article") or self.counts.get("main"))
+
 
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
+READING = "host string, content long, loose long, subtrees array<long>, own array<long>, block array<boolean>"
+
+
 def subtree_rows(batches):
-    """(host, content, subtrees): the hash of a page's text and those of its subtrees."""
+    """(host, content, loose, subtrees, own, block): the hash of a page's text, its words in no subtree, and its subtrees."""
     for piece in pieces(batches, "html"):
-        contents, lists = [], []
+        contents, loose, lists, own, block = [], [], [], [], []
         for page in piece.column("html").to_pylist():
             reader = Reader()
             text = reader.read(page or "")
             contents.append(int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
-            lists.append(sorted(set(reader.subtrees)))
+            loose.append(reader.loose)
+            seen = sorted(reader.subtrees)
+            lists.append(seen)
+            own.append([reader.subtrees[s][0] for s in seen])
+            block.append([reader.subtrees[s][1] for s in seen])
+        longs = pa.list_(pa.int64())
+        columns = [pa.array(contents, pa.int64()), pa.array(loose, pa.int64()), pa.array(lists, longs), pa.array(own, longs)]
         yield pa.record_batch(
-            [piece.column("host"), pa.array(contents, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["host", "content", "subtrees"]
+            [piece.column("host"), *columns, pa.array(block, pa.list_(pa.bool_()))], names=["host", "content", "loose", "subtrees", "own", "block"]
+        )
+
+
+def removed_sets(batch: pa.RecordBatch):
+    """The set of each row's ``removed``, made once for rows of one host that follow each other."""
+    last, found = None, frozenset()
+    for host, removed in zip(batch.column("host").to_pylist(), batch.column("removed"), strict=True):
+        if host != last:
+            last, found = host, frozenset(removed.as_py() or ())
+        yield found
+
+
+def witness_rows(batches):
+    """(host, content, subtrees): the recurring subtrees of contents of which at least half the words stand in no such subtree."""
+    for batch in batches:
+        hosts, contents, lists = [], [], []
+        columns = [batch.column(c).to_pylist() for c in ("host", "content", "loose", "subtrees", "own", "block")]
+        for host, content, loose, subtrees, own, block, recurring in zip(*columns, removed_sets(batch), strict=True):
+            held = [(s, n, b) for s, n, b in zip(subtrees, own, block, strict=True) if s in recurring]
+            if 2 * sum(n for _, n, _ in held) <= loose + sum(own):
+                hosts.append(host)
+                contents.append(content)
+                lists.append([s for s, _, b in held if b])
+        yield pa.record_batch(
+            [pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["host", "content", "subtrees"]
         )
 
 
 def site_templates(pages: DataFrame) -> DataFrame:
     """(host, subtree): the subtrees that recur on many contents of a host."""
-    read = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(subtree_rows, "host string, content long, subtrees array<long>")
+    # Read twice below, so written once.
+    read = stored(pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(subtree_rows, READING), "readings")
     # One row per host, content and subtree; a subtree of null stands for the content itself.
-    marked = read.select("host", "content", F.explode(F.concat(F.array(F.lit(None).cast("long")), "subtrees")).alias("subtree")).distinct()
+    each = F.explode(F.concat(F.array(F.lit(None).cast("long")), "subtrees")).alias("subtree")
+    marked = read.select("host", "content", each).distinct()
     # Read twice below, so written once; only what recurs is left.
     counts = stored(marked.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= TEMPLATE_LEAST), "subtrees")
     contents = counts.filter("subtree IS NULL").select(F.col("host").alias("_host"), F.col("n").alias("all"))
-    found = counts.filter("subtree IS NOT NULL")
-    frequent = found.join(contents, found["host"] == contents["_host"]).filter(F.col("n") >= TEMPLATE_SHARE * F.col("all"))
-    return stored(frequent.select("host", "subtree"), "templates")
-
-
-def with_templates(rows: DataFrame, templates: DataFrame) -> DataFrame:
+    found = counts.filter("subtree IS NOT NULL").join(contents, F.col("host") == F.col("_host"))
+    needed = F.greatest(F.lit(RECUR_LEAST), RECUR_SHARE * F.col("all"))
+    half = F.col("n") >= TEMPLATE_SHARE * F.col("all")
+    frequent = stored(found.select("host", "subtree", "n", half.alias("half"), needed.alias("needed")).filter("half OR n >= needed"), "recurring")
+    if frequent.filter("NOT half").isEmpty():
+        return frequent.select("host", "subtree")
+    read_with = with_templates(read, frequent.select("host", "subtree"), ["content", "subtrees"])
+    own = read_with.filter("removed IS NOT NULL").mapInArrow(witness_rows, "host string, content long, subtrees array<long>")
+    witnessed = own.select("host", "content", F.explode("subtrees").alias("subtree")).distinct().groupBy("host", "subtree").agg(F.count("*").alias("witnesses"))
+    judged = frequent.join(witnessed, ["host", "subtree"], "left").filter("half OR witnesses >= needed")
+    return stored(judged.select("host", "subtree"), "templates")
+
+
+def with_templates(rows: DataFrame, templates: DataFrame, spread: list[str]) -> DataFrame:
     """Rows with ``removed``, the template of their host or null.
 
     Templates of up to BROADCAST_TEMPLATES subtrees go to the pages. More are joined with them, and each host's pages are cut into
-    SALTS parts, since one host may hold a large share of all pages.
+    SALTS parts by the columns of ``spread``, since one host may hold a large share of all pages.
     """
     listed = templates.groupBy(F.col("host").alias("_host")).agg(F.collect_list("subtree").alias("removed"))
     if templates.count() <= BROADCAST_TEMPLATES:
         return rows.join(F.broadcast(listed), rows["host"] == listed["_host"], "left").drop("_host")
-    part = F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int")
+    part = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
     cut = rows.withColumn("_part", part)
     dealt = listed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     same = (cut["host"] == dealt["_host"]) & (cut["_part"] == dealt["_other"])
@@ -274,9 +347,7 @@ def with_templates(rows: DataFrame, templates: DataFrame) -> DataFrame:
 
 def read_pages(batches):
     for piece in pieces(batches, "html"):
-        texts = []
-        for page, removed in zip(piece.column("html").to_pylist(), piece.column("removed").to_pylist(), strict=True):
-            texts.append(Reader(set(removed or ())).read(page or ""))
+        texts = [Reader(removed).read(page or "") for page, removed in zip(piece.column("html").to_pylist(), removed_sets(piece), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [piece.column("page_id"), piece.column("url"), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))],
             names=["page_id", "url", "text", "n_chars"],
@@ -286,5 +357,5 @@ def read_pages(batches):
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    joined = with_templates(rows, site_templates(pages)).select("page_id", "url", "html", "removed")
+    joined = with_templates(rows, site_templates(pages), ["page_id", "url", "html"]).select("page_id", "url", "html", "host", "removed")
     return joined.mapInArrow(read_pages, "page_id long, url string, text string, n_chars long")

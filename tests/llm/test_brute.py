@@ -278,6 +278,28 @@ def test_site_templates_are_removed(spark, monkeypatch, limit):
     assert all(got[200 + i] == f"story {i} Read our other stories" for i in range(4))
 
 
+@pytest.mark.parametrize("url,limit", [("https://hot/{}", 500_000), ("https://hot/{}", 0), (None, 500_000)])
+def test_recurring_blocks_are_removed_below_half(spark, monkeypatch, url, limit):
+    monkeypatch.setattr(pages, "BROADCAST_TEMPLATES", limit)
+    notice = "<div>Visitors of the harbour section see this notice</div>"
+    shared = "".join(f"<p>paragraph {k} that all near copies of one article have</p>" for k in range(6))
+    line = "<p>This passage may be used under the license of its author</p>"
+
+    def page(i, extra=""):
+        own = " ".join(f"w{i}x{k}" for k in range(12))
+        return (i, url and url.format(i), f"<article><h1>story {i}</h1><p>{own}</p>{extra}</article>")
+
+    rows = [page(i) for i in range(100)] + [page(i, notice) for i in range(100, 130)]
+    rows += [page(i, "<table><tr><td>yes</td></tr></table>") for i in range(130, 160)]
+    rows += [page(i, line) for i in range(160, 190)]
+    rows += [(i, url and url.format(i), f"<div><h1>copy {i}</h1>{shared}</div>") for i in range(200, 240)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.main_text(df).collect()}
+    assert not any("notice" in got[i] for i in range(100, 130)) and all(got[i].endswith("x11") for i in range(130))
+    assert all(got[i].endswith(" yes") for i in range(130, 160)) and all(got[i].endswith(" author") for i in range(160, 190))
+    assert all(got[i].count("paragraph") == 6 for i in range(200, 240))
+
+
 def test_articles_of_the_table(spark):
     import html
 

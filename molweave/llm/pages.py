@@ -13,7 +13,9 @@ host, on how many different contents a subtree occurs; copies of a page count on
 A host has at most 1 / RECUR_SHARE times as many such subtrees as its mean page has subtrees, so their list per host is bounded.
 
 Elements whose tag, role, class or id says that they are not the article (menus, footers, forms, adverts, comments and the like)
-are left out in both readings. If a page has article elements, or else main elements, only these are read; other pages are
+are left out in both readings. Names count by their parts, but names of states ("no-sidebar", "comments-open") don't. Class and id
+don't leave out main, an article outside of others, or what holds main; an element with such a name that holds an article is left
+out only if the page has an article or main elsewhere. If a page has article elements, or else main elements, only these are read; other pages are
 read whole. A block ends at every block element and line break; text of blocks is trimmed and joined by one space.
 
 Null html is empty, with empty text. Pages without a host are one host. Broken markup never fails: what is not a tag is text,
@@ -82,37 +84,61 @@ _TAG = re.compile(
     r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)""",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden)(?=[\s=/]|\Z)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_PARTS = re.compile(r"[\s_-]+")
-
-
-def not_article(tag: str, attributes: str, inside: bool) -> bool:
-    """True for an element that is left out; ``inside`` tells if an article is open."""
+# One attribute with its value; a quoted value is skipped as a whole.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?|"[^"]*"|'[^']*'""")
+_NAMED = re.compile(r"class|id|role|hidden", re.I)
+_PARTS = re.compile(r"[_-]+")
+# First and last parts of names that tell the state of a page or block.
+STATES_FIRST = frozenset("no not non has have with without is".split())
+STATES_LAST = frozenset("open opened closed enabled disabled on off active inactive visible hidden allowed shown loaded ready".split())
+# How an element is left out: by its class or id, or by its tag, role or hidden.
+BY_NAME, BY_KIND = 1, 2
+
+
+def not_article(tag: str, attributes: str, inside: bool) -> int:
+    """BY_NAME or BY_KIND for an element that is left out, else 0; ``inside`` tells if an article is open."""
     if tag in KEPT_ALWAYS:
-        return tag == "article" and bool(attributes) and _named(attributes, inside)
+        if tag != "article" or not attributes:
+            return 0
+        why = _named(attributes, inside)
+        return why if inside or why == BY_KIND else 0
     if tag in LEFT_OUT or (tag == "header" and not inside):
-        return True
-    return bool(attributes) and _named(attributes, inside)
+        return BY_KIND
+    return _named(attributes, inside) if attributes else 0
 
 
-def _named(attributes: str, inside: bool) -> bool:
+def _named(attributes: str, inside: bool) -> int:
+    if not _NAMED.search(attributes):
+        return 0
+    seen: set[str] = set()
+    why = 0
     for found in _ATTRIBUTE.finditer(attributes):
-        name = found[1].lower()
+        name = (found[1] or "").lower()
+        # Of an attribute that is given twice, the first counts.
+        if name not in ("class", "id", "role", "hidden") or name in seen:
+            continue
+        seen.add(name)
         value = html.unescape(found[2] or found[3] or found[4] or "").lower()
         if name == "hidden" or (name == "role" and value.strip() in ROLES):
-            return True
-        if name in ("class", "id"):
-            parts = set(_PARTS.split(value))
-            if parts & NAMES or ("header" in parts and not inside):
-                return True
-    return False
+            return BY_KIND
+        if name in ("class", "id") and any(_tells(word, inside) for word in value.split()):
+            why = BY_NAME
+    return why
+
+
+def _tells(word: str, inside: bool) -> bool:
+    """True for a class or id of an element that is not the article."""
+    parts = [p for p in _PARTS.split(word) if p]
+    if len(parts) > 1 and (parts[0] in STATES_FIRST or parts[-1] in STATES_LAST):
+        return False
+    return not NAMES.isdisjoint(parts) or ("header" in parts and not inside)
 
 
 @dataclass
 class Element:
     tag: str
     start: int
-    out: bool
+    out: int
     parts: list = field(default_factory=list)
     own: int = 0
     words: int = 0
@@ -125,18 +151,29 @@ class Reader:
     ``loose`` are the words that stand in no subtree.
     """
 
-    def __init__(self, removed: frozenset[int] | set[int] = frozenset()):
+    def __init__(self, removed: frozenset[int] | set[int] = frozenset(), lenient: bool = False):
         self.removed = removed
+        # With ``lenient``, class and id don't leave out what holds an article.
+        self.lenient = lenient
+        self.found = self.held = 0
         self.subtrees: dict[int, tuple[int, bool]] = {}
         self.loose = 0
         self.text: list[str] = []
         self.kept: dict[str, list[tuple[int, int]]] = {"article": [], "main": []}
         self.open: list[Element] = []
-        self.left_out = 0
+        self.left_out = self.by_kind = 0
         self.articles = 0
         self.counts: dict[str, int] = {}
 
     def read(self, page: str) -> str:
+        text = self._read(page)
+        if self.held and not self.found:
+            # All articles stand in elements that are left out by class or id.
+            self.__init__(self.removed, lenient=True)
+            text = self._read(page)
+        return text
+
+    def _read(self, page: str) -> str:
         at, low = 0, None
         for_raw = None
         while True:
@@ -195,9 +232,17 @@ class Reader:
         if name in VOID:
             return
         out = not_article(name, attributes, self.articles > 0)
+        if name in ("article", "main") and not out and not self.by_kind:
+            if self.left_out and (name == "main" or self.lenient) and not self.articles:
+                for element in self.open:
+                    element.out = 0
+                self.left_out = 0
+            self.held += self.left_out > 0
+            self.found += not self.left_out
         self.open.append(Element(name, len(self.text), out))
         self.counts[name] = self.counts.get(name, 0) + 1
-        self.left_out += out
+        self.left_out += out > 0
+        self.by_kind += out == BY_KIND
         self.articles += name == "article"
 
     def _end_open(self, names: set[str], stop: frozenset[str]) -> None:
@@ -226,7 +271,8 @@ class Reader:
     def _close(self) -> None:
         element = self.open.pop()
         self.counts[element.tag] -= 1
-        self.left_out -= element.out
+        self.left_out -= element.out > 0
+        self.by_kind -= element.out == BY_KIND
         self.articles -= element.tag == "article"
         if self.left_out or element.out:
             return

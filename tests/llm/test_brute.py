@@ -258,6 +258,15 @@ def test_blocks_meet_templates(spark):
         ("<div id=sidebar>s</div><div class='post side'>p</div></div></div>q", "p q"),
         ("<p>unclosed <div class=", "unclosed"),
         ("<article>one<article>in</article></article><article>two</article>", "one in two"),
+        ('<div aria-hidden="false">a</div><p data-title="The hidden cost">b<p data-id="share-12">c<p data-role=menu>d', "a b c d"),
+        ("<p title='x' hidden>a</p><p title=\"class='ad'\">b</p><p CLASS = 'ad' class=x>c</p><p class=x class=ad>d", "b d"),
+        ('<div id=content class="no-sidebar">a</div><div class="has_nav x">b</div><div class=sidebar-left>c</div>', "a b"),
+        ('<article class="post comments-open">a</article>b', "a"),
+        ('<article class="post sponsored">a<div class=share>s</div></article>b', "a"),
+        ('<div class="widget"><p>x</p><main>a</main></div>b', "a"),
+        ('<div class="popup page"><p>x</p><article>a</article></div>b', "a"),
+        ('<article>a</article><div id=related><article class=card>t</article></div>', "a"),
+        ('<div hidden><article>a</article></div>b', "b"),
     ],
 )
 def test_main_text_of_markup(page, text):

@@ -1,7 +1,9 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in DataFrame operations only.
 
-A block is a line, or a window of WINDOW words every STRIDE words of a longer line. A block meets a template if it holds at
-least THRESHOLD of the template's distinct words. The join goes by prefix filtering:
+A block is a line, or a window of WINDOW words every STRIDE words of a longer line, or such a window of the whole text across
+its line ends, since notices are often wrapped. A block meets a template if it holds at least THRESHOLD of the template's
+distinct words. Windows of the whole text are made where the text holds that much of a template, while its words are read. The
+join goes by prefix filtering:
 
 1. Order. The words of all templates are counted over the whole corpus and ordered from rare to frequent.
 2. Prefix filter. A block that meets a template of m words, c of them needed, holds one of its m - c + 1 rarest. Only lines in
@@ -73,16 +75,29 @@ def vocabulary_of(templates: list[tuple[str, str]]) -> list[str]:
     return sorted({w for _, t in templates for w in t.split()})
 
 
-def document_rows(documents: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
-    """(doc_id, key, n_words, held, at_0, ...): number of words, template words held, starts of each base phrase.
+def windows_of(words: Column) -> Column:
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - STRIDE - 1), F.lit(STRIDE))
+    return F.transform(starts, lambda s: F.slice(words, s + 1, WINDOW))
+
+
+def document_rows(documents: DataFrame, templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, key, n_words, held, wide, at_0, ...): number of words, template words held by the text and by each of its windows,
+    starts of each base phrase. Texts that meet no template as a whole have no windows.
 
     The key tells texts apart where rows repeat an id. One reading of the texts makes all of it.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     words = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("key"), words_of(folded(text)).alias("words"))
     starts = [phrase_places(F.col("words"), phrase).alias(f"at_{i}") for i, phrase in enumerate(BASE)]
-    held = F.array_intersect(literal_array(vocabulary_of(templates)), "words").alias("held")
-    return words.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), held, *starts)
+    vocabulary = literal_array(vocabulary_of(templates))
+    read = words.withColumn("held", F.array_intersect(vocabulary, "words"))
+    meets, least = F.lit(False), len(vocabulary_of(templates))
+    for tokens in {tuple(sorted(set(t.split()))) for _, t in templates}:
+        c = needed(len(tokens), threshold)
+        meets, least = meets | (F.size(F.array_intersect(literal_array(list(tokens)), "held")) >= c), min(least, c)
+    held = F.transform(windows_of(F.col("words")), lambda w: F.array_intersect(vocabulary, w))
+    wide = F.when(meets, F.filter(held, lambda h: F.size(h) >= least)).otherwise(F.array().cast("array<array<string>>")).alias("wide")
+    return read.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), "held", wide, *starts)
 
 
 def rare_first(rows: DataFrame, templates: list[tuple[str, str]]) -> list[str]:
@@ -106,8 +121,10 @@ def template_index(spark, templates: list[tuple[str, str]], order: list[str], th
     )
 
 
-def meeting_blocks(documents: DataFrame, templates: list[tuple[str, str]], order: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, key, label, containment): every block that meets a template."""
+def meeting_blocks(
+    documents: DataFrame, rows: DataFrame, templates: list[tuple[str, str]], order: list[str], threshold: float = THRESHOLD
+) -> DataFrame:
+    """(doc_id, key, label, containment): every block that meets a template. ``rows`` are those of ``document_rows``."""
     spark = documents.sparkSession
     described, index = template_index(spark, templates, order, threshold)
     sizes = [len(set(t.split())) for _, t in templates]
@@ -124,8 +141,8 @@ def meeting_blocks(documents: DataFrame, templates: list[tuple[str, str]], order
     for word in sorted(prefix):
         some = some | F.contains("line", F.lit(word))
     words = lines.filter(some).select("doc_id", "key", words_of(F.col("line")).alias("words"))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - STRIDE - 1), F.lit(STRIDE))
-    blocks = words.select("doc_id", "key", F.explode(F.transform(starts, lambda s: F.slice("words", s + 1, WINDOW))).alias("block"))
+    blocks = words.select("doc_id", "key", F.explode(windows_of(F.col("words"))).alias("block"))
+    blocks = blocks.union(rows.select("doc_id", "key", F.explode("wide").alias("block")))
     held = blocks.select("doc_id", "key", F.array_intersect(literal_array(order), "block").alias("held")).filter(F.size("held") >= least)
     probes = held.select("*", F.posexplode("held").alias("at", "token"))
     pairs = (
@@ -156,10 +173,10 @@ def phrase_places(words: Column, phrase: str) -> Column:
 
 def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every document."""
-    rows = stored(document_rows(documents, templates), "licenses")
+    rows = stored(document_rows(documents, templates, threshold), "licenses")
     order = rare_first(rows, templates)
     found = (
-        meeting_blocks(documents, templates, order, threshold)
+        meeting_blocks(documents, rows, templates, order, threshold)
         .groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
         .agg(F.collect_set("label").alias("met"), F.max("containment").alias("best"))
     )

@@ -236,6 +236,17 @@ def test_blocks_meet_templates(spark):
     assert (got[4].n_base, got[4].first_word, got[4].last_word, got[4].base_labels, got[4].n_words) == (3, 0, 4, "cc-by,gpl", 7)
 
 
+def test_wrapped_notices_meet_templates(spark):
+    filler = "\n".join(f"w{i} v{i} u{i}" for i in range(40))
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that"
+    mit = " * Permission is hereby granted,\r\n * free of charge, to any person\r\n * obtaining a copy of this software"
+    rows = [(1, bsd), (2, f"{filler}\n{bsd}\n{filler}"), (3, f"{filler}\n{mit}"), (4, f"{bsd}\n{filler}\n{mit}")]
+    rows += [(5, "Redistribution and use in source and binary\n" + filler + "\nforms, with or without modification, are permitted provided that")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(1, 6)] == ["bsd", "bsd", "mit", "bsd,mit", ""]
+    assert [got[i].score for i in range(1, 6)] == [1.0, 1.0, 1.0, 1.0, 0.0]
+
+
 # pages
 
 

@@ -13,8 +13,8 @@ and groups meet through a keyed shuffle. There is no cap on candidates: if many
 collide are verified.
 
 Vectors that are null or zero, or hold null or non-finite components, take no part, neither as queries nor as candidates. All
-vectors have the length of the first valid one; others take no part. Rows that repeat an id are candidates of their own, and a
-query id that repeats is answered once per row's vector, the smallest. With fewer candidates than k all are returned. An empty
+vectors have the length of the first valid one; others take no part. Rows that repeat an id are candidates of their own, dealt
+to blocks one by one; of rows equal in id and vector k are searched, since no more of them can be among the best k. A query id that repeats is answered once per row's vector, the smallest. With fewer candidates than k all are returned. An empty
 table gives an empty result. Extra columns are ignored.
 """
 
@@ -61,7 +61,7 @@ def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The sorted projections of some vectors, fewer than 2**16."""
+    """The sorted projections of some vectors, fewer than 2**32."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: np.ndarray):
         order = np.argsort(ids, kind="stable")
@@ -70,15 +70,17 @@ class Block:
         values = ((self.vectors / lengths) @ directions).astype(np.float32).T
         by_value = np.argsort(values, axis=1)
         self.sorted = np.take_along_axis(values, by_value, axis=1)
-        self.rank = np.empty(values.shape, np.uint16)
-        np.put_along_axis(self.rank, by_value, np.arange(values.shape[1], dtype=np.uint16)[None, :], axis=1)
+        # Ranges of ranks end at the number of vectors.
+        kind = np.uint16 if values.shape[1] < 1 << 16 else np.uint32
+        self.rank = np.empty(values.shape, kind)
+        np.put_along_axis(self.rank, by_value, np.arange(values.shape[1], dtype=kind)[None, :], axis=1)
 
     def collisions(self, projected: np.ndarray, width: float) -> np.ndarray:
         """How many projections put each vector into each query's window."""
         count = np.zeros((len(projected), len(self.ids)), np.uint8)
         for j, ranks in enumerate(self.rank):
-            low = np.searchsorted(self.sorted[j], projected[:, j] - width, "left").astype(np.uint16)
-            high = np.searchsorted(self.sorted[j], projected[:, j] + width, "right").astype(np.uint16)
+            low = np.searchsorted(self.sorted[j], projected[:, j] - width, "left").astype(ranks.dtype)
+            high = np.searchsorted(self.sorted[j], projected[:, j] + width, "right").astype(ranks.dtype)
             count += (ranks[None, :] - low[:, None]) < (high - low)[:, None]
         return count
 
@@ -131,6 +133,13 @@ def search_pairs(width: int, k: int, projections: int, seed: int):
     return run
 
 
+def in_blocks(rows: DataFrame, blocks: int, k: int) -> DataFrame:
+    """(vec_id, v, block): rows dealt by id, vector and number among equal rows, so that no id fills a block; k of equal rows."""
+    equal = rows.groupBy("vec_id", "v").agg(F.count("*").alias("n"))
+    numbered = equal.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)))))
+    return numbered.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v", "copy"), F.lit(blocks)).cast("int").alias("block"))
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", projections: int = PROJECTIONS
 ) -> DataFrame:
@@ -141,9 +150,8 @@ def nearest(
     n_queries = asked.count()
     blocks = max(1, -(-shape.n // BLOCK))
     groups = max(1, -(-n_queries // QUERY_GROUP))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     group = F.pmod(F.xxhash64(F.lit("group"), "vec_id"), F.lit(groups)).cast("int")
-    index = rows.filter(F.size("v") == width).select("vec_id", "v", block.alias("block"))
+    index = in_blocks(rows.filter(F.size("v") == width), blocks, k)
     one_each = asked.filter(F.size("v") == width).groupBy("vec_id").agg(F.min("v").alias("v"))
     searched = one_each.select("vec_id", "v", group.alias("group"))
     dealt_index = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))

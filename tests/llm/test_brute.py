@@ -217,6 +217,25 @@ def test_equal_vectors_tie_to_smaller_ids(spark):
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4] and len({r.score for r in got}) == 1
 
 
+def test_blocks_of_a_repeated_id(spark):
+    rows = spark.range(3000).selectExpr("id % 3 * id AS vec_id", "array(double(id), 1.0D) AS v")
+    equal = spark.range(3000).selectExpr("7L AS vec_id", "array(1.0D, 2.0D) AS v")
+    sizes = [r["count"] for r in collision.in_blocks(rows.union(equal), 60, 5).groupBy("block").count().collect()]
+    assert sum(sizes) == 3005 and max(sizes) < 120
+
+
+def test_ranks_beyond_16_bits():
+    vectors = np.random.default_rng(1).standard_normal((70_000, 3))
+    directions = collision.directions_of(3, 4, seed=5)
+    block = collision.Block(np.arange(70_000), vectors, directions)
+    query = vectors[:2] / np.linalg.norm(vectors[:2], axis=1, keepdims=True)
+    projected, width = (query @ directions).astype(np.float32), 0.9
+    values = ((vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ directions).astype(np.float32)
+    for q, count in enumerate(block.collisions(projected, width)):
+        inside = (values >= projected[q] - width) & (values <= projected[q] + width)
+        assert np.abs(count.astype(int) - inside.sum(axis=1)).sum() <= 4
+
+
 # licenses
 
 

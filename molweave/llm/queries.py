@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molweave.llm import chosen_path, collision, exact, langid, lengths, licenses, mixing, packing, pages, toxicity
+from molweave.llm import audit, chosen_path, collision, exact, langid, lengths, licenses, mixing, packing, pages, toxicity
 from molweave.plans.registry import query
 from molweave.plans.sql import u
 
@@ -150,3 +150,33 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_counts(table(spark, sf_dir, "documents"))
+
+
+_LETTERS = ", ".join(f"('{c}', {1 << i})" for i, c in enumerate(audit.FILTERS))
+AUDIT_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '{audit.WORD}') AS ws FROM documents),
+m AS (SELECT doc_id, part,
+             CAST(len(ws) < {audit.LEAST_WORDS} AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < {audit.DISTINCT_PERCENT} * len(ws) AS INT)
+             + 4 * CAST(100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > {audit.CAPITAL_PERCENT} * length(t) AS INT)
+             + 8 * CAST(regexp_matches(t, '{audit.MARKS}') AS INT)
+             + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS mask FROM d),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x
+      FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f(c, b) AS (VALUES {_LETTERS}),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f a JOIN f b ON b.c <> a.c
+      JOIN f c ON c.c NOT IN (a.c, b.c) JOIN f d ON d.c NOT IN (a.c, b.c, c.c) JOIN f e ON e.c NOT IN (a.c, b.c, c.c, d.c)),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS earlier
+      FROM (SELECT *, unnest(range(1, 6)) AS step FROM o)),
+r AS (SELECT part, filter_order, step, bit, sum(n) FILTER (mask & (earlier | bit) = 0) AS kept,
+             sum(n) FILTER (mask & bit > 0 AND mask & earlier = 0) AS removed, sum(n) FILTER (mask & bit > 0 AND mask & earlier > 0) AS redundant,
+             sum(n) FILTER (mask = bit) AS unique_fails, sum(g) FILTER (mask & bit > 0 AND mask & earlier = 0) AS good_lost,
+             sum(x) FILTER (mask & bit > 0 AND mask & earlier = 0) AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in audit.COUNTS[:-1])},
+       CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley FROM r"""
+
+
+@query("op13_filter_audit", AUDIT_SQL)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

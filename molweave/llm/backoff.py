@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from molweave.llm.words import Words, mix, pieces, text_bytes
 
 # Dirichlet weights: how many tokens the shorter context is worth against a context of one and of two words.
-WEIGHTS = (30.0, 3.0)
+WEIGHTS = (5000.0, 3.0)
 SEGMENT = 1 << 20
 BLOCK_BYTES = 4 << 20
 BUCKET_KEYS = 1 << 19

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molweave.llm import audit, backoff, chosen_path, collision, exact, langid, lengths, licenses, mixing, packing, pages, toxicity
+from molweave.llm import audit, backoff, chosen_path, collision, exact, langid, lengths, licenses, mixing, packing, pages, toxicity, variants
 from molweave.plans.registry import query
 from molweave.plans.sql import u
 
@@ -182,6 +182,11 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_forms(table(spark, sf_dir, "documents"))
+
+
 @query("op12_lm_scoring")
 def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.score_texts(table(spark, sf_dir, "documents"))

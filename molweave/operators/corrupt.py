@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from molweave.functions.hashing import key_hash, position_state, position_state_np, position_uniform, wide_uniform, wide_uniform_np
 from molweave.functions.ids import IGNORE_LABEL, MASK, PAD
+from molweave.sources.scratch import stored
 
 # Fixed value: share of positions masked.
 MASK_PROB = 0.15
@@ -26,6 +27,10 @@ ANY_LEFT = -1
 PIECE = 1 << 18
 # Rows of the proposal table that may be broadcast, of 12 bytes each; larger tables are joined.
 CANDIDATE_LIMIT = 5_000_000
+# Sampling weight of a neighbour's most frequent token, at a temperature.
+WEIGHT_ONE = 1 << 31
+# A count is frequent from this part of all on; at most so many counts of one kind are.
+HOT_PARTS = 10_000
 # Parts that a hot left neighbour is cut into when positions look up its total in a join.
 SALTS = 16
 
@@ -171,7 +176,7 @@ def ngram_candidates(df: DataFrame, ids: str = "ids") -> DataFrame:
 
     ``ids`` are templated, unpadded sequences of the train split. For each left neighbour all its followers, the most frequent
     first, and under ANY_LEFT all tokens; cum counts up to and with this one. Counting combines on the map side, and the ranking
-    sees counted rows only: at most one per vocabulary entry for a neighbour.
+    sees counted rows only.
     """
     # No filter on the length: Spark would move it, and the lookup that made the ids with it, below other steps.
     n = F.greatest(F.size(ids) - 1, F.lit(0))
@@ -182,13 +187,55 @@ def ngram_candidates(df: DataFrame, ids: str = "ids") -> DataFrame:
     )
     counts = pairs.groupBy(F.col("p.prev").alias("prev"), F.col("p.token").alias("token")).agg(F.count(F.lit(1)).alias("n"))
     overall = counts.groupBy("token").agg(F.sum("n").alias("n")).select(F.lit(ANY_LEFT).alias("prev"), "token", "n")
-    order = Window.partitionBy("prev").orderBy(F.col("n").desc(), "token")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.unionByName(overall).select(
-        "prev", F.row_number().over(order).alias("rank"), "token", "n", F.sum("n").over(so_far).alias("cum")
+    return rank_followers(counts.unionByName(overall))
+
+
+def rank_followers(counts: DataFrame, *keep: str) -> DataFrame:
+    """Add rank, cum, most and log_p to (prev, token, n): each neighbour's followers by falling n, then token.
+
+    Rows are range-partitioned in that order, so a neighbour with many followers lies in several parts. A part's totals per
+    neighbour are carried over to the next ones, and ranks and sums are made inside the parts: no task sees more than a part.
+    most is the neighbour's largest n; ``keep`` names further columns that stay.
+    """
+    placed = counts.repartitionByRange("prev", F.col("n").desc(), "token").withColumn("_part", F.spark_partition_id())
+    placed = stored(placed, "followers")
+    pieces = placed.groupBy("prev", "_part").agg(F.sum("n").alias("_size"), F.count(F.lit(1)).alias("_rows"), F.max("n").alias("_most"))
+    whole = Window.partitionBy("prev")
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = pieces.select(
+        "prev",
+        "_part",
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_size", "_rows")],
+        F.sum("_size").over(whole).alias("_total"),
+        F.max("_most").over(whole).alias("most"),
     )
-    total = F.sum("n").over(Window.partitionBy("prev"))
-    return ranked.withColumn("log_p", F.log("n") - F.log(total))
+    inside = Window.partitionBy("prev", "_part").orderBy(F.col("n").desc(), "token")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.join(carried, ["prev", "_part"]).select(
+        "prev",
+        (F.col("_rows_before") + F.row_number().over(inside)).cast("int").alias("rank"),
+        "token",
+        "n",
+        (F.col("_size_before") + F.sum("n").over(so_far)).alias("cum"),
+        "most",
+        *(keep or [(F.log("n") - F.log("_total")).alias("log_p")]),
+    )
+
+
+def tempered(candidates: DataFrame, temperature: float) -> DataFrame:
+    """Proposals whose n and cum are sampling weights at a temperature; log_p stays that of the counts.
+
+    The Gumbel rule takes a token with a probability in proportion to exp(log p / T), which is n ** (1 / T). Weights are whole
+    numbers, WEIGHT_ONE for the neighbour's most frequent token and 1 at least, so their sums are the same in any order. At
+    T = 1 they are the counts.
+    """
+    if not temperature > 0:
+        raise ValueError("a temperature is above 0")
+    if temperature == 1:
+        return candidates
+    share = F.pow(F.col("n") / F.col("most"), F.lit(1.0 / temperature))
+    weight = F.greatest(F.floor(share * WEIGHT_ONE), F.lit(1)).cast("long")
+    return stored(rank_followers(candidates.select("prev", "token", weight.alias("n"), "log_p"), "log_p"), "tempered")
 
 
 class ProposalTable(NamedTuple):
@@ -219,6 +266,47 @@ class ProposalTable(NamedTuple):
         return self.tokens[np.searchsorted(self.ends, self.start[row] + target, "right")]
 
 
+class GeneratorTable(NamedTuple):
+    """Log-probabilities of the stand-in generator: p(token | prev) = (n + p(token)) / (total + 1), p(token) = (n + 1) / (N + K + 1).
+
+    N and K are the tokens and the distinct ones under ANY_LEFT. It sums to one over all tokens and one unknown one.
+    """
+
+    lefts: np.ndarray
+    total: np.ndarray
+    best: np.ndarray
+    pairs: np.ndarray
+    n: np.ndarray
+    size: int
+
+    @staticmethod
+    def of(rows: pa.Table) -> GeneratorTable:
+        prev, rank, token, n = (rows[c].to_numpy() for c in ("prev", "rank", "token", "n"))
+        lefts, place = np.unique(prev, return_inverse=True)
+        total = np.bincount(place, weights=n, minlength=len(lefts)).astype(np.int64)
+        best = np.empty(len(lefts), np.int32)
+        best[place[rank == 1]] = token[rank == 1]
+        pairs = (place.astype(np.int64) << 32) | token
+        order = np.argsort(pairs)
+        return GeneratorTable(lefts, total, best, pairs[order], n[order], int((prev == ANY_LEFT).sum()))
+
+    def _count(self, row: np.ndarray, token: np.ndarray) -> np.ndarray:
+        asked = (row << 32) | token
+        at = np.minimum(np.searchsorted(self.pairs, asked), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == asked, self.n[at], 0)
+
+    def judge(self, neighbour: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(negative log-probability of each token after its neighbour, whether it is the best proposal there)."""
+        token = token.astype(np.int64)
+        anywhere = int(np.searchsorted(self.lefts, ANY_LEFT))
+        row = np.minimum(np.searchsorted(self.lefts, neighbour), len(self.lefts) - 1)
+        seen = self.lefts[row] == neighbour
+        row = np.where(seen, row, anywhere)
+        alone = (self._count(np.full(len(token), anywhere), token) + 1) / (self.total[anywhere] + self.size + 1)
+        after = (self._count(row, token) + alone) / (self.total[row] + 1)
+        return -np.log(np.where(row == anywhere, alone, after)), self.best[row] == token
+
+
 def proposal_table(candidates: DataFrame, limit: int | None = None) -> ProposalTable | None:
     """The written proposals for a broadcast, or None if they have more than ``limit`` rows (CANDIDATE_LIMIT)."""
     limit = CANDIDATE_LIMIT if limit is None else limit
@@ -228,71 +316,107 @@ def proposal_table(candidates: DataFrame, limit: int | None = None) -> ProposalT
     return ProposalTable.of(candidates.select("prev", "rank", "token", "n").toArrow()) if size <= limit else None
 
 
-CORRUPTED = (
-    "struct<masked: array<boolean>, mlm_labels: array<int>, masked_input: array<int>, disc_input: array<int>, disc_labels: array<int>>"
-)
+CORRUPTED = {
+    "masked": "boolean",
+    "mlm_labels": "int",
+    "masked_input": "int",
+    "disc_input": "int",
+    "disc_labels": "int",
+}
+JUDGED = {"nll": "double", "gen_hit": "boolean"}
+_ARROW = {"boolean": pa.bool_(), "int": pa.int32(), "double": pa.float64()}
 
 
-def corrupt_arrays(spark, table: ProposalTable, p: float = MASK_PROB, ignore=(PAD,)):
+def corrupt_arrays(spark, table: ProposalTable, p: float = MASK_PROB, ignore=(PAD,), generator: GeneratorTable | None = None):
     """Arrow function (input_ids, mask_state, sample_state) -> the masked and the replaced sequence with their labels.
 
     A sampled token equal to the original counts as original. The left neighbour is the one the generator would see, so
-    a masked neighbour falls back to the overall proposals.
+    a masked neighbour falls back to the overall proposals. With a ``generator`` also the loss and the hit of each masked
+    position, null elsewhere.
     """
     ignored = sorted({PAD, *ignore})
-    # As a bare tuple: executors need no copy of this package to read it.
-    shipped = spark.sparkContext.broadcast(tuple(table))
-    names = ["masked", "mlm_labels", "masked_input", "disc_input", "disc_labels"]
+    # As bare tuples: executors need no copy of this package to read them.
+    shipped = spark.sparkContext.broadcast((tuple(table), tuple(generator) if generator else None))
+    fields = CORRUPTED | (JUDGED if generator else {})
 
-    @F.arrow_udf(CORRUPTED)
+    @F.arrow_udf(f"struct<{', '.join(f'{name}: array<{kind}>' for name, kind in fields.items())}>")
     def run(ids: pa.Array, mask_hash: pa.Array, sample_hash: pa.Array) -> pa.Array:
         return _by_pieces(piece, ids, mask_hash, sample_hash)
 
     def piece(ids: pa.Array, mask_hash: pa.Array, sample_hash: pa.Array) -> pa.Array:
+        proposals, judged = shipped.value
         flat, sizes = _flat(ids)
         masked = _draw_mask(flat, sizes, mask_hash, p, ignored)
         shown = np.where(masked, MASK, flat).astype(np.int32)
         replaced = flat.astype(np.int32, copy=True)
         at = np.flatnonzero(masked)
+        places = _positions(sizes)[at]
+        neighbour = np.where(places > 0, shown[at - 1], ANY_LEFT) if len(at) else places
         if len(at):
-            places = _positions(sizes)[at]
-            neighbour = np.where(places > 0, shown[at - 1], ANY_LEFT)
             states = position_state_np(np.repeat(sample_hash.to_numpy(zero_copy_only=False), sizes)[at], places)
-            replaced[at] = ProposalTable(*shipped.value).draw(neighbour, wide_uniform_np(states))
+            replaced[at] = ProposalTable(*proposals).draw(neighbour, wide_uniform_np(states))
         values = [masked, np.where(masked, flat, IGNORE_LABEL), shown, replaced, (replaced != flat).astype(np.int32)]
-        kinds = [pa.bool_()] + [pa.int32()] * 4
-        return pa.StructArray.from_arrays([_lists(v, sizes, ids, k) for v, k in zip(values, kinds)], names)
+        if judged:
+            nll, hit = np.zeros(len(flat)), np.zeros(len(flat), bool)
+            nll[at], hit[at] = GeneratorTable(*judged).judge(neighbour, flat[at])
+            values += [pa.array(nll, mask=~masked), pa.array(hit, mask=~masked)]
+        lists = [_lists(v, sizes, ids, _ARROW[kind]) for v, kind in zip(values, fields.values())]
+        return pa.StructArray.from_arrays(lists, list(fields))
 
     return run
 
 
 def corrupt_sequences(
-    df: DataFrame, candidates: DataFrame, key: str, seed, ids: str = "input_ids", p: float = MASK_PROB, ignore=(PAD,)
+    df: DataFrame,
+    candidates: DataFrame,
+    key: str,
+    seed,
+    ids: str = "input_ids",
+    p: float = MASK_PROB,
+    ignore=(PAD,),
+    temperature: float = 1.0,
+    judged: bool = False,
 ) -> DataFrame:
-    """Add masked, mlm_labels, masked_input, disc_input and disc_labels.
+    """Add masked, mlm_labels, masked_input, disc_input and disc_labels; with ``judged`` also nll and gen_hit.
+
+    nll is the negative log-probability that the stand-in generator gives to the token behind each mask, gen_hit whether its best
+    proposal is that token; both are null at other positions. The temperature changes what is sampled, not the loss.
 
     Map-only with proposals that fit in a broadcast; with more (``candidates`` is a written table and its rows are counted), the
     masked positions are joined with them, with the same result.
     """
-    table = proposal_table(candidates)
+    draws = tempered(candidates, temperature)
+    table = proposal_table(draws)
     if table is None:
-        return corrupt_by_join(df, candidates, key, seed, ids, p, ignore)
-    fn = corrupt_arrays(candidates.sparkSession, table, p, ignore)
+        return _corrupt_by_join(df, candidates, draws, key, seed, ids, p, ignore, judged)
+    generator = GeneratorTable.of(candidates.select("prev", "rank", "token", "n").toArrow()) if judged else None
+    fn = corrupt_arrays(candidates.sparkSession, table, p, ignore, generator)
     made = df.withColumn("_c", fn(F.col(ids), mask_state(seed, key), sample_state(seed, key)))
     return made.select(*df.columns, "_c.*")
 
 
 def corrupt_by_join(
-    df: DataFrame, candidates: DataFrame, key: str, seed, ids: str = "input_ids", p: float = MASK_PROB, ignore=(PAD,)
+    df: DataFrame,
+    candidates: DataFrame,
+    key: str,
+    seed,
+    ids: str = "input_ids",
+    p: float = MASK_PROB,
+    ignore=(PAD,),
+    temperature: float = 1.0,
+    judged: bool = False,
 ) -> DataFrame:
-    """``corrupt_sequences`` with proposals of any size; ``key`` is unique.
+    """``corrupt_sequences`` with proposals of any size; ``key`` is unique."""
+    return _corrupt_by_join(df, candidates, tempered(candidates, temperature), key, seed, ids, p, ignore, judged)
+
 
-    A neighbour's counts are cut into as many equal cells as it has followers, and positions meet the followers of one cell. So
+def _corrupt_by_join(df, candidates, draws, key, seed, ids, p, ignore, judged) -> DataFrame:
+    """A neighbour's weights are cut into as many equal cells as it has followers, and positions meet the followers of one cell. So
     a frequent neighbour is split by its own followers, and a position meets a few rows whatever the size of the table.
     """
     spots = df.select(key, sample_state(seed, key).alias("_s"), F.col(ids).alias("_ids"), mask_state(seed, key).alias("_m"))
     fields = mask_arrays(p, ignore)(F.col("_ids"), F.col("_m"))
-    zipped = F.arrays_zip("_f.masked", "_f.masked_input")
+    zipped = F.arrays_zip("_f.masked", "_f.masked_input", F.col("_ids").alias("id"))
     hidden = spots.withColumn("_f", fields).select(
         key, "_s", F.col("_f.masked_input").alias("_shown"), F.posexplode_outer(zipped).alias("pos", "_z")
     )
@@ -300,19 +424,21 @@ def corrupt_by_join(
     asked = hidden.filter("_z.masked").select(
         key,
         pos.alias("_pos"),
+        F.col("_z.id").alias("_label"),
         F.when(pos > 0, F.get("_shown", pos - 1)).otherwise(F.lit(ANY_LEFT)).alias("_prev"),
         wide_uniform(position_state(F.col("_s"), pos)).alias("_u"),
         F.pmod(pos, F.lit(SALTS)).alias("_salt"),
     )
-    proposed = candidates.select(F.col("prev").alias("_prev"), F.col("token").alias("_token"), (F.col("cum") - F.col("n")).alias("_low"), F.col("cum").alias("_cum"))
+    proposed = draws.select(F.col("prev").alias("_prev"), F.col("token").alias("_token"), (F.col("cum") - F.col("n")).alias("_low"), F.col("cum").alias("_cum"))
     totals = proposed.groupBy("_prev").agg(F.max("_cum").alias("_total"), F.count(F.lit(1)).alias("_k"))
     overall = totals.filter(F.col("_prev") == ANY_LEFT).select(F.struct("_total", "_k")).scalar()
-    salted = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     unseen = F.col("_total").isNull()
-    sized = asked.join(salted, ["_prev", "_salt"], "left").select(
+    sized = asked.join(totals.withColumn("_salt", salts), ["_prev", "_salt"], "left").select(
         key,
         "_pos",
         "_u",
+        "_label",
         F.when(unseen, F.lit(ANY_LEFT)).otherwise(F.col("_prev")).alias("_prev"),
         F.when(unseen, overall["_total"]).otherwise(F.col("_total")).alias("_total"),
         F.when(unseen, overall["_k"]).otherwise(F.col("_k")).alias("_k"),
@@ -324,12 +450,56 @@ def corrupt_by_join(
     cells = proposed.join(totals, "_prev").select("_prev", "_token", "_low", "_cum", F.explode(spans).alias("_cell"))
     inside = (F.col("_target") >= F.col("_low")) & (F.col("_target") < F.col("_cum"))
     picked = drawn.join(cells, ["_prev", "_cell"]).filter(inside)
-    found = picked.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_token"))).alias("_found"))
+    values = ["_pos", "_token"]
+    if judged:
+        picked, values = _judged_by_join(picked, candidates), [*values, "_nll", "_hit"]
+    found = picked.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_pos", F.struct(*values)))).alias("_found"))
     masked = mask_sequences(df, key, seed, ids, p, ignore).join(found, key, "left")
-    replaced = F.transform(ids, lambda x, i: F.coalesce(F.try_element_at("_found", i), x).cast("int"))
+    replaced = F.transform(ids, lambda x, i: F.coalesce(F.try_element_at("_found", i)["_token"], x).cast("int"))
     made = masked.withColumn("disc_input", F.when(F.col("_found").isNull(), F.col(ids)).otherwise(replaced))
     changed = F.zip_with("disc_input", ids, lambda a, b: (a != b).cast("int"))
-    return made.withColumn("disc_labels", changed).drop("_found")
+    made = made.withColumn("disc_labels", changed)
+    for name, field in (("nll", "_nll"), ("gen_hit", "_hit")) if judged else ():
+        empty = F.transform(ids, lambda x: F.lit(None).cast(JUDGED[name]))
+        given = F.transform(ids, lambda x, i: F.try_element_at("_found", i)[field])
+        made = made.withColumn(name, F.when(F.col("_found").isNull(), empty).otherwise(given))
+    return made.drop("_found")
+
+
+def _judged_by_join(picked: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Add _nll and _hit by looking up counts of (neighbour, label).
+
+    Pairs that are a ten-thousandth of all or more, of which there are ten thousand at most under each kind of neighbour, are
+    broadcast; what they don't answer is joined, and there no pair is frequent.
+    """
+    anywhere = candidates.filter(F.col("prev") == ANY_LEFT)
+    sums = anywhere.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).select(F.struct("n", "k")).scalar()
+    pairs = candidates.select(F.col("prev").alias("_prev"), F.col("token").alias("_label"), F.col("n").alias("_n"), (F.col("rank") == 1).alias("_best"))
+    alone = anywhere.select(F.col("token").alias("_label"), F.col("n").alias("_n0"))
+    many = sums["n"] / HOT_PARTS
+    totals = candidates.groupBy(F.col("prev").alias("_prev")).agg(F.sum("n").alias("_all"))
+
+    def looked_up(rows: DataFrame, table: DataFrame, on: list[str], size: str) -> DataFrame:
+        values = [c for c in table.columns if c not in on]
+        hot = table.filter(F.col(size) >= many).select(*on, F.struct(*values).alias("_h"), F.lit(True).alias("_known"))
+        rest = table.filter(F.col(size) < many).select(*on, F.struct(*values).alias("_r"))
+        met = rows.join(F.broadcast(hot), on, "left")
+        # A row that was answered looks on under one of many keys that nothing has.
+        nowhere = (F.lit(-2) - F.pmod(F.xxhash64("_pos", "_target"), F.lit(1 << 20))).cast("int")
+        cold = [F.when(F.col("_known").isNull(), F.col(c)).otherwise(nowhere).alias(f"_k{c}") for c in on]
+        same = [F.col(f"_k{c}") == F.col(f"_t{c}") for c in on]
+        spread = met.select("*", *cold)
+        kept = rest.select(*[F.col(c).alias(f"_t{c}") for c in on], "_r")
+        answered = spread.join(kept, same, "left").withColumn("_v", F.coalesce("_h", "_r"))
+        return answered.select(*rows.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
+
+    rows = looked_up(picked, pairs, ["_prev", "_label"], "_n")
+    rows = looked_up(rows, alone, ["_label"], "_n0")
+    rows = looked_up(rows, totals, ["_prev"], "_all")
+    chance = (F.coalesce("_n0", F.lit(0)) + 1) / (sums["n"] + sums["k"] + 1)
+    after = (F.coalesce("_n", F.lit(0)) + chance) / (F.col("_all") + 1)
+    nll = -F.log(F.when(F.col("_prev") == ANY_LEFT, chance).otherwise(after))
+    return rows.withColumn("_nll", nll).withColumn("_hit", F.coalesce("_best", F.lit(False)))
 
 
 def positions_of(df: DataFrame, keys: list[str], arrays: dict[str, str]) -> DataFrame:

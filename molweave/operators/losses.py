@@ -94,6 +94,12 @@ def generator_accuracy(df: DataFrame, logits="logits", label="mlm_label", masked
     return df.groupBy(*by).agg(F.avg(hit).alias("gen_acc"))
 
 
+def generator_losses(positions: DataFrame, nll="nll", hit="hit", by=()) -> DataFrame:
+    """mlm_loss, its perplexity and gen_acc of a corruption run that judged its generator; both inputs are null where nothing is masked."""
+    parts = positions.groupBy(*by).agg(F.avg(nll).alias("mlm_loss"), F.avg(F.col(hit).cast("double")).alias("gen_acc"), F.count(nll).alias("n"))
+    return parts.withColumn("perplexity", F.exp("mlm_loss"))
+
+
 def _disc_accuracy(x: Column, y: Column, masked: Column) -> Column:
     hit = (sign_prediction(x) == y).cast("double")
     return 0.5 * F.avg(F.when(masked, hit)) + 0.5 * F.avg(F.when(~masked, hit))

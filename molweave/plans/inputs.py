@@ -9,7 +9,7 @@ from molweave.functions.hashing import position_uniform, uniform
 from molweave.functions.ids import PAD, add_template
 from molweave.functions.vectors import softmax
 from molweave.operators.corrupt import corrupt_sequences, mask_state, ngram_candidates, sample_state
-from molweave.operators.encoding import encode_text, tokenize
+from molweave.operators.encoding import encode_text, model_inputs, tokenize
 from molweave.operators.vocab import encode, train_vocab
 from molweave.sources.corpus import split_of
 from molweave.sources.scratch import stored
@@ -72,16 +72,33 @@ def inputs(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) ->
     return encode_text(corpus(spark, sf_dir), vocab, key="mol_id")
 
 
-def proposals(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
-    train = encoded(spark, sf_dir, vocab).filter("split = 'train'")
+def proposals(spark: SparkSession, sf_dir: str, vocab: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """The written proposals of the train split."""
+    train = (encoded(spark, sf_dir, vocab) if ids is None else ids).filter("split = 'train'")
     return stored(ngram_candidates(train.select(add_template(F.col("ids")).alias("ids"))), "proposals")
 
 
-def corrupted(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) -> DataFrame:
-    """Model inputs with masked and replaced sequences."""
-    vocab = vocabulary(spark, sf_dir) if vocab is None else vocab
-    rows = inputs(spark, sf_dir, vocab).select("mol_id", "split", "input_ids")
-    return corrupt_sequences(rows, proposals(spark, sf_dir, vocab), "mol_id", SEED)
+def written_ids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, (mol_id, split, ids)), both written; texts are split into tokens once for the two."""
+    tokens = stored(tokenized(spark, sf_dir), "tokens")
+    vocab = stored(train_vocab(tokens.filter("split = 'train'")), "vocab")
+    return vocab, stored(encode(tokens, vocab, key="mol_id").drop("tokens"), "ids")
+
+
+def corrupted(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """(mol_id, split, input_ids) with masked and replaced sequences."""
+    return corrupted_with_vocabulary(spark, sf_dir, **options)[0]
+
+
+def corrupted_with_vocabulary(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, DataFrame]:
+    vocab, ids = written_ids(spark, sf_dir)
+    rows = model_inputs(ids).select("mol_id", "split", "input_ids")
+    return corrupt_sequences(rows, proposals(spark, sf_dir, vocab, ids), "mol_id", SEED, **options), vocab
+
+
+def stand_in_logit(token: Column, pos: Column) -> Column:
+    """A discriminator stand-in: a logit between -2.5 and 2.5 that depends on the token shown and its place."""
+    return ((token * 7 + pos * 3) % 11 - 5) / F.lit(2.0)
 
 
 def class_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from molweave.functions.hashing import MASK32, MIX_MULTIPLIER, STEP_MULTIPLIER
 from molweave.functions.ids import IGNORE_LABEL, MASK, MAX_LENGTH, PAD, SPECIAL_TOKENS
 from molweave.functions.symbols import SYMBOL_PATTERN
-from molweave.operators.corrupt import MASK_PROB
+from molweave.operators.corrupt import MASK_PROB, WEIGHT_ONE
 from molweave.plans.inputs import BATCH_SIZE, METRIC_OF_EVENT, SEED, VECTOR_WIDTH
 from molweave.sources.corpus import SPLIT_SEED
 
@@ -92,32 +92,59 @@ masked AS (SELECT mol_id, pos, token_id, ss, masked,
                   CASE WHEN masked THEN token_id ELSE {IGNORE_LABEL} END AS mlm_label,
                   CASE WHEN masked THEN {MASK} ELSE token_id END AS masked_id FROM positions)"""
 
-NGRAMS = f"""gram_long AS (SELECT mol_id, unnest([1] || ids || [2]) AS token,
+GRAM_COUNTS = """gram_long AS (SELECT mol_id, unnest([1] || ids || [2]) AS token,
                      generate_subscripts([1] || ids || [2], 1) AS pos FROM ids WHERE split = 'train'),
 gram_pairs AS (SELECT lag(token) OVER (PARTITION BY mol_id ORDER BY pos) AS prev, token FROM gram_long),
 gram_counts AS (SELECT prev, token, count(*) AS n FROM gram_pairs WHERE prev IS NOT NULL GROUP BY prev, token),
-gram_all AS (SELECT prev, token, n FROM gram_counts
-             UNION ALL SELECT -1, token, CAST(sum(n) AS BIGINT) FROM gram_counts GROUP BY token),
-cands AS (SELECT prev, CAST(row_number() OVER w AS INTEGER) AS rank, token, n, CAST(sum(n) OVER w AS BIGINT) AS cum,
-                 CAST(sum(n) OVER (PARTITION BY prev) AS BIGINT) AS total, ln(n) - ln(sum(n) OVER (PARTITION BY prev)) AS log_p
+gram_all AS MATERIALIZED (SELECT prev, token, n FROM gram_counts
+             UNION ALL SELECT -1, token, CAST(sum(n) AS BIGINT) FROM gram_counts GROUP BY token)"""
+
+NGRAMS = f"""{GRAM_COUNTS},
+cands AS (SELECT prev, CAST(row_number() OVER w AS INTEGER) AS rank, token, n,
+                 ln(n) - ln(sum(n) OVER (PARTITION BY prev)) AS log_p
           FROM gram_all WINDOW w AS (PARTITION BY prev ORDER BY n DESC, token))"""
 
-REPLACED = f"""{POSITIONS},
-{NGRAMS},
+
+def replaced(temperature: float = 1.0) -> str:
+    """CTEs of the replaced sequences: each draw meets the last follower whose weights before it the draw reaches."""
+    share = f"pow(n / CAST(max(n) OVER (PARTITION BY prev) AS DOUBLE), CAST({1 / temperature} AS DOUBLE))"
+    weight = "n" if temperature == 1 else f"greatest(CAST(floor({share} * {WEIGHT_ONE}) AS BIGINT), 1)"
+    return f"""{POSITIONS},
+{GRAM_COUNTS},
+weighed AS (SELECT prev, token, {weight} AS w FROM gram_all),
+spans AS MATERIALIZED (SELECT prev, token, CAST(sum(w) OVER (PARTITION BY prev ORDER BY w DESC, token) - w AS BIGINT) AS low,
+                 CAST(sum(w) OVER (PARTITION BY prev) AS BIGINT) AS total FROM weighed),
+totals AS MATERIALIZED (SELECT DISTINCT prev, total FROM spans),
 seen AS (SELECT mol_id, pos, ss, masked, lag(masked_id) OVER (PARTITION BY mol_id ORDER BY pos) AS prev FROM masked),
-asked AS (SELECT mol_id, pos, ss, CASE WHEN prev IN (SELECT c.prev FROM cands c) THEN prev ELSE -1 END AS prev
+asked AS MATERIALIZED (SELECT mol_id, pos, ss, CASE WHEN prev IN (SELECT c.prev FROM totals c) THEN prev ELSE -1 END AS prev
           FROM seen WHERE masked),
 {mixed('asked_mix', 'asked', 'ss', 'pos', 'ps')},
 {mixed('high_mix', 'asked_mix', 'ps', '0', 'hi')},
 {mixed('low_mix', 'high_mix', 'ps', '1', 'lo')},
 drawn AS (SELECT mol_id, pos, prev, ((hi << 20) + (lo >> 12)) / CAST({1 << 52} AS DOUBLE) AS u FROM low_mix),
-picked AS (SELECT d.mol_id, d.pos, c.token FROM drawn d JOIN cands c ON d.prev = c.prev
-             AND floor(d.u * c.total) >= c.cum - c.n AND floor(d.u * c.total) < c.cum),
-replaced AS (SELECT m.mol_id, m.pos, m.token_id, m.masked, m.mlm_label, m.masked_id,
+aimed AS MATERIALIZED (SELECT mol_id, pos, prev, CAST(floor(u * total) AS BIGINT) AS target FROM drawn JOIN totals USING (prev)),
+picked AS (SELECT a.mol_id, a.pos, s.token FROM aimed a ASOF JOIN spans s ON a.prev = s.prev AND a.target >= s.low),
+replaced AS MATERIALIZED (SELECT m.mol_id, m.pos, m.token_id, m.masked, m.mlm_label, m.masked_id,
                     coalesce(p.token, m.token_id) AS disc_id,
                     CAST(coalesce(p.token, m.token_id) <> m.token_id AS INTEGER) AS disc_label
              FROM masked m LEFT JOIN picked p USING (mol_id, pos))"""
 
+
+REPLACED = replaced()
+
+# Loss and hit of each masked position under the smoothed counts; to go after REPLACED.
+GENERATOR = """sized AS (SELECT prev, CAST(sum(n) AS BIGINT) AS total, arg_min(token, (-n, token)) AS best FROM gram_all GROUP BY prev),
+whole AS (SELECT sum(n) AS n, count(*) AS k FROM gram_all WHERE prev = -1),
+judged AS (SELECT a.mol_id, a.pos, m.token_id = z.best AS hit,
+    -ln(CASE WHEN a.prev = -1 THEN (coalesce(o.n, 0) + 1) / CAST(w.n + w.k + 1 AS DOUBLE)
+        ELSE (coalesce(g.n, 0) + (coalesce(o.n, 0) + 1) / CAST(w.n + w.k + 1 AS DOUBLE)) / CAST(z.total + 1 AS DOUBLE) END) AS nll
+  FROM asked a JOIN masked m USING (mol_id, pos) JOIN sized z ON z.prev = a.prev CROSS JOIN whole w
+  LEFT JOIN gram_all g ON g.prev = a.prev AND g.token = m.token_id LEFT JOIN gram_all o ON o.prev = -1 AND o.token = m.token_id)"""
+
+# The discriminator stand-in of inputs.stand_in_logit.
+DISC_LOGIT = "((r.disc_id * 7 + r.pos * 3) % 11 - 5) / 2.0"
+
+
 def strided(outputs: int, order: int = 1) -> str:
     """Sums of every ``outputs``-th element, as an array."""
     cells = [" + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(k, VECTOR_WIDTH, outputs)) for k in range(outputs)]

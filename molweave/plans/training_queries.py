@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from molweave.functions.ids import CLS, PAD, SEP
 from molweave.operators import corrupt as K
-from molweave.operators import ordering, review, runs
+from molweave.operators import losses, ordering, review, runs
 from molweave.plans import inputs as T
 from molweave.plans import sql as S
 from molweave.plans.corpus_queries import shown
 from molweave.plans.registry import query
 
 PATIENCE = 3
+# Below 1, likely tokens are sampled more often than they are counted.
+TEMPERATURE = 0.5
 
 
 def _per_sequence(column: str, out: str, source: str = "masked") -> str:
@@ -81,7 +83,7 @@ def gumbel_sample(spark, sf):
 
 @query("ngram_generator", f"WITH {S.IDS}, {S.NGRAMS} SELECT prev, rank, token, round(log_p, 6) AS log_p FROM cands")
 def ngram_generator(spark, sf):
-    rows = T.proposals(spark, sf, T.vocabulary(spark, sf))
+    rows = T.proposals(spark, sf, *T.written_ids(spark, sf))
     return rows.select("prev", "rank", "token", F.round("log_p", 6).alias("log_p"))
 
 
@@ -94,6 +96,52 @@ def replace_tokens(spark, sf):
     return T.corrupted(spark, sf).select("mol_id", *[shown(F.col(c)).alias(c) for c in ("disc_input", "disc_labels")])
 
 
+@query(
+    "replace_tokens_tempered",
+    f"""WITH {S.replaced(TEMPERATURE)} SELECT mol_id, string_agg(disc_id, ' ' ORDER BY pos) AS disc_input,
+    string_agg(disc_label, ' ' ORDER BY pos) AS disc_labels FROM replaced GROUP BY mol_id""",
+)
+def replace_tokens_tempered(spark, sf):
+    """Replacements drawn at half the temperature, where likely tokens are likelier still."""
+    rows = T.corrupted(spark, sf, temperature=TEMPERATURE)
+    return rows.select("mol_id", *[shown(F.col(c)).alias(c) for c in ("disc_input", "disc_labels")])
+
+
+_JUDGED = f"""{S.REPLACED}, {S.GENERATOR}, batched AS (SELECT j.*, mol_id // {T.BATCH_SIZE} AS batch_id,
+  split FROM judged j JOIN inputs USING (mol_id))"""
+
+
+@query(
+    "generator_losses",
+    f"""WITH {_JUDGED} SELECT batch_id, split, round(avg(nll), 6) AS mlm_loss, avg(CAST(hit AS DOUBLE)) AS gen_acc,
+    round(exp(avg(nll)), 4) AS perplexity, count(nll) AS n FROM batched GROUP BY batch_id, split""",
+)
+def generator_losses(spark, sf):
+    """Loss and accuracy of the generator that made the replacements, per batch and split."""
+    rows = T.corrupted(spark, sf, judged=True).withColumn("batch_id", F.floor(F.col("mol_id") / T.BATCH_SIZE))
+    long = K.positions_of(rows, ["batch_id", "split"], {"nll": "nll", "gen_hit": "hit"})
+    return losses.generator_losses(long, by=("batch_id", "split")).select(
+        "batch_id", "split", F.round("mlm_loss", 6).alias("mlm_loss"), "gen_acc", F.round("perplexity", 4).alias("perplexity"), "n"
+    )
+
+
+@query(
+    "pretraining_step",
+    f"""WITH {_JUDGED}, f AS (SELECT r.*, r.mol_id // {T.BATCH_SIZE} AS bid, nll, hit, {S.DISC_LOGIT} AS x FROM replaced r LEFT JOIN judged j ON j.mol_id = r.mol_id AND j.pos = r.pos),
+    l AS (SELECT f.*, {S.bce('x', 'disc_label')} AS bce, CAST((x > 0) = (disc_label = 1) AS DOUBLE) AS correct FROM f)
+    SELECT bid AS batch_id, round(avg(nll), 6) AS mlm_loss, round(avg(bce) FILTER (token_id <> {PAD}), 6) AS disc_loss,
+      round(0.5 * avg(correct) FILTER (masked) + 0.5 * avg(correct) FILTER (NOT masked), 6) AS disc_acc, avg(CAST(hit AS DOUBLE)) AS gen_acc,
+      round(avg(nll) + 50 * avg(bce) FILTER (token_id <> {PAD}), 4) AS loss FROM l GROUP BY bid""",
+)
+def pretraining_step(spark, sf):
+    """All losses and accuracies of a replaced-token step per batch, with the generator that made the replacements."""
+    rows = T.corrupted(spark, sf, judged=True).withColumn("batch_id", F.floor(F.col("mol_id") / T.BATCH_SIZE))
+    long = K.positions_of(rows, ["batch_id"], _RTD | {"nll": "nll", "gen_hit": "hit"})
+    scored = long.withColumn("disc_logit", T.stand_in_logit(F.col("disc_id"), F.col("pos")))
+    out = losses.rtd_losses(scored, hit="hit", y="disc_label")
+    return out.select("batch_id", *[F.round(c, 6).alias(c) for c in ("mlm_loss", "disc_loss", "disc_acc")], "gen_acc", F.round("loss", 4).alias("loss"))
+
+
 _RTD = {
     "input_ids": "token_id",
     "masked": "masked",
@@ -183,8 +231,7 @@ kept AS (SELECT r.* FROM replaced r JOIN cuts USING (mol_id) WHERE pos < coalesc
     f"WITH {_CUT} SELECT mol_id, CAST(pos AS INTEGER) AS pos, v.token, disc_id <> token_id AS changed FROM kept JOIN vocab v ON v.id = disc_id",
 )
 def token_diff(spark, sf):
-    vocab = T.vocabulary(spark, sf)
-    return review.token_diff(T.corrupted(spark, sf, vocab), vocab, "mol_id")
+    return review.token_diff(*T.corrupted_with_vocabulary(spark, sf), "mol_id")
 
 
 # The discriminator is stood in for by its own input: a position counts as predicted when the mask hid it.
@@ -229,8 +276,8 @@ def sample_for_review(spark, sf):
 )
 def review_diff(spark, sf):
     """The sampled examples position by position: the token shown, whether it differs, and the verdict on it."""
-    vocab = T.vocabulary(spark, sf)
-    rows = ordering.first_batches(T.corrupted(spark, sf, vocab), "mol_id", T.SEED, T.BATCH_SIZE, review.REVIEW_BATCHES)
+    made, vocab = T.corrupted_with_vocabulary(spark, sf)
+    rows = ordering.first_batches(made, "mol_id", T.SEED, T.BATCH_SIZE, review.REVIEW_BATCHES)
     picked = review.sample_for_review(rows, "mol_id", T.SEED).withColumn("disc_predictions", F.col("masked").cast("array<int>"))
     verdicts = review.replacement_report(picked, "mol_id").drop("id")
     return review.token_diff(picked, vocab, "mol_id").join(verdicts, ["mol_id", "pos"])

@@ -17,7 +17,8 @@ How the corpus meets the model, with nothing held whole anywhere:
 So counts cover every training document, and what is shuffled is the texts once and a few bytes per distinct n-gram of a block.
 Blocks and buckets grow with the square root of the corpus, so their cells stay worth a row each.
 
-Tokens are named by 64-bit hashes: with a billion distinct ones the odds that any two share a hash are 3 %.
+Tokens are named by 61-bit hashes: with ten million distinct ones the odds that any two share a hash are 1 in 50,000. Pairs and
+triples are named by the bits that the corpus needs, 48 at least: a lookup meets a wrong count once in two million times.
 
 A null text is empty: one token, the end. A document without an id is scored and learned from; it isn't held out. Texts above
 SEGMENT bytes are cut at white space and carry the two words before the cut, so long texts spread over blocks. Repeated rows are
@@ -41,10 +42,13 @@ from molweave.llm.words import Words, mix, pieces, text_bytes
 WEIGHTS = (5000.0, 3.0)
 SEGMENT = 1 << 20
 BLOCK_BYTES = 4 << 20
+# Bytes of text that a batch deals out together.
+DEAL_BYTES = 16 << 20
 BUCKET_KEYS = 1 << 19
 # Bytes of corpus per byte squared of a block, once that is above BLOCK_BYTES.
 ROOT = 64
 LANE = 512
+SURE_BITS = 21
 SPACES = re.compile(rb"[\x20\x09-\x0D]")
 BEGIN, END = (mix(np.array([k], np.uint64))[0] for k in (0xB0E1, 0xE0D2))
 SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -126,7 +130,7 @@ def training_sizes(documents: DataFrame) -> dict[str, int]:
     bits = max(8, int(np.ceil(np.log2(4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
 
     def distinct(batches):
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", DEAL_BYTES):
             texts = piece.column("text")
             learned = piece.filter(piece.column("train")).column("text")
             tokens = Tokens(learned)
@@ -172,22 +176,43 @@ def cut(text: bytes, limit: int) -> Iterator[tuple[bytes, bool, bool, int]]:
         at = found.start()
 
 
+PART = pa.schema(
+    [("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("begins", pa.bool_()), ("ends", pa.bool_()), ("lead", pa.int32()), ("text", pa.string())]
+)
+
+
 def segments(documents: DataFrame, blocks: int, limit: int = SEGMENT) -> DataFrame:
-    """(block, uid, doc_id, held_out, begins, ends, lead, text): texts, the long ones in parts, dealt to blocks by a hash."""
-    schema = "uid long, doc_id long, held_out boolean, begins boolean, ends boolean, lead int, text string"
-    names = ["uid", "doc_id", "held_out", "begins", "ends", "lead", "text"]
+    """(block, rows): texts, the long ones in parts, dealt to blocks by a hash.
+
+    ``rows`` holds what a batch has for a block, as a compressed Arrow stream of the columns PART.
+    """
+    names = PART.names
+
+    def parts_of(piece: pa.RecordBatch) -> pa.Table:
+        short = np.diff(text_bytes(piece.column("text"))[1]) <= limit
+        kept = piece.filter(pa.array(short))
+        n = kept.num_rows
+        whole = [kept.column(c) for c in names[:3]] + [pa.array([True] * n), pa.array([True] * n), pa.array([0] * n, pa.int32()), kept.column("text")]
+        rows = []
+        for row in piece.filter(pa.array(~short)).to_pylist():
+            for part, begins, ends, lead in cut(row.pop("text").encode(), limit):
+                rows.append(row | {"begins": begins, "ends": ends, "lead": lead, "text": part.decode()})
+        return pa.concat_tables([pa.table(whole, schema=PART), pa.Table.from_pylist(rows, PART)])
 
     def run(batches):
-        for piece in pieces(batches, "text"):
-            short = np.diff(text_bytes(piece.column("text"))[1]) <= limit
-            n = int(short.sum())
-            kept = piece.filter(pa.array(short))
-            plain = [*[kept.column(c) for c in names[:3]], pa.array([True] * n), pa.array([True] * n), pa.array([0] * n, pa.int32()), kept.column("text")]
-            yield pa.record_batch(plain, names=names)
-            for row in piece.filter(pa.array(~short)).to_pylist():
-                for part, begins, ends, lead in cut(row["text"].encode(), limit):
-                    values = [row["uid"], row["doc_id"], row["held_out"], begins, ends, lead, part.decode()]
-                    yield pa.record_batch([pa.array([v], c.type) for v, c in zip(values, plain)], names=names)
+        for piece in pieces(batches, "text", DEAL_BYTES):
+            parts = parts_of(piece)
+            number = np.arange(parts.num_rows, dtype=np.uint64)
+            block = (mix(parts.column("uid").to_numpy().astype(np.uint64) * SALT + mix(number)) % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            parts, block = parts.take(pa.array(order)).combine_chunks(), block[order]
+            starts = np.flatnonzero(np.diff(block, prepend=-1))
+            for low, high in zip(starts, np.append(starts[1:], len(block))):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, PART, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_table(parts.slice(low, high - low))
+                packed = pa.array([out.getvalue().to_pybytes()], pa.binary())
+                yield pa.record_batch([pa.array([block[low]], pa.int64()), packed], names=["block", "rows"])
 
     rows = documents.select(
         F.monotonically_increasing_id().alias("uid"),
@@ -195,14 +220,33 @@ def segments(documents: DataFrame, blocks: int, limit: int = SEGMENT) -> DataFra
         held_out().alias("held_out"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    made = rows.mapInArrow(run, schema)
-    return made.select(F.pmod(F.xxhash64("uid", F.crc32("text")), F.lit(blocks)).cast("long").alias("block"), *names)
+    return rows.mapInArrow(run, "block long, rows binary")
+
+
+def read_parts(packed: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(rows.as_buffer()).read_all() for rows in packed.column("rows")])
+
+
+def word_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of single tokens: the lowest eighth of all numbers."""
+    return hashes >> np.uint64(3)
+
+
+def gram_keys(hashes: np.ndarray, unused_bits: int) -> np.ndarray:
+    """Keys of pairs and triples, which take the other seven eighths; their lowest bits are 0."""
+    spread = (hashes >> np.uint64(3)) * np.uint64(7) + np.uint64(1 << 61)
+    return (spread >> np.uint64(unused_bits)) << np.uint64(unused_bits)
+
+
+def unused_bits(n_bytes: int) -> int:
+    """Bits that pairs and triples can go without: one of 2**SURE_BITS lookups may then meet another's count."""
+    return 64 - max(48, SURE_BITS + int(np.ceil(np.log2(n_bytes + 1))))
 
 
 class Lines:
     """Tokens of the texts of a block in a row, and the keys of the words, pairs and triples that end at each of them."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, rows: pa.Table, unused_bits: int = 0):
         begins, ends, held = (rows.column(c).to_numpy() for c in ("begins", "ends", "held_out"))
         lead = rows.column("lead").to_numpy()
         tokens = Tokens(rows.column("text").combine_chunks())
@@ -230,7 +274,7 @@ class Lines:
         opens = np.zeros(len(one), bool)
         opens[self.begin[begins & (lead == 0)]] = True
         weight = np.concatenate([(self.counted | opens) & learned, (self.counted & learned)[self.paired], learned[self.tripled]])
-        keys = np.concatenate([one, two[self.paired], three[self.tripled]])
+        keys = np.concatenate([word_keys(one), gram_keys(two[self.paired], unused_bits), gram_keys(three[self.tripled], unused_bits)])
         self.keys, which = np.unique(keys, return_inverse=True)
         self.train = np.bincount(which, weights=weight, minlength=len(self.keys)).astype(np.int64)
         self.word = which[: len(one)]
@@ -351,11 +395,12 @@ def score_texts(documents: DataFrame, weights=WEIGHTS, limit: int = SEGMENT) ->
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per document."""
     sizes = training_sizes(documents)
     blocks, bits = layout(sizes)
+    spare = unused_bits(sizes["n_bytes"])
     texts = segments(documents, blocks, limit)
 
     def ask(rows: pa.Table) -> pa.Table:
         block = rows.column("block")[0].as_py()
-        lines = Lines(rows)
+        lines = Lines(read_parts(rows), spare)
         cells = [(b, block, s.stop - s.start, pack_sorted(lines.keys[s]), pack(lines.train[s])) for b, s in _cells(lines.keys, bits)]
         return pa.table([pa.array(c) for c in zip(*cells)], names=["bucket", "block", "n", "keys", "train"])
 
@@ -370,7 +415,8 @@ def score_texts(documents: DataFrame, weights=WEIGHTS, limit: int = SEGMENT) ->
         return pa.table([rows.column("bucket"), rows.column("block"), rows.column("n"), pa.array(packed)], names=["bucket", "block", "n", "total"])
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        lines = Lines(rows)
+        rows = read_parts(rows)
+        lines = Lines(rows, spare)
         answers = answers.sort_by("bucket")
         total = np.concatenate([unpack(t, n) for t, n in zip(answers.column("total").to_pylist(), answers.column("n").to_pylist())])
         total = total.astype(np.int64)

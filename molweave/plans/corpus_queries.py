@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from molweave.functions import ids as I
 from molweave.functions.symbols import join_symbols, split_symbols, whitespace_tokens
+from molweave.operators import metrics as M
 from molweave.operators import ordering, vocab as V
 from molweave.plans import inputs as T
 from molweave.plans import sql as S
 from molweave.plans.registry import query
 from molweave.sources import corpus as C
-from molweave.sources.scratch import fresh_path
-from molweave.streaming import jobs
+from molweave.sources.scratch import fresh_path, stored
+from molweave.streaming import jobs, stateful
 
 SEED = T.SEED
 BATCH = T.BATCH_SIZE
@@ -90,8 +91,10 @@ _LOG_CELLS = ", ".join(
 def log_metrics(spark, sf):
     wide = C.log_metrics(T.metric_log(spark, sf), _LOG_NAMES, _LOG_SPLITS)
     path = fresh_path(spark, "metric-log")
-    C.append_metrics(wide, path)
-    return spark.read.schema(wide.schema).parquet(path)
+    # The second write stands for a retried one, which leaves one record.
+    for _ in range(2):
+        C.append_metrics(wide, path, "all-runs")
+    return C.read_metrics(wide, path)
 
 
 # ---- tokens and vocabulary ------------------------------------------------------------------------------------------
@@ -331,6 +334,61 @@ def stream_limit(spark, sf):
     return _with_hash(jobs.stream_limit(rows, 2, *_paths(spark, "limited")))
 
 
+STREAM_SHARDS = 4
+
+
+def _in_four_files(spark, sf):
+    """The documents as a stream of four files in the order of their ids, one file a micro-batch."""
+    documents = _documents(spark, sf)
+    source = fresh_path(spark, "by-id")
+    quarter = F.ntile(4).over(Window.orderBy("doc_id"))
+    placed = documents.select("doc_id", quarter.alias("_part")).groupBy("_part").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    # One after the other: a file source reads files in the order of their age.
+    for r in sorted(placed.collect(), key=lambda r: r.low):
+        documents.filter(F.col("doc_id").between(r.low, r.high)).coalesce(1).write.mode("append").parquet(source)
+    return C.stream_corpus(spark, source, documents.schema, max_files_per_trigger=1)
+
+
+@query("stream_sliding_shuffle", "SELECT doc_id, lang, md5(text) AS text_md5, true AS moved FROM documents")
+def stream_sliding_shuffle(spark, sf):
+    """Every row once through buffers that live as long as the stream; moved: some row left its buffer in another micro-batch."""
+    rows = stateful.drain_shuffled(_in_four_files(spark, sf), "doc_id", SEED, *_paths(spark, "sliding"), buffer=SMALL_BUFFER, shards=STREAM_SHARDS)
+    rows = stored(rows, "slid")
+    place = F.row_number().over(Window.partitionBy("shard").orderBy("doc_id")) - 1
+    order = rows.select("shard", "turn", place.alias("place"))
+    farthest = order.agg(F.max(F.abs(F.col("turn") - F.col("place"))) > 2 * SMALL_BUFFER // STREAM_SHARDS)
+    return _with_hash(rows.crossJoin(F.broadcast(farthest.toDF("moved"))), "moved")
+
+
+@query(
+    "stream_collate",
+    f"""WITH s AS (SELECT doc_id, lang, {S.hash_of("shard", "doc_id")} % {STREAM_SHARDS} AS shard FROM documents),
+    b AS (SELECT *, (row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1) // {BATCH} AS batch_id FROM s)
+    SELECT CAST(shard AS INTEGER) AS shard, batch_id, CAST(count(*) AS INTEGER) AS n_rows, string_agg(doc_id, ' ' ORDER BY doc_id) AS doc_ids,
+           string_agg(lang, ' ' ORDER BY doc_id) AS langs FROM b GROUP BY shard, batch_id""",
+)
+def stream_collate(spark, sf):
+    """Batches assembled from a stream across micro-batches, the last of each shard short."""
+    stream = _in_four_files(spark, sf).drop("text")
+    made = stateful.drain_batches(stream, "doc_id", "doc_id", ["doc_id", "lang"], BATCH, *_paths(spark, "batches"), shards=STREAM_SHARDS)
+    return made.select("shard", "batch_id", "n_rows", shown(F.col("doc_id")).alias("doc_ids"), shown(F.col("lang")).alias("langs"))
+
+
+@query(
+    "stream_auroc_sketch",
+    f"""WITH {S.PREDS} SELECT split, count(*) FILTER (label = 1) AS n_positive, count(*) FILTER (label <> 1) AS n_negative, true AS within
+    FROM preds GROUP BY split""",
+)
+def stream_auroc_sketch(spark, sf):
+    """Areas of a stream by sketches, each held against the exact one and the stated bound."""
+    lines = C.stream_corpus(spark, f"{sf}/lineitem*.parquet", T.table(spark, sf, "lineitem").schema)
+    columns = [T.line_split().alias("split"), *T.line_scores()]
+    made = jobs.stream_auroc_sketch(lines.select(*columns), *_paths(spark, "sketches"), pred="score", target="label", by=["split"])
+    exact = M.auroc(T.table(spark, sf, "lineitem").select(*columns), "score", "label", ["split"]).withColumnRenamed("roc", "exact")
+    within = F.abs(F.col("roc") - F.col("exact")) <= jobs.sketch_bound()
+    return made.join(exact, "split").select("split", "n_positive", "n_negative", within.alias("within"))
+
+
 @query("stream_shuffle", _buffered(S.u(SEED, "doc_id")))
 def stream_shuffle(spark, sf):
     rows = C.stream_corpus(spark, f"{sf}/documents*.parquet", T.table(spark, sf, "documents").schema).select("doc_id", "lang", "text")

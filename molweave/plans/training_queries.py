@@ -11,6 +11,10 @@ from molweave.plans import inputs as T
 from molweave.plans import sql as S
 from molweave.plans.corpus_queries import shown
 from molweave.plans.registry import query
+from molweave.sources.corpus import stream_corpus
+from molweave.sources.scratch import fresh_path, stored
+from molweave.streaming import stateful
+from molweave.streaming.jobs import drain
 
 PATIENCE = 3
 # Below 1, likely tokens are sampled more often than they are counted.
@@ -196,6 +200,27 @@ def early_stop_epoch(spark, sf):
     return runs.early_stop_epoch(_log(spark, sf), PATIENCE, runs.METRIC_GOALS)
 
 
+@query(
+    "stream_early_stop",
+    f"""WITH {_SCORED}, waits AS (SELECT *, step - coalesce(max(CASE WHEN improved THEN step END) OVER (
+      PARTITION BY run, name ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS waited FROM best)
+    SELECT CAST(run AS VARCHAR) AS run, CAST(epoch AS BIGINT) AS epoch, name, value, step, improved, best, waited,
+      CASE WHEN waited = {PATIENCE} THEN 'stop' ELSE 'epoch' END AS event FROM waits""",
+)
+def stream_early_stop(spark, sf):
+    """The metric log as a stream of epochs, followed with state per run: best value, patience and the row at which a run stops."""
+    log = stored(_log(spark, sf), "log")
+    source = fresh_path(spark, "log-stream")
+    middle = log.agg(F.percentile_approx("epoch", 0.5)).first()[0]
+    # One after the other: a file source reads files in the order of their age.
+    for half in (F.col("epoch") <= middle, F.col("epoch") > middle):
+        log.filter(half).coalesce(1).write.mode("append").parquet(source)
+    stream = stream_corpus(spark, source, log.schema, max_files_per_trigger=1)
+    stateful.use_rocksdb(spark)
+    followed = stateful.stream_early_stop(stream, PATIENCE, runs.METRIC_GOALS)
+    return drain(followed, fresh_path(spark, "followed"), fresh_path(spark, "followed-state"))
+
+
 @query(
     "best_trial",
     f"""WITH {_LOGGED}, t AS (SELECT 'all' AS dataset, run, name, arg_max(value, epoch) AS value FROM logged GROUP BY run, name),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +15,8 @@ from molweave.sources.scratch import stored
 
 SPLITS = ["train", "validation", "test"]
 SPLIT_SEED = "split"
+# Folder column of a metric log: one folder a record.
+RECORD = "record"
 # Upper edges of the hash ranges of train and validation; test is the rest.
 SPLIT_EDGES = [0.8, 0.9]
 
@@ -135,5 +138,17 @@ def log_metrics(metrics: DataFrame, names: list[str], splits: dict[str, str]) ->
     return metrics.groupBy("run", "epoch").agg(*cells)
 
 
-def append_metrics(log: DataFrame, path: str) -> None:
-    log.write.mode("append").parquet(path)
+def append_metrics(log: DataFrame, path: str, record: str) -> None:
+    """Append rows to a metric log under the name of their record, such as a run and its epoch.
+
+    A record that is written again, by a retried epoch or after a crash, takes the place of the earlier one.
+    """
+    if not re.fullmatch(r"[\w.-]+", record):
+        raise ValueError(f"the name of a record is made of letters, digits, '.', '_' and '-', not {record!r}")
+    log.write.mode("overwrite").parquet(f"{path}/{RECORD}={record}")
+
+
+def read_metrics(like: DataFrame, path: str) -> DataFrame:
+    """All records of a metric log with the columns of ``like``."""
+    schema = T.StructType([*like.schema.fields, T.StructField(RECORD, T.StringType())])
+    return like.sparkSession.read.schema(schema).parquet(path).drop(RECORD)

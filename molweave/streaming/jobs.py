@@ -7,6 +7,7 @@ key, so a replayed batch gives the same rows.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -15,12 +16,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from molweave.functions.ids import MAX_LENGTH
-from molweave.operators.corrupt import MASK_PROB, corrupt_arrays, mask_sequences, mask_state, proposal_table, sample_state
+from molweave.operators.corrupt import (
+    MASK_PROB,
+    corrupt_arrays,
+    corrupt_sequences,
+    mask_sequences,
+    mask_state,
+    proposal_table,
+    sample_state,
+    tempered,
+)
 from molweave.operators.encoding import encode_text
-from molweave.operators.metrics import area, mae_of, pearson_of, rmse_of, score_counts
+from molweave.operators.metrics import area, checked_score, mae_of, pearson_of, rmse_of, score_counts
 from molweave.operators.ordering import SHUFFLE_BUFFER, buffer_shuffle
 
-LIMIT_REACHED = "the step limit is reached"
+# Longer than a stream lives: a trigger of this length runs one micro-batch and then waits.
+ONE_BATCH = "36500 days"
+POLL_SECONDS = 0.05
+# What a query says between two triggers.
+IDLE = "Waiting for next trigger"
+# Rank error of a sketch with parameter k, one-sided at 99 % confidence: a fixed formula of the sketch.
+SKETCH_ERROR = (2.296, 0.9723)
+SKETCH_K = 4096
+# Quantiles that a sketch is read at.
+SKETCH_POINTS = 1024
 
 
 def stream_encode(stream: DataFrame, vocab: DataFrame, text: str = "selfies", max_length: int = MAX_LENGTH) -> DataFrame:
@@ -38,16 +57,38 @@ def stream_shuffle(stream: DataFrame, key: str, seed, buffer: int = SHUFFLE_BUFF
     return buffer_shuffle(stream, key, seed, buffer)
 
 
-def stream_corrupt(stream: DataFrame, candidates: DataFrame, key: str, seed, ids: str = "input_ids", p: float = MASK_PROB) -> DataFrame:
-    """Corrupt a stream of encoded sequences with written proposals that fit in a broadcast; stateless."""
-    table = proposal_table(candidates)
+def stream_corrupt(
+    stream: DataFrame, candidates: DataFrame, key: str, seed, ids: str = "input_ids", p: float = MASK_PROB, temperature: float = 1.0
+) -> DataFrame:
+    """Corrupt a stream of encoded sequences with written proposals that fit in a broadcast; stateless.
+
+    ``drain_corrupted`` takes proposals of any size.
+    """
+    table = proposal_table(tempered(candidates, temperature))
     if table is None:
-        raise ValueError("these proposals are too many to broadcast: corrupt the written batches")
+        raise ValueError("these proposals are too many to broadcast: use drain_corrupted")
     fn = corrupt_arrays(candidates.sparkSession, table, p)
     made = stream.withColumn("_c", fn(F.col(ids), mask_state(seed, key), sample_state(seed, key)))
     return made.select(*stream.columns, "_c.*")
 
 
+def drain_corrupted(
+    stream: DataFrame, candidates: DataFrame, key: str, seed, out: str, state: str, ids: str = "input_ids", p: float = MASK_PROB, **options
+) -> DataFrame:
+    """Corrupt a stream to the end of what is there, micro-batch by micro-batch, with proposals of any size; all its rows.
+
+    Each micro-batch goes through ``corrupt_sequences``, which joins proposals that are too many to broadcast. It is written under
+    its own number, so a repeated one replaces itself. ``options`` are those of ``corrupt_sequences``.
+    """
+
+    def publish(batch: DataFrame, number: int) -> None:
+        corrupt_sequences(batch, candidates, key, seed, ids, p, **options).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    like = corrupt_sequences(stream.sparkSession.createDataFrame([], stream.schema), candidates, key, seed, ids, p, **options)
+    stream.writeStream.option("checkpointLocation", state).foreachBatch(publish).trigger(availableNow=True).start().awaitTermination()
+    return _written(like.withColumn("batch", F.lit(0).cast("long")), out).drop("batch")
+
+
 def _written(like: DataFrame, path: str) -> DataFrame:
     """The rows at a path, or none if nothing was written there yet."""
     spark = like.sparkSession
@@ -136,23 +177,83 @@ def stream_auroc(stream: DataFrame, out: str, state: str, bins: int | None, pred
     return area(drain_table(score_counts(stream, score, target, by), out, state), by)
 
 
+def sketch_bound(k: int = SKETCH_K, points: int = SKETCH_POINTS) -> float:
+    """How far ``stream_auroc_sketch`` is off at most, at 99 % confidence: for each of two sketches its rank error and half a point."""
+    factor, power = SKETCH_ERROR
+    return 2 * (factor / k**power + 0.5 / points)
+
+
+def stream_auroc_sketch(
+    stream: DataFrame, out: str, state: str, k: int = SKETCH_K, pred="pred", target="target", by=("epoch", "split"), points: int = SKETCH_POINTS
+) -> DataFrame:
+    """(by..., n_positive, n_negative, roc): area under the curve of any scores with bounded state.
+
+    The state is two quantile sketches per group, of the positives' and of the negatives' scores, whose size doesn't grow with the
+    stream. Each is read at ``points`` quantiles, which are scores of the stream, and the area of these points is exact, so ties
+    count half. The error is below ``sketch_bound``.
+    """
+    score = checked_score(F.col(pred).cast("double"))
+    positive, negative = F.when(F.col(target) == 1, score), F.when(F.col(target) != 1, score)
+    table = stream.groupBy(*by).agg(
+        F.count(positive).alias("n_positive"),
+        F.count(negative).alias("n_negative"),
+        F.kll_sketch_agg_double(positive, F.lit(k)).alias("_p"),
+        F.kll_sketch_agg_double(negative, F.lit(k)).alias("_n"),
+    )
+    places = F.array(*[F.lit((i + 0.5) / points) for i in range(points)])
+    drained = drain_table(table, out, state)
+
+    def read(sketch: str, size: str) -> DataFrame:
+        return drained.filter(F.col(size) > 0).select(*by, F.explode(F.kll_sketch_get_quantile_double(sketch, places)).alias("_s"))
+
+    counts = [
+        read("_p", "n_positive").select(*by, "_s", F.lit(1).alias("_p"), F.lit(0).alias("_n")),
+        read("_n", "n_negative").select(*by, "_s", F.lit(0).alias("_p"), F.lit(1).alias("_n")),
+    ]
+    summed = counts[0].unionByName(counts[1]).groupBy(*by, "_s").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    roc = area(summed, by).select(*[F.col(c).alias(f"_k_{c}") for c in by], "roc")
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
+    return drained.join(roc, same, "left").select(*by, "n_positive", "n_negative", "roc")
+
+
+def _steps_done(like: DataFrame, out: str) -> int:
+    """Micro-batches written so far; they are numbered from 0 without gaps."""
+    last = _written(like, out).agg(F.max("batch")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def stream_limit(stream: DataFrame, steps: int, out: str, state: str) -> DataFrame:
     """Take a bounded number of micro-batches from a stream and return their rows.
 
-    The size of a step is the source's maxFilesPerTrigger. The batch after the last step fails before its offsets are committed,
-    so a later run with more steps starts with it. Steps count from the stream's beginning.
+    The size of a step is the source's maxFilesPerTrigger. A step is one run of the query, whose trigger lets one micro-batch
+    through; it is stopped once that batch is committed. So no batch past the last step is ever started, and a later run with more
+    steps goes on after it. Steps count from the stream's beginning.
     """
+    numbered = stream.withColumn("batch", F.lit(0).cast("long"))
 
     def publish(batch: DataFrame, number: int) -> None:
-        if number >= steps:
-            raise RuntimeError(LIMIT_REACHED)
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = stream.writeStream.option("checkpointLocation", state).foreachBatch(publish).trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-    except Exception as e:
-        if LIMIT_REACHED not in str(e):
-            raise
-    numbered = _written(stream.withColumn("batch", F.lit(0).cast("long")), out)
-    return numbered.drop("batch")
+    done = _steps_done(numbered, out)
+    while done < steps:
+        query = stream.writeStream.option("checkpointLocation", state).foreachBatch(publish).trigger(processingTime=ONE_BATCH).start()
+        try:
+            _await_batch(query)
+        finally:
+            query.stop()
+        if query.exception() is not None:
+            raise query.exception()
+        now = _steps_done(numbered, out)
+        if now == done:
+            break
+        done = now
+    return _written(numbered, out).filter(F.col("batch") < steps).drop("batch")
+
+
+def _await_batch(query: StreamingQuery) -> None:
+    """Wait until a query that lets one micro-batch through has committed it, or has found nothing new."""
+    while query.isActive:
+        status, progress = query.status, query.lastProgress
+        if status["message"] == IDLE and not status["isTriggerActive"] or progress is not None and progress["numInputRows"]:
+            return
+        time.sleep(POLL_SECONDS)

@@ -6,6 +6,7 @@ from molweave.functions.hashing import position_state_np, position_state, state_
 from molweave.functions.ids import MASK, PAD
 from molweave.functions.vectors import gumbel
 from molweave.operators import corrupt as K
+from molweave.sources.scratch import stored
 
 
 @pytest.fixture(scope="module")
@@ -135,3 +136,100 @@ def test_rows_with_equal_low_bits_draw_apart():
     states = np.array([5, 5 + (1 << 32), 5 + (7 << 32)])
     draws = [position_state_np(np.full(200, s), np.arange(200)) for s in states]
     assert not (draws[0] == draws[1]).any() and not (draws[1] == draws[2]).any()
+
+
+# ---- temperature and judged generators --------------------------------------------------------------------------------
+
+
+def test_ranking_has_no_task_with_a_whole_neighbour(spark):
+    """One neighbour with ten million followers: its rows are ranked in parts of the range order."""
+    n = 10_000_000
+    counts = spark.range(n).select(F.lit(7).alias("prev"), F.col("id").cast("int").alias("token"), (F.col("id") % 1000 + 1).alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = stored(K.rank_followers(counts).withColumn("task", F.spark_partition_id()), "ranked")
+        plan = K.rank_followers(counts.limit(10))._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    total = n // 1000 * 500_500
+    got = ranked.agg(
+        F.count("*"), F.max("rank"), F.countDistinct("rank"), F.max("cum"), F.sum(F.when(F.col("rank") == 1, F.col("token"))), F.min("most")
+    ).first()
+    assert tuple(got) == (n, n, n, total, 999, 1000)
+    assert max(r["count"] for r in ranked.groupBy("task").count().collect()) < n / 2
+    # Windows over a whole neighbour see sums of parts only; those over rows stay inside a part.
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_size" in line or "_rows" in line or ", _part" in line for line in windows)
+
+
+@pytest.mark.parametrize("temperature", [0.5, 2.0])
+def test_tempered_weights(spark, temperature):
+    counts = spark.createDataFrame([(1, 10, 100), (1, 11, 50), (1, 12, 1), (2, 10, 3)], "prev int, token int, n long")
+    table = K.rank_followers(counts)
+    got = {(r.prev, r.token): r for r in K.tempered(table, temperature).collect()}
+    for (prev, token), n, most in (((1, 10), 100, 100), ((1, 11), 50, 100), ((1, 12), 1, 100), ((2, 10), 3, 3)):
+        assert got[prev, token].n == pytest.approx((n / most) ** (1 / temperature) * K.WEIGHT_ONE, rel=1e-5)
+        assert got[prev, token].log_p == pytest.approx(np.log(n / {1: 151, 2: 3}[prev]))
+    assert got[1, 12].cum == sum(got[1, t].n for t in (10, 11, 12)) and got[1, 10].cum == got[1, 10].n
+    with pytest.raises(ValueError):
+        K.tempered(table, 0.0)
+
+
+@pytest.mark.parametrize("temperature", [0.5, 1.0, 2.0])
+def test_draws_follow_the_gumbel_rule(spark, temperature):
+    """Shares of inverted draws and of Gumbel draws over log p / T are those of the tempered distribution."""
+    counts = spark.createDataFrame([(K.ANY_LEFT, t, n) for t, n in ((5, 60), (6, 25), (7, 10), (8, 5))], "prev int, token int, n long")
+    table = stored(K.rank_followers(counts), "proposals")
+    n = 6000
+    rows = spark.range(n).select("id", F.array(F.lit(5)).alias("input_ids"))
+    drawn = K.corrupt_sequences(rows, table, "id", 1, p=1.0, temperature=temperature)
+    ours = {r[0]: r["count"] / n for r in drawn.groupBy(F.col("disc_input")[0]).count().collect()}
+    logits = F.array(*[F.lit(float(np.log(x))) for x in (60, 25, 10, 5)])
+    rule = spark.range(n).select(K.gumbel_sample(temperature)(logits, K.sample_state(9, "id")).alias("i"))
+    gumbel = {5 + r.i: r["count"] / n for r in rule.groupBy("i").count().collect()}
+    weights = np.array([60, 25, 10, 5.0]) ** (1 / temperature)
+    for token, share in zip((5, 6, 7, 8), weights / weights.sum()):
+        spread = 4 * np.sqrt(share * (1 - share) / n)
+        assert abs(ours.get(token, 0) - share) < spread and abs(gumbel.get(token, 0) - share) < spread
+
+
+@pytest.mark.parametrize("temperature", [0.5, 1.0])
+def test_judged_forms_agree(spark, sequences, candidates, temperature, monkeypatch):
+    table = stored(candidates, "proposals")
+    arrays = {r.k: r for r in K.corrupt_sequences(sequences, table, "k", 3, p=0.4, temperature=temperature, judged=True).collect()}
+    monkeypatch.setattr(K, "HOT_PARTS", 50)
+    joined = {r.k: r for r in K.corrupt_by_join(sequences, table, "k", 3, p=0.4, temperature=temperature, judged=True).collect()}
+    plain = {r.k: r for r in K.corrupt_sequences(sequences, table, "k", 3, p=0.4, temperature=temperature).collect()}
+    rows = table.collect()
+    count = {(r.prev, r.token): r.n for r in rows}
+    total, best = {}, {}
+    for r in rows:
+        total[r.prev] = total.get(r.prev, 0) + r.n
+        if r["rank"] == 1:
+            best[r.prev] = r.token
+    k0 = sum(r.prev == K.ANY_LEFT for r in rows)
+    judged = 0
+    for k, a in arrays.items():
+        b = joined[k]
+        assert a.disc_input == b.disc_input == plain[k].disc_input and a.gen_hit == b.gen_hit
+        assert [x is None for x in a.nll] == [not m for m in a.masked]
+        for pos, (x, y) in enumerate(zip(a.nll, b.nll)):
+            if x is None:
+                assert y is None
+                continue
+            judged += 1
+            prev = a.masked_input[pos - 1] if pos else K.ANY_LEFT
+            prev = prev if prev in total else K.ANY_LEFT
+            alone = (count.get((K.ANY_LEFT, a.input_ids[pos]), 0) + 1) / (total[K.ANY_LEFT] + k0 + 1)
+            p = alone if prev == K.ANY_LEFT else (count.get((prev, a.input_ids[pos]), 0) + alone) / (total[prev] + 1)
+            assert x == pytest.approx(-np.log(p)) == pytest.approx(y)
+            assert a.gen_hit[pos] == (best[prev] == a.input_ids[pos])
+    assert judged > 300
+
+
+def test_nothing_masked_is_judged_as_nothing(spark, candidates):
+    table = stored(candidates, "proposals")
+    df = spark.createDataFrame([(1, [PAD] * 4), (2, []), (3, None)], "k int, input_ids array<int>")
+    for form in (K.corrupt_sequences, K.corrupt_by_join):
+        got = {r.k: r.nll for r in form(df, table, "k", 1, p=1.0, judged=True).collect()}
+        assert got == {1: [None] * 4, 2: [], 3: None}

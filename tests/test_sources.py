@@ -73,8 +73,8 @@ def test_log_metrics_is_wide_and_appends(spark, tmp_path):
     log = spark.createDataFrame(rows, "run int, epoch int, split string, name string, value double")
     wide = C.log_metrics(log, ["loss", "roc"], {"train": "train", "validation": "val"})
     path = str(tmp_path / "log")
-    C.append_metrics(wide.filter("epoch = 0"), path)
-    C.append_metrics(wide.filter("epoch = 1"), path)
+    C.append_metrics(wide.filter("epoch = 0"), path, "r-0")
+    C.append_metrics(wide.filter("epoch = 1"), path, "r-1")
     got = [tuple(r) for r in spark.read.parquet(path).orderBy("epoch").collect()]
     assert got == [(1, 0, 1.0, None, 2.0, None), (1, 1, None, 0.5, None, None)]
 
@@ -89,3 +89,19 @@ def test_stream_has_the_given_schema(spark, tmp_path):
     spark.range(5).write.parquet(str(tmp_path / "s"))
     stream = C.stream_corpus(spark, str(tmp_path / "s"), T.StructType([T.StructField("id", T.LongType())]), 1)
     assert stream.isStreaming and stream.columns == ["id"]
+
+
+def test_a_repeated_record_replaces_itself(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0), ("b", 0, 3.0)], "run string, epoch int, loss double")
+    broken = F.when(F.col("loss") == 2, F.raise_error(F.lit("killed")).cast("double")).otherwise(F.col("loss"))
+    for run, epoch in (("a", 0), ("b", 0)):
+        C.append_metrics(rows.filter((F.col("run") == run) & (F.col("epoch") == epoch)), path, f"{run}-{epoch}")
+    with pytest.raises(Exception, match="killed"):
+        C.append_metrics(rows.filter("run = 'a' AND epoch = 1").withColumn("loss", broken), path, "a-1")
+    for _ in range(2):
+        C.append_metrics(rows.filter("run = 'a' AND epoch = 1"), path, "a-1")
+    assert sorted(map(tuple, C.read_metrics(rows, path).collect())) == sorted(map(tuple, rows.collect()))
+    assert C.read_metrics(rows, path).columns == rows.columns
+    with pytest.raises(ValueError):
+        C.append_metrics(rows, path, "a/b")

@@ -123,3 +123,55 @@ def test_a_binned_score_outside_the_range_is_an_error(spark, tmp_path, paths):
     rows.write.parquet(str(tmp_path / "wide"))
     with pytest.raises(Exception, match="outside"):
         J.stream_auroc(stream_corpus(spark, str(tmp_path / "wide"), rows.schema), *paths(), 10)
+
+
+def test_drain_corrupted_takes_proposals_of_any_size(spark, molecules, paths, monkeypatch):
+    batch = spark.read.parquet(molecules)
+    vocab = stored(train_vocab(tokenize(batch)), "vocab")
+    table = stored(ngram_candidates(encode(tokenize(batch), vocab).select(add_template(F.col("ids")).alias("ids"))), "proposals")
+    stream = stream_corpus(spark, molecules, batch.schema, max_files_per_trigger=1)
+    encoded = J.stream_encode(stream, vocab, max_length=16).select("mol_id", "input_ids")
+    want = as_set(corrupt_sequences(encode_text(batch, vocab, max_length=16).select("mol_id", "input_ids"), table, "mol_id", 3, temperature=0.5))
+    tempered = J.stream_corrupt(encoded, table, "mol_id", 3, temperature=0.5)
+    assert as_set(J.drain(tempered, *paths())) == want
+    monkeypatch.setattr("molweave.operators.corrupt.CANDIDATE_LIMIT", 3)
+    with pytest.raises(ValueError):
+        J.stream_corrupt(encoded, table, "mol_id", 3)
+    assert as_set(J.drain_corrupted(encoded, table, "mol_id", 3, *paths(), temperature=0.5)) == want
+
+
+def scores(spark, path, n, distinct):
+    score = F.pmod(F.hash("id"), F.lit(distinct)) / F.lit(float(distinct))
+    positive = F.pmod(F.hash(F.col("id") + 7), F.lit(1000)) < 200 + 500 * score
+    rows = spark.range(n).select(F.lit(0).alias("epoch"), F.lit("val").alias("split"), (score * 40 - 7).alias("pred"), positive.cast("int").alias("target"))
+    rows.repartition(3).write.parquet(path)
+    return rows.schema
+
+
+@pytest.mark.parametrize("distinct", [3, 1_000_003])
+def test_sketched_area_is_within_its_bound(spark, tmp_path, paths, distinct):
+    for k, points in ((256, 512), (J.SKETCH_K, J.SKETCH_POINTS)):
+        path = str(tmp_path / f"s{k}")
+        schema = scores(spark, path, 60_000, distinct)
+        got = J.stream_auroc_sketch(stream_corpus(spark, path, schema, 1), *paths(), k=k, points=points).first()
+        assert abs(got.roc - auroc(spark.read.parquet(path)).first().roc) <= J.sketch_bound(k, points)
+        assert got.n_positive + got.n_negative == 60_000
+    assert J.sketch_bound() < 0.003
+
+
+def test_sketches_do_not_grow_with_the_stream(spark, tmp_path, paths):
+    sizes = []
+    for n in (20_000, 200_000):
+        path, (out, state) = str(tmp_path / f"n{n}"), paths()
+        schema = scores(spark, path, n, 1_000_003)
+        J.stream_auroc_sketch(stream_corpus(spark, path, schema, 1), out, state, k=256)
+        sizes.append(spark.read.parquet(out).agg(F.max(F.length("_p") + F.length("_n"))).first()[0])
+    assert sizes[1] < 1.3 * sizes[0]
+
+
+def test_sketched_area_of_one_class_is_null(spark, tmp_path, paths):
+    path = str(tmp_path / "one")
+    rows = spark.range(9).select(F.lit(None).cast("int").alias("epoch"), F.lit("val").alias("split"), F.col("id").cast("double").alias("pred"), F.lit(1).alias("target"))
+    rows.write.parquet(path)
+    got = J.stream_auroc_sketch(stream_corpus(spark, path, rows.schema), *paths()).first()
+    assert (got.epoch, got.n_positive, got.n_negative, got.roc) == (None, 9, 0, None)

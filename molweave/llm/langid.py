@@ -50,8 +50,11 @@ _SPACED = np.where(FOLD == 0, 0x20, FOLD).astype(np.uint32)
 SEGMENT = 1 << 20
 
 
-def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every subword that lies within one text and has a word byte; ordered by length, then place."""
+def subwords(data: np.ndarray, offsets: np.ndarray, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of every subword that lies within one text and has a word byte; ordered by length, then place.
+
+    Of a part of a long text only subwords that begin in its ``own`` first bytes count; the others begin in the next part.
+    """
     b = _SPACED[data]
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     rows, buckets = [], []
@@ -66,6 +69,8 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
             gram |= b[k : k + n] << np.uint32(8 * k)
             empty &= blank[k : k + n]
         kept = ~empty & (row[:n] == row[length - 1 :])
+        if own is not None:
+            kept[own:] = False
         rows.append(row[:n][kept])
         buckets.append((gram[kept] * np.uint32(multiplier)) >> np.uint32(32 - BUCKET_BITS))
     if not rows:
@@ -82,7 +87,6 @@ def segments(offsets: np.ndarray):
         if high - low <= SEGMENT:
             yield at, stop, low, high
         else:
-            # A subword that lies in the overlap is counted twice; that is 3 places in a million.
             for part in range(low, high, SEGMENT):
                 yield at, stop, part, min(high, part + SEGMENT + LENGTHS[-1] - 1)
         at = stop
@@ -103,7 +107,7 @@ class Model:
         n = np.zeros(len(column))
         for first, stop, low, high in segments(offsets):
             cuts = np.clip(offsets[first : stop + 1], low, high) - low
-            row, bucket = subwords(data[low:high], cuts)
+            row, bucket = subwords(data[low:high], cuts, SEGMENT)
             n[first:stop] += np.bincount(row, minlength=stop - first)
             for k in range(len(self.languages)):
                 total[first:stop, k] += np.bincount(row, self.scores[:, k][bucket], stop - first)

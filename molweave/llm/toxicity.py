@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from molweave.llm.folds import bounded_sample, held_out
 from molweave.llm.words import Words, mix, pieces
+from molweave.sources.scratch import stored
 
 # Common insults.
 INSULTS = [
@@ -36,11 +37,9 @@ INSULTS = [
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 
-# Bounds of the labelled sample, per class, and of the mined features.
+# Bounds of the labelled sample, per class. All mined features come from it, so their number is bounded with it.
 SAMPLE_TOXIC = 4000
 SAMPLE_CLEAN = 8000
-MAX_CANDIDATES = 50_000
-MAX_FEATURES = 4096
 MIN_DOCS = 2
 MIN_CONTEXTS = 4
 # Contexts that a feature of fewer than FEW_DOCS documents needs.
@@ -98,25 +97,21 @@ def counted_features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
 
 
-def contexts_of(lexicon: Lexicon):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
-            words = Words(piece.column("text"), PREFIXES)
-            around = np.zeros(len(words.hash), np.uint64)
-            around[1:] += mix(words.hash[:-1])
-            around[:-1] += words.hash[1:] >> np.uint64(1)
-            for hashes in features_of(words):
-                at, feature = lexicon.find(hashes)
-                pair = np.unique(np.rec.fromarrays([lexicon.keys[feature], around[at]], names="f,c"))
-                yield pa.record_batch(
-                    [pa.array(pair["f"].view(np.int64)), pa.array(pair["c"].view(np.int64))], names=["feature", "context"]
-                )
-
-    return run
+def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, context): the different neighbourhoods of each feature of a piece, by a hash of the words on both sides."""
+    for piece in pieces(batches, "text"):
+        words = Words(piece.column("text"), PREFIXES)
+        around = np.zeros(len(words.hash), np.uint64)
+        around[1:] += mix(words.hash[:-1])
+        around[:-1] += words.hash[1:] >> np.uint64(1)
+        for hashes in features_of(words):
+            used = hashes != 0
+            pair = np.unique(np.rec.fromarrays([hashes[used], around[used]], names="f,c"))
+            yield pa.record_batch([pa.array(pair["f"].view(np.int64)), pa.array(pair["c"].view(np.int64))], names=["feature", "context"])
 
 
 def mine(sample: DataFrame, shares: dict) -> list[tuple[int, int]]:
-    """(feature, contexts) of the features that mark toxic documents, strongest first, MAX_FEATURES at most."""
+    """(feature, contexts) of all features of the sample that mark toxic documents and stand in enough different contexts."""
     weight = {y: 1.0 / shares.get(y, 1.0) for y in (0, 1)}
     counts = (
         sample.select("text", "toxic")
@@ -127,25 +122,11 @@ def mine(sample: DataFrame, shares: dict) -> list[tuple[int, int]]:
     )
     weighted = F.col("bad") * weight[1]
     precise = weighted >= MIN_PRECISION * (weighted + F.col("good") * weight[0])
-    marked = counts.filter((F.col("bad") >= MIN_DOCS) & precise).orderBy(F.desc("bad"), "feature").limit(MAX_CANDIDATES)
-    docs = {r.feature: r.bad for r in marked.select("feature", "bad").collect()}
-    keys = np.sort(np.array(list(docs), np.int64).view(np.uint64))
-    if not len(keys):
-        return []
-    candidates = Lexicon(keys, np.zeros(len(keys), np.int64), 1)
-    support = (
-        sample.filter("toxic = 1")
-        .select("text")
-        .mapInArrow(contexts_of(candidates), "feature long, context long")
-        .distinct()
-        .groupBy("feature")
-        .count()
-        .filter(F.col("count") >= MIN_CONTEXTS)
-        .orderBy(F.desc("count"), "feature")
-        .limit(MAX_FEATURES)
-    )
-    found = [(r["feature"], r["count"]) for r in support.collect()]
-    return [(f, n) for f, n in found if n >= (MIN_CONTEXTS if docs[f] >= FEW_DOCS else MANY_CONTEXTS)]
+    marked = counts.filter((F.col("bad") >= MIN_DOCS) & precise).select("feature", "bad")
+    around = sample.filter("toxic = 1").select("text").mapInArrow(contexts, "feature long, context long")
+    support = around.join(marked, "feature").distinct().groupBy("feature", "bad").count()
+    needed = F.when(F.col("bad") >= FEW_DOCS, MIN_CONTEXTS).otherwise(MANY_CONTEXTS)
+    return [(r["feature"], r["count"]) for r in support.filter(F.col("count") >= needed).collect()]
 
 
 def make_lexicon(mined: list[tuple[int, int]]) -> Lexicon:
@@ -263,6 +244,7 @@ def fit(documents: DataFrame, labels: DataFrame, seed: str = "toxicity") -> Mode
     # At most a few thousand small rows, by the two bounds.
     chosen = F.broadcast(clean.unionByName(toxic))
     sample = documents.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic").dropDuplicates()
+    sample = stored(sample, "toxicity-sample")
     lexicon = make_lexicon(mine(sample, shares) if 1 in shares else [])
 
     def gather(batches):

@@ -57,3 +57,34 @@ def test_held_out_labels_change_nothing(spark):
     flipped = labels.withColumn("toxic", F.when(held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     one, two = ({r.doc_id: r.score for r in toxicity.toxicity(documents, x).collect()} for x in (labels, flipped))
     assert one == two
+
+
+def test_parts_of_a_long_text_count_each_subword_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    scores = rng.normal(size=(1 << langid.BUCKET_BITS, 3))
+    model = langid.Model(["a", "b", "c"], scores, np.zeros(3), 1.0, np.zeros(3))
+    long = " ".join("".join(rng.choice(list("abcdé"), 7)) for _ in range(5000))
+    texts = pa.array(["ab cd", long, None, "", long[:64], long[:65], "x"])
+    whole, n_whole = model.means(texts)
+    for size in (64, 1000, 4097):
+        monkeypatch.setattr(langid, "SEGMENT", size)
+        parts, n_parts = model.means(texts)
+        assert (n_parts == n_whole).all() and np.allclose(parts, whole, atol=1e-12)
+
+
+def test_every_feature_with_enough_evidence_is_mined(spark):
+    import random
+
+    draw, words = random.Random(3), [f"w{k:05d}" for k in range(6000)]
+    rows = []
+    for _ in range(6):
+        draw.shuffle(words)
+        rows.append((" ".join(words), 1))
+    rows += [("nothing of the kind is said here", 0)] * 3
+    sample = spark.createDataFrame(rows, "text string, toxic long")
+    mined = toxicity.mine(sample, {0: 1.0, 1: 1.0})
+    hashes = set(toxicity.Words(toxicity.pa.array(words)).hash.view("int64").tolist())
+    assert hashes <= {f for f, _ in mined}

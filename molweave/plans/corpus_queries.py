@@ -356,8 +356,8 @@ def stream_sliding_shuffle(spark, sf):
     rows = stored(rows, "slid")
     place = F.row_number().over(Window.partitionBy("shard").orderBy("doc_id")) - 1
     order = rows.select("shard", "turn", place.alias("place"))
-    farthest = order.agg(F.max(F.abs(F.col("turn") - F.col("place"))) > 2 * SMALL_BUFFER // STREAM_SHARDS)
-    return _with_hash(rows.crossJoin(F.broadcast(farthest.toDF("moved"))), "moved")
+    moved = order.agg((F.max(F.abs(F.col("turn") - F.col("place"))) > 2 * SMALL_BUFFER // STREAM_SHARDS).alias("moved")).scalar()
+    return _with_hash(rows.withColumn("moved", moved), "moved")
 
 
 @query(

@@ -9,11 +9,12 @@ from molweave.functions import vectors as X
 from molweave.operators import labels as L
 from molweave.operators import losses as O
 from molweave.operators import metrics as M
-from molweave.operators import scoring
+from molweave.operators import scoring, training
 from molweave.plans import inputs as T
 from molweave.plans import sql as S
 from molweave.plans.registry import query
 from molweave.sources.corpus import split_of
+from molweave.sources.scratch import stored
 
 
 def rounded(df, *columns, digits: int = 6):
@@ -348,6 +349,28 @@ def finetune_regressor(spark, sf):
     )
 
 
+EPOCHS, EPOCH_STEPS = 6, 3
+
+
+@query(
+    "finetune_epochs",
+    f"""WITH f AS (SELECT {S.split_case('vec_id')} AS split FROM embeddings)
+    SELECT split, count(*) AS n, true AS as_good, {EPOCHS} AS n_epochs FROM f WHERE split IN ('train', 'validation') GROUP BY split""",
+)
+def finetune_epochs(spark, sf):
+    """A head trained by epochs beside the MLlib fit of the same rows: the mean loss of its best epoch is as good within 0.02."""
+    rows = stored(_features(spark, sf), "features")
+    train, held = (rows.filter(F.col("split") == s).select("vec_id", "split", "features", "target") for s in ("train", "validation"))
+    head, _, log = training.fit_epochs(train, held, "classification", "vec_id", T.SEED, EPOCHS, EPOCH_STEPS)
+    model = scoring.fit_classifier(train)
+    both = train.unionByName(held)
+    ours = training.head_predictions(head, both).withColumn("a", X.negative_log_likelihood(F.col("logits"), F.col("target"), 2)).drop("logits")
+    theirs = scoring.classifier_predictions(model, ours).withColumn("b", X.negative_log_likelihood(F.col("logits"), F.col("target"), 2))
+    n_epochs = log.select(F.countDistinct("epoch").cast("int").alias("n_epochs")).scalar()
+    per = theirs.groupBy("split").agg(F.count(F.lit(1)).alias("n"), (F.avg("a") <= F.avg("b") + 0.02).alias("as_good"))
+    return per.withColumn("n_epochs", n_epochs)
+
+
 # ---- metrics --------------------------------------------------------------------------------------------------------
 
 _RMSE = "sqrt(avg((pred - target) * (pred - target)))"

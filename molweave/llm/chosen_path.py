@@ -13,7 +13,8 @@
    holds no false link. A large bucket or group is cut into tiles and compared tile by tile, so no task holds it whole.
 
 Words are those of ``words``: lower-cased letters and digits. A text of one to four words is one run; a text without words (null,
-empty) is similar to nothing. Rows that repeat an id are rows of their own. An empty table gives an empty result. Extra columns
+empty) is similar to nothing. Long texts are one set of runs in the task that compares them. Rows that repeat an id are rows of their own, and the smallest id of a
+group represents it; of rows that share it, one does. An empty table gives an empty result. Extra columns
 are ignored (``jaccard_join``) or passed through (``keep_representatives``).
 """
 

@@ -3,6 +3,9 @@
 Each round hangs the larger neighbours of a node, and then the smaller ones, on its smallest neighbour; after a few rounds (of the
 order of the logarithm of the nodes) every node hangs on the smallest of its component. A round is two aggregations and two joins
 on rows of two numbers. Rounds are written to the shared folder, so lineage stays short and a lost executor costs one round.
+
+Nodes are numbers. Links that are null, repeated or of a node with itself say nothing; no links give no rows. The smallest node of a
+component is its root, so there are no ties. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Calibration uses labelled windows that training did not see: a temperature that
 language the confidence below which only REJECT_SHARE of them fall (at most MAX_FLOOR). Whole texts below it are rejected.
 
 Null texts and texts without a letter are ``und`` and rejected, with score 0. With no labelled row at all everything is ``und``.
-Equal texts get equal answers; extra columns are ignored.
+Long texts are scored in parts of SEGMENT bytes, each subword in the part it begins in, which gives the mean of the whole text. An
+empty table gives an empty one. Equal texts get equal answers, so ties and repeated rows do; extra columns are ignored.
 """
 
 from __future__ import annotations

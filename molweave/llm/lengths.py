@@ -5,7 +5,8 @@ on one row per distinct length. Suffix sums over it answer totals, quantiles and
 for a limit L between two lengths, truncated total = tokens of the shorter documents + L * documents at or above L.
 
 The sums go in two levels, blocks of BLOCK lengths and the lengths inside one, so no task holds all lengths.
-Null text is an empty one, of length 0. An empty table has an empty histogram. Extra columns are ignored.
+Null text is an empty one, of length 0. Long texts are encoded whole, one at a time. Repeated rows count as they stand, and rows of
+one length, ties, are one row of the histogram. An empty table has an empty histogram. Extra columns are ignored.
 """
 
 from __future__ import annotations

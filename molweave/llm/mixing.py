@@ -6,8 +6,9 @@ proportion to their weights, they are level * weight, and each round only needs
 sources never goes through the driver. The rate of a source is target / size; a document is taken floor(rate) times plus once
 more if a hash of the seed and its id falls below the fraction.
 
-Null texts have size 0; a null source is a source of its own, the last one. Rows that repeat an id share its draw. A source of
-size 0 has target 0 and is not taken. Extra columns pass through; an empty table gives an empty one.
+Null texts have size 0; a null source is a source of its own, the last one. Rows that repeat an id share its draw. Long
+texts are only counted. Sources of the same size are full in the same round. A source of size 0 has target 0 and is not taken. Extra
+columns pass through; an empty table gives an empty one.
 """
 
 from __future__ import annotations

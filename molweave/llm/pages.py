@@ -19,7 +19,8 @@ out only if the page has an article or main elsewhere. If a page has article ele
 read whole. A block ends at every block element and line break; text of blocks is trimmed and joined by one space.
 
 Null html is empty, with empty text. Pages without a host are one host. Broken markup never fails: what is not a tag is text,
-end tags without a start are ignored, and open elements end with the page. Repeated rows are read alike. An empty table gives an
+end tags without a start are ignored, and open elements end with the page. Very long pages are parsed in the one
+task that reads them, and repeated rows are read alike. An empty table gives an
 empty result. Extra columns are ignored.
 """
 

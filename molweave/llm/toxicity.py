@@ -12,7 +12,9 @@
 
 Scoring reads each whole text once, in numpy over Arrow batches. Nothing is shuffled but the sample.
 Empty and null texts have no words and get the score of a document without any hit. Repeated rows are scored alike.
-With no labelled toxic document only the list of insults is used. Extra columns are ignored.
+Long texts are read whole, in one piece of their own. With no labelled toxic document only the list of insults is used; an empty
+table gives an empty one. Labels that are null or neither 0 nor 1 are not learned from; of several labels of a document the larger
+counts. Extra columns are ignored.
 """
 
 from __future__ import annotations

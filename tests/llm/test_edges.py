@@ -128,3 +128,12 @@ def test_stages(spark, edge_documents, no_documents, name, stage):
 def test_no_operator_swallows_import_errors():
     source = open(corpus_pipeline.__file__).read()
     assert not re.search(r"ImportError", source)
+
+
+def test_components_of_odd_links(spark):
+    from molweave.llm import components
+
+    links = spark.createDataFrame([(5, 3), (5, 3), (3, 3), (9, 5), (None, 1), (2, None), (8, 7)], "a long, b long").selectExpr("*", "1 AS root")
+    got = {(r.node, r.root) for r in components.components(links).collect()}
+    assert got == {(5, 3), (9, 3), (8, 7)}
+    assert components.components(links.limit(0)).isEmpty()

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,8 +89,10 @@ def _sums(rows: DataFrame, head: Head) -> tuple[np.ndarray, float]:
         yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["g"])
 
     made = rows.select("x", "y", "w").mapInArrow(partial, "g array<double>")
-    got = made.agg(Summarizer.sum(array_to_vector("g")).alias("g")).select(vector_to_array("g").alias("g")).first().g
-    total = np.asarray(got) if got else np.zeros(head.weights.size + 2)
+    summed = made.select(F.posexplode("g").alias("place", "part")).groupBy("place").agg(F.sum("part").alias("whole"))
+    total = np.zeros(head.weights.size + 2)
+    for r in summed.collect():
+        total[r.place] = r.whole
     if not total[-1]:
         return np.zeros_like(head.weights), float("nan")
     return (total[:-2] / total[-1]).reshape(head.weights.shape), float(total[-2] / total[-1])

@@ -75,7 +75,7 @@ def test_log_metrics_is_wide_and_appends(spark, tmp_path):
     path = str(tmp_path / "log")
     C.append_metrics(wide.filter("epoch = 0"), path, "r-0")
     C.append_metrics(wide.filter("epoch = 1"), path, "r-1")
-    got = [tuple(r) for r in spark.read.parquet(path).orderBy("epoch").collect()]
+    got = [tuple(r) for r in C.read_metrics(wide, path).orderBy("epoch").collect()]
     assert got == [(1, 0, 1.0, None, 2.0, None), (1, 1, None, 0.5, None, None)]
 
 

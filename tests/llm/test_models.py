@@ -35,6 +35,16 @@ def test_toxic_documents(spark):
     assert english and sum(r.predicted for r in english) >= 0.9 * len(english)
 
 
+@pytest.mark.parametrize("sf,floor", [("sf0.01", 0.7), ("sf0.1", 0.9)])
+def test_recall_of_all_held_out_toxic_documents(spark, sf, floor):
+    """Those without a hit count too."""
+    folder = f"/root/testdata/{sf}"
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    rows = toxicity.toxicity(documents, labels).filter("held_out").join(labels, "doc_id").collect()
+    toxic, clean = ([r.predicted for r in rows if r.toxic == y] for y in (1, 0))
+    assert toxic and sum(toxic) >= floor * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
 def test_label_model_finds_accurate_voters():
     import numpy as np
 

@@ -1,5 +1,6 @@
 """Stateful streams against their batch forms, over micro-batch edges and restarts."""
 
+import time
 from collections import Counter
 
 import pytest
@@ -93,12 +94,14 @@ def test_early_stop_equals_the_finished_log(spark, tmp_path, patience):
 
 
 def test_silent_runs_are_told(spark, tmp_path):
-    source = str(tmp_path / "in")
+    source, out = str(tmp_path / "in"), str(tmp_path / "o")
     schema = files(spark, source, [("a", 0, "loss", 1.0)], "run string, epoch long, name string, value double", 1)
-    goals = {"loss": "minimize"}
-    where = (str(tmp_path / "o"), str(tmp_path / "s"))
-    drain(S.stream_early_stop(stream_corpus(spark, source, schema, 1), 2, goals, silent_ms=1), *where)
-    files(spark, source, [("b", 0, "loss", 1.0)], "run string, epoch long, name string, value double", 1)
-    got = drain(S.stream_early_stop(stream_corpus(spark, source, schema, 1), 2, goals, silent_ms=1), *where).collect()
-    assert ("a", "silent") in {(r.run, r.event) for r in got}
-    assert {r.run for r in got if r.event == "epoch"} == {"a", "b"}
+    followed = S.stream_early_stop(stream_corpus(spark, source, schema, 1), 2, {"loss": "minimize"}, silent_ms=1)
+    query = followed.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "s")).trigger(processingTime="1 second").start()
+    told, deadline = set(), time.time() + 60
+    while ("a", "silent") not in told and query.isActive and time.time() < deadline:
+        time.sleep(2)
+        if (query.lastProgress or {"batchId": 0})["batchId"] > 0:
+            told = {(r.run, r.event) for r in spark.read.schema(followed.schema).parquet(out).collect()}
+    query.stop()
+    assert told == {("a", "epoch"), ("a", "silent")}

@@ -4,8 +4,8 @@ Texts are normalised by deleting white space and range-partitioned by sampled sp
 the normalised text, then a hash of all of it, then length and id: the splitters stay small whatever the texts are, equal
 texts come together, and even a text that a third of all rows share is cut into even parts. Each part is sorted by Spark's
 external sort, the full text among its keys, and neighbours are compared in full. Rows of a run of equals are in order of
-preference, so the first row of a run is the one that stays. Runs that reach the edge of a part are joined with their like in
-the next parts by their full texts, two runs a part.
+preference, so the first row of a run is the one that stays. Runs with the hash of a part's first or last row are joined with
+their like in the next parts by their full texts: two runs a part, and more only where different texts share a 64-bit hash.
 
 The row with the most code points in the original text stays, then the smallest id (a null id last). A null text counts as
 empty and equals texts of white space alone. Rows that repeat an id are rows of their own; one row of each group is kept.
@@ -15,6 +15,7 @@ An empty table gives an empty result. Extra columns are ignored (``exact_dedup``
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,9 @@ from molweave.sources.scratch import stored
 # Characters of the normalised text that the splitters see before its hash.
 SPLIT_CHARS = 32
 
+# A row of a run, or a mark (``edge_text`` not null) with the size and the kept id of a run at an edge.
 RUN_SCHEMA = (
-    "doc_id long, row_no long, keep_id long, group_size long, kept boolean, text_sha256 string, part int, run long, edge boolean, "
-    "edge_text string"
+    "doc_id long, row_no long, keep_id long, group_size long, kept boolean, text_sha256 string, part int, run long, edge_text string"
 )
 
 
@@ -40,7 +41,11 @@ def normalised(text: Column) -> Column:
 
 
 def content_sorted(documents: DataFrame) -> DataFrame:
-    """(doc_id, row_no, norm) in content order within and across partitions; better rows of equals come first."""
+    """(doc_id, row_no, norm, hash) in content order within and across partitions; better rows of equals come first.
+
+    Parts are cut by (head, hash, preference) and sorted by the full text within a hash, so texts that share head and hash may
+    alternate between the parts on both sides of a cut.
+    """
     rows = documents.select(
         "doc_id",
         "row_no",
@@ -50,45 +55,77 @@ def content_sorted(documents: DataFrame) -> DataFrame:
     preference = [F.asc("shortness"), F.asc_nulls_last("doc_id"), F.asc("row_no")]
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(parts, F.asc("head"), F.asc("hash"), *preference)
-    return placed.sortWithinPartitions("head", "hash", "norm", *preference).select("doc_id", "row_no", "norm")
+    return placed.sortWithinPartitions("head", "hash", "norm", *preference).select("doc_id", "row_no", "norm", "hash")
 
 
 def neighbour_runs(batches):
-    """Compare neighbours in full. A run is given out when it ends, so its size is known; runs at the two edges of the
-    partition are marked, and one further row per edge run carries its text."""
+    """Compare neighbours in full. A run is given out when it ends, so its size is known; every run with the hash of the first
+    or the last row of the partition may go on beyond its edge, and one further row carries its text, size and kept id."""
     part = TaskContext.get().partitionId()
     names = [field.strip().split(" ")[0] for field in RUN_SCHEMA.split(",")]
     run = 0
-    text, sha, ids, numbers = None, None, [], []
-
-    def give(edge: bool) -> pa.RecordBatch:
-        doc_id, row_no = pa.concat_arrays(ids), pa.concat_arrays(numbers)
-        n = len(doc_id)
-        first = np.zeros(n, bool)
-        first[0] = True
+    text, code, ids, numbers = None, None, [], []
+    first_code, open_runs = None, []
+
+    def rows_of(doc_id, row_no, sizes, starts, shas) -> pa.RecordBatch:
+        """Rows of whole runs; ``starts`` are their first places in the arrays."""
+        which = np.repeat(np.arange(len(sizes)), sizes)
+        kept = np.zeros(len(which), bool)
+        kept[starts] = True
         return pa.RecordBatch.from_arrays(
             [
                 doc_id,
                 row_no,
-                pa.array([doc_id[0].as_py()] * n, pa.int64()),
-                pa.array(np.full(n, n, np.int64)),
-                pa.array(first),
-                pa.array([sha] * n, pa.string()),
-                pa.array(np.full(n, part, np.int32)),
-                pa.array(np.full(n, run, np.int64)),
-                pa.array(np.full(n, edge)),
+                doc_id.take(pa.array(starts[which])),
+                pa.array(sizes[which]),
+                pa.array(kept),
+                pa.array(shas, pa.string()).take(pa.array(which)),
+                pa.array(np.full(len(which), part, np.int32)),
+                pa.array(run + which),
+                pa.nulls(len(which), pa.string()),
+            ],
+            names=names,
+        )
+
+    def marks() -> pa.RecordBatch:
+        n = len(open_runs)
+        numbers, texts, sizes, keeps = zip(*open_runs, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.nulls(n, pa.int64()),
+                pa.nulls(n, pa.int64()),
+                pa.array(keeps, pa.int64()),
+                pa.array(sizes, pa.int64()),
+                pa.nulls(n, pa.bool_()),
                 pa.nulls(n, pa.string()),
+                pa.array([part] * n, pa.int32()),
+                pa.array(numbers, pa.int64()),
+                pa.array(texts, pa.string()),
             ],
             names=names,
         )
 
-    def marker() -> pa.RecordBatch:
-        values = [None, None, None, None, None, sha, part, run, True, text]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
+    def ended(number: int, run_code: int, run_text: str, size: int, keep) -> Iterator[pa.RecordBatch]:
+        """Take note of a run that ended; gives the marks of the hash before, if it is that of the part's first row."""
+        nonlocal first_code, open_runs, code
+        if first_code is None:
+            first_code = run_code
+        elif run_code != code:
+            if code == first_code:
+                yield marks()
+            open_runs = []
+        code = run_code
+        open_runs.append((number, run_text, size, keep))
+
+    def end_held() -> Iterator[pa.RecordBatch]:
+        doc_id, row_no = pa.concat_arrays(ids), pa.concat_arrays(numbers)
+        n = len(doc_id)
+        yield rows_of(doc_id, row_no, np.array([n]), np.array([0]), [hashlib.sha256(text.encode()).hexdigest()])
+        yield from ended(run, held_code, text, n, doc_id[0].as_py())
 
     for batch in pieces(batches, "norm"):
         norm, doc_id, row_no = batch.column("norm"), batch.column("doc_id"), batch.column("row_no")
+        codes = batch.column("hash").to_numpy()
         fresh = np.ones(len(norm), bool)
         if len(norm) > 1:
             fresh[1:] = pc.not_equal(norm[1:], norm[:-1]).to_numpy(zero_copy_only=False)
@@ -101,54 +138,36 @@ def neighbour_runs(batches):
         if not len(starts):
             continue
         if text is not None:
-            yield give(run == 0)
-            if run == 0:
-                yield marker()
+            yield from end_held()
             run += 1
         # Runs that begin and end inside this piece.
-        stops = starts[1:]
-        if len(stops):
-            sizes = stops - starts[:-1]
-            shas = [hashlib.sha256(x.as_py().encode()).hexdigest() for x in norm.take(pa.array(starts[:-1]))]
-            span = slice(int(starts[0]), int(stops[-1]))
-            which = np.repeat(np.arange(len(sizes)), sizes)
-            edge = (which == 0) & (run == 0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    doc_id[span],
-                    row_no[span],
-                    doc_id.take(pa.array(starts[:-1][which])),
-                    pa.array(sizes[which]),
-                    pa.array(fresh[span]),
-                    pa.array(shas).take(pa.array(which)),
-                    pa.array(np.full(len(which), part, np.int32)),
-                    pa.array(run + which),
-                    pa.array(edge),
-                    pa.nulls(len(which), pa.string()),
-                ],
-                names=names,
-            )
-            if run == 0:
-                text, sha = norm[int(starts[0])].as_py(), shas[0]
-                yield marker()
+        begins, stops = starts[:-1], starts[1:]
+        if len(begins):
+            sizes = stops - begins
+            texts = norm.take(pa.array(begins)).to_pylist()
+            low, high = int(begins[0]), int(stops[-1])
+            shas = [hashlib.sha256(x.encode()).hexdigest() for x in texts]
+            yield rows_of(doc_id[low:high], row_no[low:high], sizes, begins - low, shas)
+            keeps = doc_id.take(pa.array(begins)).to_pylist()
+            for i, (one, keep) in enumerate(zip(texts, keeps, strict=True)):
+                yield from ended(run + i, int(codes[begins[i]]), one, int(sizes[i]), keep)
             run += len(sizes)
         last = int(starts[-1])
-        text = norm[last].as_py()
-        sha = hashlib.sha256(text.encode()).hexdigest()
+        text, held_code = norm[last].as_py(), int(codes[last])
         ids, numbers = [doc_id[last:]], [row_no[last:]]
     if text is not None:
-        yield give(True)
-        yield marker()
+        yield from end_held()
+        yield marks()
 
 
 def grouped_rows(documents: DataFrame) -> DataFrame:
     """(doc_id, row_no, keep_id, group_size, kept, text_sha256) of every row."""
     runs = stored(content_sorted(documents).mapInArrow(neighbour_runs, RUN_SCHEMA), "runs")
     rows = runs.filter("edge_text IS NULL").drop("edge_text")
-    # Two runs a partition at most: joined by their full texts.
-    marks = runs.filter("edge_text IS NOT NULL").select("part", "run", "edge_text")
-    ends = rows.filter("edge").groupBy("part", "run").agg(F.first("group_size").alias("n"), F.first("keep_id").alias("keep"))
-    edges = marks.join(ends, ["part", "run"])
+    # The runs of two hashes a partition: joined by their full texts.
+    edges = runs.filter("edge_text IS NOT NULL").select(
+        "part", "run", "edge_text", F.col("group_size").alias("n"), F.col("keep_id").alias("keep")
+    )
     place = F.struct("part", "run")
     whole = edges.groupBy("edge_text").agg(
         F.sum("n").alias("all_size"), F.min_by("keep", place).alias("all_keep"), F.min(place).alias("root")
@@ -179,9 +198,10 @@ def keep_first(documents: DataFrame) -> DataFrame:
     own = documents.columns
     kept = exact_dedup(documents).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     sha = F.sha2(normalised(F.col("text")), 256)
-    packed = documents.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_own"), sha.alias("_own_sha"), "text")
+    length = F.char_length(F.coalesce("text", F.lit("")))
+    packed = documents.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_own"), sha.alias("_own_sha"), length.alias("_cp"))
     same = packed["_own"].eqNullSafe(kept["_id"]) & (packed["_own_sha"] == kept["_sha"])
-    joined = packed.join(kept, same).withColumn("_cp", F.char_length(F.coalesce("text", F.lit(""))))
+    joined = packed.join(kept, same)
     order = Window.partitionBy("_own", "_own_sha").orderBy(F.desc("_cp"))
     first = joined.withColumn("_no", F.row_number().over(order)).filter("_no = 1")
     return first.select(*[F.col(f"_doc.`{c}`").alias(c) for c in own])

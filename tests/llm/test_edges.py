@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from molweave.llm import chosen_path, collision, exact, langid, lengths, licenses, mixing, packing, pages, toxicity
@@ -33,6 +34,25 @@ def test_licenses(edge_documents, no_documents):
     assert licenses.scan(no_documents).isEmpty()
 
 
+def test_exact_groups_whose_hash_collides_at_an_edge(spark, monkeypatch):
+    """All texts share one hash, so parts are cut by preference alone and each text alternates between all of them."""
+    rows = [(i, 0, ["one", "two", "three", "four", " o ne"][i % 5] + " " * (i % 3)) for i in range(400)]
+
+    def colliding(documents):
+        norm = exact.normalised(F.col("text"))
+        placed = documents.select("doc_id", "row_no", norm.alias("norm"), (-F.char_length("text")).alias("s"), F.lit(7).cast("long").alias("hash"))
+        placed = placed.repartitionByRange(4, "hash", "s", "doc_id").sortWithinPartitions("hash", "norm", "s", "doc_id")
+        return placed.select("doc_id", "row_no", "norm", "hash")
+
+    monkeypatch.setattr(exact, "content_sorted", colliding)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, x int, text string")).collect()}
+    groups = {}
+    for i, _, text in rows:
+        groups.setdefault("".join(text.split()), []).append((-len(text), i))
+    want = {i: (min(g)[1], len(g), i == min(g)[1]) for g in groups.values() for _, i in g}
+    assert got == want
+
+
 def test_exact(edge_documents, no_documents):
     rows = exact.exact_dedup(edge_documents).collect()
     assert len(rows) == 14 and sum(r.kept for r in rows) == 8

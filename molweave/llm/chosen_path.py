@@ -11,6 +11,10 @@
    links nodes into groups of candidates; only links to a common neighbour are given out, never all pairs.
 5. Groups of candidates are read again and compared in full, by exact similarities of the sets of word runs, so what is returned
    holds no false link. A large bucket or group is cut into tiles and compared tile by tile, so no task holds it whole.
+6. A group of more than one tile is compared without its texts. The runs that most of its nodes hold are its core; of each node only
+   what it lacks of the core, and what it holds beside it, goes to the tiles: with c runs in the core, two nodes that lack l and m
+   of them and share s of what either lists have c - l - m + s runs in common, exactly, whatever the core is. Near copies
+   differ from their core in little, so each text is shuffled once and only differences are copied.
 
 Words are those of ``words``: lower-cased letters and digits. A text of one to four words is one run; a text without words (null,
 empty) is similar to nothing. Long texts are one set of runs in the task that compares them. Rows that repeat an id are rows of their own, and the smallest id of a
@@ -46,6 +50,9 @@ MARGIN = 4.5
 # Nodes, and words, of a tile.
 TILE = 512
 TILE_WORDS = 2_000_000
+# Nodes of a tile where differences are compared, and rows of a tile that are compared at a time.
+WIDE_TILE = 2048
+STRIPE = 256
 COLUMNS = 4096
 SEED = 11
 
@@ -319,19 +326,93 @@ def exact_links(batches):
             )
 
 
+def read_runs(batches):
+    """Rows of groups of one tile with their texts; of larger groups with their sets of word runs, where the text is the node's."""
+    for piece in pieces(batches, "text"):
+        large = piece.column("tiles").to_numpy() > 1
+        names = ["node", "root", "tiles", "wide", "members", "high", "low"]
+        few = piece.filter(pa.array(~large))
+        if few.num_rows:
+            columns = [few.column(c) for c in [*names, "text"]]
+            yield pa.record_batch([*columns, pa.nulls(few.num_rows, pa.list_(pa.int64()))], names=[*names, "text", "runs"])
+        many = piece.filter(pa.array(large))
+        if not many.num_rows:
+            continue
+        whole = Words(many.column("text"))
+        high, low = fingerprints(whole)
+        row, value = shingles(whole, SHINGLE)
+        order = np.lexsort((value, row))
+        row, value = row[order], value[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+        offsets = np.searchsorted(row[new], np.arange(many.num_rows + 1)).astype(np.int32)
+        runs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[new].view(np.int64)))
+        right = (high.view(np.int64) == many.column("high").to_numpy()) & (low.view(np.int64) == many.column("low").to_numpy())
+        columns = [*(many.column(c) for c in names), pa.nulls(many.num_rows, pa.string()), runs]
+        yield pa.record_batch(columns, names=[*names, "text", "runs"]).filter(pa.array(right))
+
+
+def differences(sets: DataFrame) -> DataFrame:
+    """(node, root, wide, core, lacking, delta): the size of the group's core, how many of its runs the node lacks, and the
+    runs that only one of node and core holds. The core goes to each tile, so no group is joined in one task."""
+    runs = sets.select("root", "tiles", "members", F.explode("runs").alias("run"))
+    counted = runs.groupBy("root", "run").agg(F.count("*").alias("n"), F.first("tiles").alias("tiles"), F.first("members").alias("members"))
+    most = counted.filter("2 * n > members").groupBy("root").agg(F.collect_list("run").alias("core"), F.first("tiles").alias("tiles"))
+    spread = most.select("root", "core", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("own"))
+    own = F.pmod(F.xxhash64(F.lit("core"), "node"), F.col("tiles")).cast("int")
+    met = sets.withColumn("own", own).hint("merge").join(spread, ["root", "own"], "left")
+    core = F.coalesce("core", F.array().cast("array<bigint>"))
+    parts = met.select(
+        "node", "root", "wide", F.size(core).alias("core"), F.array_except(core, "runs").alias("lacks"), F.array_except("runs", core).alias("has")
+    )
+    return parts.select("node", "root", "wide", "core", F.size("lacks").alias("lacking"), F.concat("lacks", "has").alias("delta"))
+
+
+def delta_links(batches):
+    """(node, n_links, root) of the nodes of a cell that have a link in it, from the differences to their group's core."""
+    for table in whole_cells(batches):
+        cell = table.column("cell").to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+        for start, stop in zip(edges[:-1], edges[1:], strict=True):
+            part = table.slice(start, stop - start).combine_chunks().to_batches()[0]
+            # A repeated id may bring the same text twice.
+            part = part.take(pa.array(np.unique(part.column("node").to_numpy(), return_index=True)[1]))
+            node, root, side, core, lacking = (part.column(c).to_numpy() for c in ("node", "root", "side", "core", "lacking"))
+            n, delta = len(node), part.column("delta")
+            listed = delta.value_lengths().to_numpy()
+            value = delta.flatten().to_numpy()
+            _, common = common_runs(np.repeat(np.arange(n), listed), value, n)
+            lacking, core = lacking.astype(np.int64), core.astype(np.int64)
+            size = core - lacking + (listed - lacking)
+            links, label, place = np.zeros(n, np.int64), np.arange(n), np.arange(n)
+            for begin in range(0, n, STRIPE):
+                of = slice(begin, min(n, begin + STRIPE))
+                both = (core - lacking)[of, None] - lacking[None, :] + common[of].astype(np.int64)
+                union = size[of, None] + size[None, :] - both
+                alike = 10 * both >= round(10 * THRESHOLD) * union
+                alike &= meets(side[of, None], side[None, :]) & (root[of, None] == root[None, :]) & (place[of, None] < place[None, :])
+                links[of] += alike.sum(axis=1)
+                links += alike.sum(axis=0)
+                left, right = np.nonzero(alike)
+                label = roots_of(n, np.concatenate([place, left + begin]), np.concatenate([label, right]))
+            some = np.flatnonzero(links)
+            yield pa.record_batch([pa.array(node[some]), pa.array(links[some]), pa.array(node[label[some]])], names=["node", "n_links", "root"])
+
+
 def has_words(text: Column) -> Column:
     return F.coalesce(text.rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(False))
 
 
 def candidate_groups(nodes: DataFrame) -> DataFrame:
-    """(node, root, tiles): nodes that may be similar to another, by group."""
+    """(node, root, tiles, wide, members): nodes that may be similar to another, by group, with the tiles of a group of texts and
+    of a group of differences, and its number of nodes."""
     leaves = tiled(leaf_buckets(nodes, runs_needed()), "bucket", "node")
     sketched = by_cell(leaves.join(nodes.select("node", "sketch"), "node").select("cell", "side", "node", "sketch"))
     candidates = components(sketched.mapInArrow(sketch_links, "a long, b long"))
     grouped = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
     sizes = grouped.join(nodes.select("node", "n_words"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"))
-    tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("w") / TILE_WORDS)).cast("int")
-    return grouped.join(sizes.select("root", tiles.alias("tiles")), "root")
+    tiles, wide = (F.greatest(F.ceil(F.col("n") / size), F.ceil(F.col("w") / TILE_WORDS)).cast("int") for size in (TILE, WIDE_TILE))
+    return grouped.join(sizes.select("root", tiles.alias("tiles"), wide.alias("wide"), F.col("n").alias("members")), "root")
 
 
 def classes(documents: DataFrame) -> DataFrame:
@@ -347,8 +428,14 @@ def classes(documents: DataFrame) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("long").alias("_own"), "text")
     # Both sides grow with the corpus, so neither is broadcast at any size.
     read = described.hint("merge").join(texts, described["rep"].eqNullSafe(texts["_own"]))
-    cells = by_cell(tiled(read, "root", "node").select("cell", "side", "node", "high", "low", "text"))
-    exact = stored(cells.mapInArrow(exact_links, "node long, n_links long, root long"), "exact")
+    columns = "node long, root long, tiles int, wide int, members long, high long, low long"
+    held = read.select("node", "root", "tiles", "wide", "members", "high", "low", "text")
+    held = stored(held.mapInArrow(read_runs, columns + ", text string, runs array<long>"), "held")
+    cells = by_cell(tiled(held.filter("tiles = 1"), "root", "node").select("cell", "side", "node", "high", "low", "text"))
+    apart = differences(held.filter("tiles > 1").select("node", "root", "tiles", "wide", "members", "runs"))
+    wide = by_cell(tiled(apart, "root", "node", "wide").select("cell", "side", "node", "root", "core", "lacking", "delta"))
+    found = "node long, n_links long, root long"
+    exact = stored(cells.mapInArrow(exact_links, found).unionByName(wide.mapInArrow(delta_links, found)), "exact")
 
     degrees = exact.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     hung = components(exact.select(F.col("node").alias("a"), F.col("root").alias("b")))

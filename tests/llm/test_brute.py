@@ -156,7 +156,7 @@ def made_up_texts(seed=3):
     return {i: " ".join(t) for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("limits", [{}, {"BUCKET": 16, "TILE": 24}])
+@pytest.mark.parametrize("limits", [{}, {"BUCKET": 16, "TILE": 24}, {"TILE": 24, "WIDE_TILE": 40, "STRIPE": 7}])
 def test_join_equals_brute_force(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(chosen_path, name, value)
@@ -177,7 +177,9 @@ def test_join_equals_brute_force(spark, monkeypatch, limits):
     assert kept == set(root.values())
 
 
-def test_components_of_long_chains_and_hubs(spark):
+@pytest.mark.parametrize("least", [components.HUB_LEAST, 1])
+def test_components_of_long_chains_and_hubs(spark, monkeypatch, least):
+    monkeypatch.setattr(components, "HUB_LEAST", least)
     links = [(i + 1, i) for i in range(60)] + [(1000 + i, 1000) for i in range(1, 300)] + [(5000, 4999), (5000, 1005)]
     df = spark.createDataFrame(links, "a long, b long")
     got = {r.node: r.root for r in components.components(df).collect()}

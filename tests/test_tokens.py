@@ -170,3 +170,19 @@ def test_vocabulary_is_independent_of_partitions(spark, parts):
     rows = corpus(spark, [[f"t{(i * j) % 11}" for j in range(i % 9)] for i in range(80)])
     want = [tuple(r) for r in V.train_vocab(rows.coalesce(1)).orderBy("id").collect()]
     assert [tuple(r) for r in V.train_vocab(rows.repartition(parts)).orderBy("id").collect()] == want
+
+
+def test_a_tail_is_joined_once_per_row_and_token(spark, monkeypatch):
+    """Beyond the broadcast head a sequence asks for each of its tokens once, and what it asks is all that is exploded."""
+    rows = corpus(spark, [["a"] * 9 + ["b"] * 5 + ["c", "zzz", None, "zzz"], ["d", "c", "d", "c"], ["a"], [], None])
+    trained = V.train_vocab(corpus(spark, [["a"] * 4 + ["b"] * 3 + ["c"] * 2 + ["d"]]))
+    ids = V.encode(rows, trained, key="k", keep=False)
+    want, long = {r.k: r.ids for r in ids.collect()}, sorted(tuple(r) for r in V.decode_long(ids, trained, "k", "ids").collect())
+    assert want[0][-4:] == [7, 0, 0, 0] and ids.columns == ["k", "ids"]
+    monkeypatch.setattr(V, "BROADCAST_LIMIT", 7)
+    large = V.encode(rows, trained, key="k", keep=False)
+    assert {r.k: r.ids for r in large.collect()} == want and large.columns == ["k", "ids"]
+    assert {r.k: r.ids for r in V.encode_by_join(rows, trained, "k").collect()} == {**want, 4: []}
+    assert sorted(tuple(r) for r in V.decode_long(ids, trained, "k", "ids").collect()) == long
+    looked = rows.select("k", V.head_lookup(trained.filter("id < 7"))(F.col("tokens")).alias("h")).select("k", "h.*").collect()
+    assert {r.k: (r.rest and sorted(r.rest)) for r in looked} == {0: ["c", "zzz"], 1: ["c", "d"], 2: [], 3: [], 4: None}

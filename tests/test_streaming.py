@@ -175,3 +175,24 @@ def test_sketched_area_of_one_class_is_null(spark, tmp_path, paths):
     rows.write.parquet(path)
     got = J.stream_auroc_sketch(stream_corpus(spark, path, rows.schema), *paths()).first()
     assert (got.epoch, got.n_positive, got.n_negative, got.roc) == (None, 9, 0, None)
+
+
+def test_streams_take_a_vocabulary_of_any_size(spark, molecules, paths, monkeypatch):
+    batch = spark.read.parquet(molecules)
+    vocab = stored(train_vocab(tokenize(batch)), "vocab")
+    table = stored(ngram_candidates(encode(tokenize(batch), vocab).select(add_template(F.col("ids")).alias("ids"))), "proposals")
+    stream = stream_corpus(spark, molecules, batch.schema, max_files_per_trigger=1)
+    encoded = encode_text(batch, vocab, max_length=16).select("mol_id", "input_ids")
+    steps = {
+        "encode": lambda rows: rows,
+        "mask": lambda rows: J.stream_mask(rows, "mol_id", 3),
+        "corrupt": lambda rows: J.stream_corrupt(rows, table, "mol_id", 3),
+    }
+    want = {name: as_set(step(encoded)) for name, step in steps.items()}
+    monkeypatch.setattr("molweave.operators.vocab.BROADCAST_LIMIT", 7)
+    monkeypatch.setattr("molweave.operators.corrupt.CANDIDATE_LIMIT", 3)
+    with pytest.raises(ValueError, match="drain_through"):
+        J.stream_encode(stream, vocab, max_length=16)
+    for name, step in steps.items():
+        through = lambda rows: step(J.stream_encode(rows, vocab, max_length=16, key="mol_id").select("mol_id", "input_ids"))  # noqa: B023
+        assert as_set(J.drain_through(stream, through, *paths())) == want[name]

@@ -233,3 +233,22 @@ def test_nothing_masked_is_judged_as_nothing(spark, candidates):
     for form in (K.corrupt_sequences, K.corrupt_by_join):
         got = {r.k: r.nll for r in form(df, table, "k", 1, p=1.0, judged=True).collect()}
         assert got == {1: [None] * 4, 2: [], 3: None}
+
+
+def test_neighbours_across_parts_carry_their_totals(spark):
+    """Ranks, sums, totals and numbers of followers, where a neighbour fills parts, ends one or lies inside of one."""
+    rng = np.random.default_rng(5)
+    sizes = {K.ANY_LEFT: 900, 3: 1, 4: 700, 5: 2, 6: 3, 9: 400}
+    rows = [(p, t, int(n)) for p, k in sizes.items() for t, n in enumerate(rng.integers(1, 50, k))]
+    counts = spark.createDataFrame(rows, "prev int, token int, n long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.prev, r.token): (r["rank"], r.cum, r.most, r.total, r.followers) for r in K.rank_followers(counts).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for prev, k in sizes.items():
+        own = sorted(((t, n) for p, t, n in rows if p == prev), key=lambda x: (-x[1], x[0]))
+        ends = np.cumsum([n for _, n in own])
+        want |= {(prev, t): (i + 1, ends[i], own[0][1], ends[-1], k) for i, (t, _) in enumerate(own)}
+    assert got == want

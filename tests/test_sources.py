@@ -105,3 +105,15 @@ def test_a_repeated_record_replaces_itself(spark, tmp_path):
     assert C.read_metrics(rows, path).columns == rows.columns
     with pytest.raises(ValueError):
         C.append_metrics(rows, path, "a/b")
+
+
+def test_a_step_has_its_files_and_no_task_a_whole_step(spark, tmp_path):
+    rows = spark.range(0, 5000, 1, 3)
+    files = C.files_of_steps(rows, 2, 500)
+    assert files == 5 and C.files_of_steps(rows, 2) == 1 and C.files_of_steps(rows.limit(0), 2) == 1
+    for name, part in (("0", rows.filter("id < 2500")), ("1", rows.filter("id < 2"))):
+        C.append_step(part, str(tmp_path), name, files)
+        written = spark.read.schema(rows.schema).parquet(f"{tmp_path}/{name}")
+        assert len(written.inputFiles()) == files and written.count() == part.count()
+        sizes = [r["count"] for r in written.groupBy(F.input_file_name()).count().collect()]
+        assert max(sizes) <= 510
